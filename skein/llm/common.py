@@ -7,10 +7,15 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.llm.ngrams import slices
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -68,3 +73,31 @@ def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once: lambdas that refer to a column otherwise get its
     whole expression put in, and compute it for each element."""
     return F.transform(F.array(value), body)[0]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, seed: str, most_chars: int = 200_000) -> tuple[list[str], list[int]]:
+    """A bounded sample of labelled texts for fitting: about ``per_class`` documents of each class at
+    most, chosen by a hash of their id, among those that ``learn`` admits; texts are whole, and longer
+    ones than ``most_chars`` are not chosen. The result is ordered by id."""
+    known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.max(label).alias("skein_label"))
+    counts = {r["skein_label"]: r["count"] for r in known.groupBy("skein_label").count().collect()}
+    part = F.lit(0.0)
+    for k, n in counts.items():
+        part = F.when(F.col("skein_label") == k, min(1.0, per_class / n)).otherwise(part)
+    chosen = known.filter(share(F.col("doc_id"), seed) < part)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").filter(F.length("text") <= most_chars).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    return [r["text"] for r in rows], [int(r["skein_label"]) for r in rows]
+
+
+def rows_that(docs: DataFrame, judge, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text ``judge`` accepts, all columns as they are; no shuffle.
+    ``judge``: called on a worker with a list of whole texts (null: ''), gives a boolean for each."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            said = [judge(part) for part in slices(b.column(b.schema.get_field_index(text_col)))]
+            if said:
+                yield b.filter(pa.array(np.concatenate(said)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, embeddings, minhash, packing, rules, secrets, warc
+from skein.llm import bpe, embeddings, langid, minhash, packing, quality, rules, secrets, toxicity, warc
 from skein.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -37,12 +41,21 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.link_documents(table(spark, sf_dir, "documents"))[0]
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_warc, op3_bpe, op4_secret_scan, op5_packing, op6_embedding_links, op7_minhash, op10_quality_rules)
+    f.__name__: f
+    for f in (op1_toxicity, op2_warc, op3_bpe, op4_secret_scan, op5_packing, op6_embedding_links, op7_minhash, op8_quality_classifier, op9_language_id, op10_quality_rules)
 }
 
 ORACLE_SQL: dict[str, str] = {}
