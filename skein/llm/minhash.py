@@ -6,14 +6,17 @@ exponentially spaced (base BASE) and truncated to 16 bits. Sketches of parts mer
 value; two sets agree in a register about as often as their Jaccard similarity says.
 
 Texts with equal sets form classes first, so copies cost nothing more. Classes that agree in a band
-of registers share a bucket. A bucket's pairs are never all made: every member is compared with one
-leader, then members that are still in another component with further leaders, four times as many in
-each round, until each bucket is one component or all of its pairs across components were compared.
-A pair's similarity is first estimated by the likelihood of its registers' order and equality, given
-both set sizes; what may reach the threshold is confirmed on the full sets.
+of registers share a bucket. Each class is first compared with one leader, the member of its buckets
+that most others share buckets with; that joins groups of near copies around their centres. Buckets
+whose members are then all in one component are done. In the others, each pair across components is
+looked at inside a task, in blocks of bounded size, and is passed on only if the registers' agreement
+and a rigorous bound leave it a chance: a bitmap of the parities of the set's hashed elements, where
+two sets' bitmaps never differ in more bits than the sets differ in elements. What is passed on is
+estimated by the likelihood of the registers' order and equality, given both set sizes, and what may
+reach the threshold is confirmed on the full sets.
 
 At a similarity of 0.75 the bands miss a pair with probability (1 - 0.75^4)^40, about 3 in 10^7, and
-the estimate drops it with less than that; above it both fall steeply.
+the estimates drop it with about 1 in 10^6; above it both fall steeply.
 
 Results: texts without words have no set and link with nothing, so do rows with a null id. With fewer
 than five words the whole sequence is the only shingle. Rows that repeat an id are one document for
@@ -35,8 +38,11 @@ from skein.llm.components import connected_components
 
 WORDS = 5
 REGISTERS, BAND, BASE, RATE = 160, 4, 1.001, 20.0
-#: Estimates below this need no confirmation: over six standard errors under the threshold of 0.75.
-LEAST_ESTIMATE = 0.5
+#: Below this estimate, or this share of equal registers, nothing is confirmed: nearly five standard
+#: errors under the threshold of 0.75.
+LEAST_ESTIMATE, LEAST_EQUAL = 0.6, 0.58
+#: Bits of the parity bitmap. Members of a bucket that a task compares at once with as many others.
+PARITIES, BLOCK_MEMBERS = 2048, 2048
 #: Ids that a lookup side may have to be broadcast (16 bytes each, about); else both sides are shuffled.
 MOST_BROADCAST = 1_000_000
 #: Set elements hashed at once for a sketch: a block of this times REGISTERS 64-bit numbers.
@@ -125,11 +131,23 @@ def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_shingles": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.binary()), "registers": pa.array(registers, pa.binary())})
 
 
+def parity(elements: np.ndarray) -> np.ndarray:
+    """For each of PARITIES cells whether an odd number of elements falls into it, 8 to a byte."""
+    return np.packbits(np.bincount((elements >> _u(20)) % _u(PARITIES), minlength=PARITIES).astype(np.uint8) & 1)
+
+
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        made = [shingles(t.as_py()).view(np.int64) for t in b.column("text")]
+        made = [shingles(t.as_py()) for t in b.column("text")]
         ends = np.cumsum([0, *map(len, made)])
-        yield pa.RecordBatch.from_pydict({"node": b.column("node"), "elements": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*made, np.zeros(0, np.int64)])))})
+        registers = [sketch(s) for s in made]
+        yield pa.RecordBatch.from_pydict(
+            {
+                "node": b.column("node"), "n": pa.array([len(s) for s in made], pa.int64()), "registers": pa.array([r.tobytes() for r in registers], pa.binary()),
+                "low": pa.array([r.astype(np.uint8).tobytes() + parity(s).tobytes() for r, s in zip(registers, made, strict=True)], pa.binary()),
+                "elements": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*made, np.zeros(0, _u)]).view(np.int64))),
+            }
+        )
 
 
 def _likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,6 +158,69 @@ def _likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.select(["a", "b"]).filter(pa.array(good))
 
 
+def _chances(low: np.ndarray, n: np.ndarray, component: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows, one of ``left`` and one of ``right``, in different components, that low bytes of
+    the registers and parities leave a chance to be linked. The largest component is not compared
+    with itself."""
+    common = np.bincount(component).argmax()
+    for rows, others in ((left[component[left] != common], right), (left[component[left] == common], right[component[right] != common])):
+        for i in range(0, len(rows) if len(others) else 0, 256):
+            part = rows[i : i + 256]
+            same = np.zeros((len(part), len(others)), np.uint8)
+            for r in range(REGISTERS):
+                same += low[part, r][:, None] == low[others, r][None, :]
+            x, y = np.nonzero(same >= LEAST_EQUAL * REGISTERS)
+            x, y = part[x], others[y]
+            ok = component[x] != component[y]
+            x, y = x[ok], y[ok]
+            for k in range(0, len(x), 1 << 14):
+                u, v = x[k : k + (1 << 14)], y[k : k + (1 << 14)]
+                apart = np.bitwise_count(low[u, REGISTERS:] ^ low[v, REGISTERS:]).sum(1, dtype=np.int64)
+                both = n[u] + n[v]
+                fit = 100 * (both - apart) >= percent * (both + apart)
+                yield u[fit], v[fit]
+
+
+def _compared(percent: int):
+    """Over rows sorted by (bucket, i, j): the pairs of each group that have a chance."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([rest, t]) if rest is not None else t
+            keys = np.stack([t.column(k).to_numpy() for k in ("bucket", "i", "j")])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            if len(cuts):
+                yield from _groups(t.slice(0, cuts[-1]), np.concatenate(([0], cuts)), percent)
+            rest = t.slice(cuts[-1] if len(cuts) else 0)
+        if rest is not None and rest.num_rows:
+            yield from _groups(rest, np.array([0, rest.num_rows]), percent)
+
+    return run
+
+
+def _groups(t: pa.Table, cuts: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    t = t.combine_chunks()
+    nodes = t.column("node").combine_chunks()
+    low = np.frombuffer(b"".join(t.column("low").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+    n, component, block = t.column("n").to_numpy(), t.column("component").combine_chunks().dictionary_encode().indices.to_numpy(), t.column("block").to_numpy()
+    i, j = t.column("i").to_numpy(), t.column("j").to_numpy()
+    a, c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for first, stop in zip(cuts[:-1], cuts[1:], strict=True):
+        rows = np.arange(first, stop)
+        inner = np.unique(component[first:stop], return_inverse=True)[1]
+        if not inner.any():
+            continue
+        left, right = (rows[block[first:stop] == k[first]] - first for k in (i, j))
+        for x, y in _chances(low[first:stop], n[first:stop], inner, left, right, percent):
+            a.append(x + first)
+            c.append(y + first)
+    pairs = [nodes.take(pa.array(np.concatenate(k))) for k in (a, c)]
+    if len(pairs[0]):
+        yield pa.RecordBatch.from_arrays(pairs, names=["a", "b"])
+
+
 def _few(ids: DataFrame) -> DataFrame:
     """``ids``, a written table, to be broadcast if it is small enough."""
     return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
@@ -158,46 +239,37 @@ def link_documents(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", t
     width = 2 * BAND
     keys = F.array(*(F.xxhash64(F.lit(i), F.substring("registers", i * width + 1, width)) for i in range(REGISTERS // BAND)))
     banded = classes.select("node", F.explode(keys).alias("bucket"))
-    shared = written(banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("leader")).filter("size > 1"), "buckets")
+    shared = written(banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
     members = written(banded.join(shared, "bucket"), "members")
 
-    wanted = written(members.select("node").distinct(), "wanted")
-    texts = rows.join(_few(wanted.withColumnRenamed("node", "doc_id")), "doc_id").select(F.col("doc_id").alias("node"), "text")
-    sets = written(texts.mapInArrow(_sets, f"node {kind}, elements array<long>"), "sets")
-    registers = written(classes.join(wanted, "node").select("node", "n", "registers"), "registers")
+    wanted = written(members.groupBy("node").agg(F.sum("size").alias("company")), "wanted")
+    texts = rows.join(_few(wanted.select(F.col("node").alias("doc_id"))), "doc_id").select(F.col("doc_id").alias("node"), "text")
+    sets = written(texts.mapInArrow(_sets, f"node {kind}, n long, registers binary, low binary, elements array<long>"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b) whose full sets are similar enough."""
-        side = lambda t, k: t.select(*(F.col(c).alias(k if c == "node" else f"{c}_{k}") for c in t.columns))
-        known = pairs.join(side(registers, "a"), "a").join(side(registers, "b"), "b").select("a", "b", "n_a", "n_b", "registers_a", "registers_b")
+        side = lambda k, *cols: sets.select(F.col("node").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in cols))
+        known = pairs.join(side("a", "n", "registers"), "a").join(side("b", "n", "registers"), "b").select("a", "b", "n_a", "n_b", "registers_a", "registers_b")
         likely = known.mapInArrow(_likely, f"a {kind}, b {kind}")
-        both = likely.join(side(sets, "a"), "a").join(side(sets, "b"), "b")
+        both = likely.join(side("a", "elements"), "a").join(side("b", "elements"), "b")
         common = F.size(F.array_intersect("elements_a", "elements_b"))
         of_both = both.select("a", "b", common.alias("i"), (F.size("elements_a") + F.size("elements_b")).alias("s"))
         return written(of_both.filter(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b"), "links")
 
-    different = F.col("a") != F.col("b")
-    first = members.groupBy("node").agg(F.min("leader").alias("b")).select(F.col("node").alias("a"), "b").filter(different)
-    links = confirmed(first)
+    lead = members.join(wanted, "node").groupBy("bucket").agg(F.max(F.struct("company", "node")).alias("lead"))
+    first = members.join(lead, "bucket").groupBy("node").agg(F.max("lead").alias("lead")).select(F.col("node").alias("a"), F.col("lead.node").alias("b"))
+    links = confirmed(first.filter("a != b"))
+    part = written(connected_components(links), "components")
+
+    now = written(members.join(part, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
+    mixed = now.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("bucket")
+    blocks = F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int")
+    open_ = now.join(mixed, "bucket").join(sets.select("node", "n", "low"), "node").withColumn("block", F.floor(share(F.col("node"), "block") * blocks).cast("int"))
+    tiles = open_.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n", "low")
+    seen = tiles.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_compared(percent), f"a {kind}, b {kind}")
+    more = confirmed(seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = links.union(more)
     part = written(connected_components(links), "components")
-    #: In a round, members whose share is under ``leaders`` / size lead; under ``led`` / size they have led.
-    led, leaders = 0, 1
-    place = share(F.col("node"), "leader") * F.col("size")
-    while True:
-        now = members.filter(F.col("size") > 2 * led) if led < 2 else members.filter(F.col("size") > led)
-        now = written(now.join(part, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
-        mixed = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-        rest = written(now.join(mixed, "bucket"), "rest")
-        if rest.isEmpty():
-            break
-        own = F.col("node") == F.col("leader")
-        heads = rest.filter(own if not led else ~own & (place < leaders) & (place >= (led if led > 1 else 0))).select("bucket", F.col("node").alias("b"), F.col("component").alias("component_b"))
-        pairs = rest.join(heads, "bucket").filter(F.col("component") != F.col("component_b"))
-        more = confirmed(pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct())
-        if not more.isEmpty():
-            links = written(links.union(more), "links")
-            part = written(connected_components(links), "components")
-        led, leaders = leaders, 4 * leaders
 
     mapped = classes.join(part, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     of_all = signed.join(mapped, "digest", "left")
