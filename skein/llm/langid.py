@@ -63,8 +63,8 @@ def frequencies(texts: list[str]) -> Rows:
     for t in texts:
         flat, _ = ngrams.joined([t], lower=True, words=True)
         k, c = np.unique(np.concatenate([ngrams.hashed(flat, n, BITS) for n in LENGTHS]), return_counts=True)
-        index.append(k.astype(np.int64))
-        value.append(c / c.sum() * SCALE)
+        index.append(k.astype(np.int32))
+        value.append((c / c.sum() * SCALE).astype(np.float32))
         sizes.append(len(k))
     return Rows(np.concatenate(index), np.concatenate(value), np.concatenate(([0], np.cumsum(sizes))))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 
 
@@ -24,6 +26,16 @@ class Rows:
         return total[self.start[1:]] - total[self.start[:-1]]
 
 
+def joined_rows(parts: Iterable[Rows]) -> Rows:
+    """The rows of all parts, in their order."""
+    index, value, sizes = [], [], [np.zeros(1, np.int64)]
+    for p in parts:
+        index.append(p.index)
+        value.append(p.value)
+        sizes.append(np.diff(p.start))
+    return Rows(np.concatenate(index), np.concatenate(value), np.cumsum(np.concatenate(sizes)))
+
+
 def hinge(x: Rows, y: np.ndarray, size: int, c: float = 1.0, rounds: int = 12, balance: bool = True, seed: int = 0) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear support vector machine (hinge loss), by dual coordinate descent.
     y: -1 or 1. ``balance``: both classes weigh the same in total."""

@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 
 from skein.llm import ngrams
 from skein.llm.common import labelled_sample, remainder, rows_that
-from skein.llm.linear import Rows, calibrated, hinge, probability
+from skein.llm.linear import Rows, calibrated, hinge, joined_rows, probability
 from skein.llm.toxicity import _scored
 
 BITS, LENGTHS = 17, (1, 2, 3, 4)
 #: Buckets of the word-level indicators follow the n-grams'.
 KINDS, LEVELS = 3, 8
 SIZE = (1 << BITS) + KINDS * LEVELS
-PER_CLASS, THRESHOLD = 2000, 0.3
+PER_CLASS, THRESHOLD = 1500, 0.3
 #: Smoothing of counts; weight of the model's own weights against their mean magnitude; cost.
 ALPHA, MIX, COST = 1.0, 0.75, 1.0
 #: Where in the gap between rejected and accepted training margins the threshold lies.
@@ -48,8 +48,8 @@ def indicators(texts: list[str]) -> Rows:
                 mark[(1 << BITS) + k * LEVELS + min(LEVELS - 1, int(-2 * math.log2(max(x / len(words), 0.06))))] = True
         index = np.flatnonzero(mark)
         mark[index] = False
-        found.append(index)
-    return Rows(np.concatenate(found), np.ones(sum(map(len, found))), np.cumsum([0, *map(len, found)]))
+        found.append(index.astype(np.int32))
+    return Rows(np.concatenate(found), np.ones(sum(map(len, found)), np.float32), np.cumsum([0, *map(len, found)]))
 
 
 class Model:
@@ -71,14 +71,12 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     y = np.array(labels, int)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(SIZE), 0.0, 0.0, 0.0)
-    parts = [indicators(p) for p in ngrams.slices(texts)]
-    offsets = np.cumsum([0, *(p.start[-1] for p in parts)])
-    x = Rows(np.concatenate([p.index for p in parts]), np.concatenate([p.value for p in parts]), np.concatenate([[0], *(p.start[1:] + o for p, o in zip(parts, offsets, strict=False))]))
-    of = np.repeat(y, np.diff(x.start))
-    good, bad = (ALPHA + np.bincount(x.index[of == k], minlength=SIZE) for k in (1, 0))
+    x = joined_rows(indicators(p) for p in ngrams.slices(texts))
+    sizes = np.diff(x.start)
+    good, bad = (ALPHA + np.bincount(x.index[np.repeat(y == k, sizes)], minlength=SIZE) for k in (1, 0))
     ratio = np.log((good / ((y == 1).sum() + 2 * ALPHA)) / (bad / ((y == 0).sum() + 2 * ALPHA)))
-    length = np.sqrt(np.maximum(np.diff(x.start), 1))
-    scaled = Rows(x.index, ratio[x.index] / np.repeat(length, np.diff(x.start)), x.start)
+    length = np.sqrt(np.maximum(sizes, 1))
+    scaled = Rows(x.index, (ratio.astype(np.float32)[x.index] / np.repeat(length.astype(np.float32), sizes)), x.start)
     w, bias = hinge(scaled, np.where(y == 1, 1, -1), SIZE, COST)
     w = MIX * w + (1 - MIX) * np.abs(w).mean()
     weights = w * ratio
