@@ -58,4 +58,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_toxicity, op2_warc, op3_bpe, op4_secret_scan, op5_packing, op6_embedding_links, op7_minhash, op8_quality_classifier, op9_language_id, op10_quality_rules)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Components by reachability over ``links`` (a, b), both ways; nodes are in ``nodes`` (id).
+_REACH = "reach(id, other) as (select id, id from nodes union select r.id, l.b from reach r join links l on l.a = r.other), component as (select id, min(other) as component_id from reach group by id)"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": """with p as (select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as hex from pages),
+        f as (select *, min(page_id) over (partition by payload) as first from p)
+        select page_id, strlen(payload)::bigint as payload_bytes,
+            array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((((strpos('0123456789abcdef', substr(hex, (5 * k // 4)::bigint + 1, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(hex, (5 * k // 4)::bigint + 2, 1)) - 1) // (2 ** (3 - 5 * k % 4))::bigint) % 32)::bigint + 1, 1)), '') as payload_digest,
+            case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from f""",
+    "op6_embedding_links": f"""with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings where embedding is not null),
+        u as (select vec_id, e from v where len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+        links as (select x.vec_id as a, y.vec_id as b from u x join u y on x.vec_id <> y.vec_id and len(x.e) = len(y.e) where list_cosine_similarity(x.e, y.e) >= 0.9::double),
+        nodes as (select vec_id as id from embeddings), {_REACH}
+        select vec_id, (select count(*) from links where a = vec_id) as n_links, component_id, vec_id = component_id as kept from embeddings join component on id = vec_id""",
+    "op7_minhash": f"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as words from documents),
+        s as (select doc_id, case when len(words) = 0 then [] when len(words) < 5 then [array_to_string(words, ' ')] else list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) end as shingles from w),
+        e as (select doc_id, len(shingles) as n, unnest(shingles) as shingle from s),
+        both_ as (select x.doc_id as a, y.doc_id as b, any_value(x.n) as na, any_value(y.n) as nb, count(*) as i from e x join e y on x.shingle = y.shingle and x.doc_id <> y.doc_id group by x.doc_id, y.doc_id),
+        links as (select a, b from both_ where 100 * i >= 75 * (na + nb - i)), nodes as (select doc_id as id from documents), {_REACH}
+        select doc_id, len(shingles)::bigint as n_shingles, component_id, doc_id = component_id as kept from s join component on id = doc_id""",
+}
