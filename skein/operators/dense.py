@@ -2,25 +2,110 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.vectors import l2
 from skein.operators.lexical import ranked
 
+#: Query vectors that go to every task at once; more are taken in blocks of so many.
+QUERY_BLOCK = 16_384
+#: Vectors that a task compares with a block at once.
+STRIP = 1024
+DIGITS = 6
+
+
+class Best:
+    """The nearest sources of each query among what one task has seen so far."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, limit: int, metric: str, exclude_same: bool):
+        self.ids, self.limit, self.metric, self.exclude_same = ids, limit, metric, exclude_same
+        self.vectors = self.prepared(vectors)
+        self.worst = np.full(len(ids), np.inf)
+        self.found: list[list[tuple[float, object]]] = [[] for _ in ids]
+
+    def prepared(self, v: np.ndarray) -> np.ndarray:
+        return v / np.sqrt((v * v).sum(1, keepdims=True)) if self.metric == "cosine" else v
+
+    def add(self, ids: list, vectors: np.ndarray) -> None:
+        v = self.prepared(vectors)
+        near = v @ self.vectors.T
+        if self.metric == "l2":
+            near = (v * v).sum(1)[:, None] + (self.vectors * self.vectors).sum(1)[None, :] - 2 * near
+        else:
+            near = -near
+        # what the product says is off by rounding only: candidates get their value anew
+        limit = self.worst**2 if self.metric == "l2" else self.worst
+        rows, queries = np.nonzero(near <= limit[None, :] + 1e-5)
+        if self.metric == "l2":
+            value = np.sqrt(((v[rows] - self.vectors[queries]) ** 2).sum(1))
+        else:
+            value = -(v[rows] * self.vectors[queries]).sum(1)
+        value = np.round(value, DIGITS)
+        for r, q, x in zip(rows.tolist(), queries.tolist(), value.tolist(), strict=True):
+            if x <= self.worst[q] and not (self.exclude_same and ids[r] == self.ids[q]):
+                self.found[q].append((x, ids[r]))
+                if len(self.found[q]) >= 4 * self.limit:
+                    self.cut(q)
 
+    def cut(self, q: int) -> None:
+        best: dict = {}
+        for x, s in sorted(self.found[q]):
+            best.setdefault(s, x)
+            if len(best) == self.limit:
+                break
+        self.found[q] = [(x, s) for s, x in best.items()]
+        if len(best) == self.limit:
+            self.worst[q] = self.found[q][-1][0]
 
-def nearest(queries: DataFrame, chunks: DataFrame, limit: int = 80, distance=l2, descending: bool = False, allowed: DataFrame | None = None, same: Column | None = None) -> DataFrame:
-    """queries (qid, query_vector), chunks (source_id, vector, ...): for each query the ``limit`` nearest
-    sources; a source counts with its best chunk. ``allowed`` (source_id) filters first; ``same``
-    excludes pairs. A stated query set meets all chunks: each task goes over its chunks once."""
+    def rows(self) -> Iterator[tuple]:
+        for q, own in enumerate(self.found):
+            self.cut(q)
+            for x, s in self.found[q]:
+                yield self.ids[q], s, x if self.metric == "l2" else -x
+
+
+def nearest(queries: DataFrame, chunks: DataFrame, limit: int = 80, metric: str = "l2", allowed: DataFrame | None = None, exclude_same: bool = False, dimension: int | None = None) -> DataFrame:
+    """queries (qid, query_vector), chunks (source_id, vector): for each query the ``limit`` nearest
+    sources by ``metric`` (l2, or cosine with the greatest first) over the first ``dimension`` components:
+    qid, source_id, value, rank. A source counts with its best chunk. ``allowed`` (source_id) filters
+    before distances; ``exclude_same`` leaves a query's own id out.
+
+    A stated query set meets all chunks in blocks of a bounded size. Every task keeps only its best
+    sources per query, so what is shuffled does not grow with the number of pairs. Null vectors, and
+    vectors of zero length under cosine, are never near."""
+    chunks = chunks.select("source_id", "vector").filter("vector is not null")
+    queries = queries.select("qid", "query_vector").filter("query_vector is not null")
     if allowed is not None:
         chunks = chunks.join(allowed.select("source_id").distinct(), "source_id", "left_semi")
-    pairs = chunks.join(queries, F.lit(True) if same is None else ~same)
-    value = distance(F.col("query_vector"), F.col("vector"))
-    best = (F.max if descending else F.min)("value")
-    pooled = pairs.select("qid", "source_id", value.alias("value")).groupBy("qid", "source_id").agg(best.alias("value"))
-    return ranked(pooled, limit, "value", descending)
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, source_id {chunks.schema['source_id'].dataType.simpleString()}, value double"
+    out = None
+    for k in range(blocks):
+        block = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k)
+        rows = sorted((r["qid"], r["query_vector"]) for r in block.collect())
+        sent = queries.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], float).reshape(len(rows), -1)[:, :dimension]))
+
+        def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, vectors = sent.value
+            best = Best(ids, vectors, limit, metric, exclude_same) if ids else None
+            for b in batches:
+                for i in range(0, b.num_rows if best else 0, STRIP):
+                    part = b.slice(i, STRIP)
+                    best.add(part.column("source_id").to_pylist(), np.array(part.column("vector").to_pylist(), float)[:, :dimension])
+            made = list(best.rows()) if best else []
+            kinds = (None, b.schema.field("source_id").type, pa.float64()) if made else ()
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)], names=["qid", "source_id", "value"])
+
+        part = chunks.mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    descending = metric == "cosine"
+    pooled = out.groupBy("qid", "source_id").agg((F.max if descending else F.min)("value").alias("value"))
+    return ranked(pooled, limit, "value", descending, DIGITS)
 
 
 def max_pooled(scored: DataFrame, by: list[str], score: str, keep: list[str]) -> DataFrame:

@@ -66,8 +66,9 @@ def term_score(tf: Column, length: Column, average: Column) -> Column:
 
 def scores(index: Index, terms: DataFrame, profile: str = "production_v1", allowed: DataFrame | None = None, fields: list[str] | None = None) -> DataFrame:
     """(qid, source_id, score). Statistics are those of the whole index; ``allowed`` (qid, source_id or
-    source_id alone) restricts what is scored. The query's terms meet the postings first, so that only
-    their postings are shuffled; Spark broadcasts the terms if they are few."""
+    source_id alone) restricts what is scored. The query's terms meet the postings first, so only their
+    postings are shuffled, once, by source: what a query collects from a source's postings is then summed
+    where they are, and the many (query, source) hits do not move."""
     posted = index.postings if fields is None else index.postings.filter(F.col("field").isin(fields))
     wanted = terms.select("term").distinct()
     own = posted.join(wanted, "term", "left_semi")
@@ -79,7 +80,7 @@ def scores(index: Index, terms: DataFrame, profile: str = "production_v1", allow
     weight = weighed.select("term", "source_id", (boost * idf(F.col("sources"), F.col("df")) * term_score(F.col("tf"), F.col("length"), F.col("average"))).alias("w"))
     if allowed is not None and "qid" not in allowed.columns:
         weight = weight.join(allowed.select("source_id").distinct(), "source_id", "left_semi")
-    hit = weight.join(terms, "term")
+    hit = weight.repartition("source_id").join(terms, "term")
     if allowed is not None and "qid" in allowed.columns:
         hit = hit.join(allowed, ["qid", "source_id"], "left_semi")
     return hit.groupBy("qid", "source_id").agg(F.sum(F.col("w") * F.col("qtf")).alias("score"))

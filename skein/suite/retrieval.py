@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
-from skein.functions.vectors import cosine, l2, truncated
+from skein.functions.vectors import cosine, truncated
 from skein.operators import chunks, dense, fusion, lexical, resolve
 from skein.operators.filters import has_all
 from skein.suite.base import benchmark_terms, bm25_sql, index_of, lexical_hits, query, t, top_sql
@@ -99,20 +99,20 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(f"""with {_PAIRS} select qid, source_id, round(list_distance(a, b), 6) as value, row_number() over (partition by qid order by round(list_distance(a, b), 6), source_id) as rank from pairs qualify rank <= 80""")
 def knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c = _vectors(spark, sf_dir)
-    return dense.nearest(q, c, 80, same=F.col("qid") == F.col("source_id"))
+    return dense.nearest(q, c, 80, exclude_same=True)
 
 
 @query(f"""with {_PAIRS} select qid, source_id, round(list_cosine_similarity(a, b), 6) as value, row_number() over (partition by qid order by round(list_cosine_similarity(a, b), 6) desc, source_id) as rank from pairs qualify rank <= 20""")
 def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c = _vectors(spark, sf_dir)
-    return dense.nearest(q, c, 20, cosine, True, same=F.col("qid") == F.col("source_id"))
+    return dense.nearest(q, c, 20, "cosine", exclude_same=True)
 
 
 @query(f"""with {_PAIRS} select qid, source_id, round(list_distance(a, b), 6) as value, row_number() over (partition by qid order by round(list_distance(a, b), 6), source_id) as rank from pairs where label % 2 = 0 qualify rank <= 10""")
 def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filter goes before the distances."""
     q, c = _vectors(spark, sf_dir)
-    return dense.nearest(q, c, 10, allowed=c.filter("label % 2 = 0"), same=F.col("qid") == F.col("source_id"))
+    return dense.nearest(q, c, 10, allowed=c.filter("label % 2 = 0"), exclude_same=True)
 
 
 @query("""with x as (select vec_id, list_transform(embedding[1:32], lambda v: v::double) as h from embeddings), n as (select vec_id, h, sqrt(list_sum(list_transform(h, lambda v: v * v))) as len from x)
@@ -134,9 +134,8 @@ def maxpool_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _branches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two rankings of the same query vectors: by cosine, and by the distance of truncated vectors."""
     q, c = _vectors(spark, sf_dir)
-    first = dense.nearest(q, c, 80, cosine, True, same=F.col("qid") == F.col("source_id"))
-    short = lambda a, b: l2(F.slice(a, 1, 16), F.slice(b, 1, 16))
-    return first.select("qid", "source_id", "rank"), dense.nearest(q, c, 80, short, same=F.col("qid") == F.col("source_id")).select("qid", "source_id", "rank")
+    first, short = dense.nearest(q, c, 80, "cosine", exclude_same=True), dense.nearest(q, c, 80, exclude_same=True, dimension=16)
+    return first.select("qid", "source_id", "rank"), short.select("qid", "source_id", "rank")
 
 
 _BRANCHES = f"""with {_PAIRS},
