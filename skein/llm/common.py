@@ -1,12 +1,8 @@
-"""Helpers that the operators of this subpackage share: inputs, shared storage, bounded samples."""
+"""Helpers that the operators of this subpackage share: inputs, bounded samples, row filters."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,44 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.ngrams import slices
+from skein.plans.storage import new_folder, written
+
+__all__ = ["labelled_sample", "let", "new_folder", "remainder", "rows_that", "share", "table", "worker_threads", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    Where the session has none (plain local tests), a temporary folder is made and set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="skein-")
-        atexit.register(shutil.rmtree, named[7:], ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder; it is deleted when the application ends."""
-    path = f"{shared_folder(spark)}/skein/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again: cuts the lineage, and
-    what is written survives the loss of any executor."""
-    spark = df.sparkSession
-    path = new_folder(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; null ids count as the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

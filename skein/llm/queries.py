@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skein.llm import bpe, embeddings, langid, minhash, packing, quality, rules, secrets, toxicity, warc
 from skein.llm.common import table
@@ -50,7 +51,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.judge_documents(table(spark, sf_dir, "documents"))
+    judged = rules.judge_documents(table(spark, sf_dir, "documents"))
+    return judged.withColumn("quality_probability", F.round("quality_probability", 6))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -58,6 +60,61 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_toxicity, op2_warc, op3_bpe, op4_secret_scan, op5_packing, op6_embedding_links, op7_minhash, op8_quality_classifier, op9_language_id, op10_quality_rules)
 }
 
+
+
+def _secret_sql() -> str:
+    """The same patterns; what stands between matches and the matches' lengths give positions."""
+    kinds = zip(secrets.KINDS, (secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.OWNED), strict=True)
+
+    def finds(rank: int, kind: str, pattern: str) -> str:
+        q = pattern.replace("'", "''")
+        value = f"regexp_extract(m[i], '{q}', 2)" if kind == "assign" else "m[i]"
+        good = {"assign": f"length({value}) >= {secrets.LEAST_VALUE}", "owned": "regexp_matches(m[i], '[0-9]') and regexp_matches(m[i], '[A-Za-z]')"}.get(kind, "true")
+        return f"""select rid, repo, {rank} as rank, '{kind}' as kind, (list_sum(list_transform(p[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0))::bigint as start, length(m[i]) as size, {value} as value
+            from (select rid, repo, m, p, unnest(range(1, len(m) + 1)) as i from (select rid, repo, regexp_extract_all(x, '{q}') as m, regexp_split_to_array(x, '{q}') as p from d)) where {good}"""
+
+    every = " union all ".join(finds(r, k, p) for r, (k, p) in enumerate(kinds))
+    return f"""with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as x, coalesce(source, '') as repo from documents),
+        f as ({every}), c as (select * from f where rank < 3 or not exists (select 1 from f b where b.rid = f.rid and b.rank < 3 and b.start < f.start + f.size and f.start < b.start + b.size)),
+        wide as (select value from c group by value having count(distinct repo) >= {secrets.WIDE}),
+        j as (select *, value in (select value from wide) as is_wide, kind || ':' || start || ':' || (start + size) as said from c),
+        g as (select rid, count(*) filter (rank = 0) as n_assign, count(*) filter (rank = 1) as n_access, count(*) filter (rank = 2) as n_hex, coalesce(string_agg(said, ',' order by start, rank) filter (rank < 3), '') as base,
+            coalesce(string_agg(said, ',' order by start, rank) filter (rank < 3 or not is_wide), '') as spans, count(*) filter (rank = 3 and not is_wide) as n_owned, count(*) filter (is_wide) as n_wide from j group by rid)
+        select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_owned, 0) as n_owned, coalesce(n_wide, 0) as n_wide from d left join g using (rid)"""
+
+
+def _rules_sql() -> str:
+    """The same counts and votes; the estimates as a recursion over the vote patterns."""
+    votes = {
+        "length": ("n_words < 10", "n_words >= 50"), "word_length": ("len_ < 2.5 or len_ > 14", "len_ >= 3 and len_ <= 11"), "symbols": ("sym > 0.1", "sym <= 0.02"), "dup_lines": ("dup > 0.3 and n_dup_lines >= 3", "dup <= 0.1"),
+        "repeats": ("rep > 0.2", "rep <= 0.02"), "upper_case": ("upp > 0.4", "upp <= 0.15"), "letters": ("let_ < 0.6", "let_ >= 0.85"),
+    }
+    names = list(votes)
+    odds = " + ".join(["ln(prior / (1 - prior))", *(f"case {k} when 1 then ln(g[{i}] / (1 - b[{i}])) when 0 then ln((1 - g[{i}]) / b[{i}]) else 0 end" for i, k in enumerate(names, 1))])
+    bounded = lambda x, lo_hi: f"least(greatest({x}, {lo_hi[0]}::double), {lo_hi[1]}::double)"
+    rate = lambda v, weight, k: f"(coalesce(sum(case when {k} = {v} then {weight} end), 0) + 1) / (coalesce(sum(case when {k} >= 0 then {weight} end), 0) + 2)"
+    good = ", ".join(bounded(rate(1, "p", k), rules.GOOD_BOUNDS) for k in names)
+    bad = ", ".join(bounded(rate(0, "n - p", k), rules.BAD_BOUNDS) for k in names)
+    moved = ", ".join(["abs(new_prior - prior)", *(f"abs(ng[{i}] - g[{i}]), abs(nb[{i}] - b[{i}])" for i in range(1, len(names) + 1))])
+    start = lambda x: "[" + ", ".join([f"{x}::double"] * len(names)) + "]"
+    return f"""with recursive d as (select row_number() over () as rid, doc_id, coalesce(text, '') as x from documents),
+        w as (select *, list_filter(regexp_split_to_array(x, '[\\x20\\x09-\\x0D]+'), lambda y: y <> '') as words, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) as lines from d),
+        win as (select rid, i, count(*) over (partition by rid, gram) as n from (select rid, i, array_to_string(words[i:i + 4], ' ') as gram from (select rid, words, unnest(range(1, len(words) - 3)) as i from w))),
+        rep as (select rid, sum(least(5, coalesce(following - i, 5)))::bigint as n_repeat_words from (select rid, i, lead(i) over (partition by rid order by i) as following from win where n > 1) group by rid),
+        f as (select doc_id, len(words)::bigint as n_words, coalesce(list_sum(list_transform(words, lambda y: length(y))), 0)::bigint as word_chars, len(regexp_extract_all(x, '[#*$%&|<>]'))::bigint as n_symbols,
+            (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, len(lines) as n_lines, len(regexp_extract_all(x, '\\p{{Lu}}')) as n_upper, len(list_filter(words, lambda y: regexp_matches(y, '\\p{{L}}'))) as n_letters from w left join rep using (rid)),
+        s as (select *, word_chars / greatest(n_words, 1)::double as len_, n_symbols / greatest(n_words, 1)::double as sym, n_dup_lines / greatest(n_lines, 1)::double as dup, n_repeat_words / greatest(n_words, 1)::double as rep, n_upper / greatest(word_chars, 1)::double as upp, n_letters / greatest(n_words, 1)::double as let_ from f),
+        v as (select *, {", ".join(f"case when {b} then 0 when {g} then 1 else -1 end as {k}" for k, (b, g) in votes.items())} from s),
+        pat as (select {", ".join(names)}, count(*)::double as n from v group by all),
+        em as (select 0 as round, {rules.START_PRIOR}::double as prior, {start(rules.START_RIGHT[0])} as g, {start(rules.START_RIGHT[1])} as b, 1::double as moved
+            union all select round + 1, new_prior, ng, nb, greatest({moved}) from (
+                select round, prior, g, b, {bounded("sum(p) / sum(n)", rules.PRIOR_BOUNDS)} as new_prior, [{good}] as ng, [{bad}] as nb
+                from (select em.*, pat.*, n / (1 + exp(-({odds}))) as p from em, pat where round < {rules.ROUNDS} and moved >= {rules.SETTLED}) group by round, prior, g, b)),
+        last_ as (select prior, g, b from em order by round desc limit 1),
+        q as (select v.*, 1 / (1 + exp(-({odds}))) as probability, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from v, last_)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and probability >= 0.5 as kept, round(probability, 6) as quality_probability from q"""
+
+
 #: Components by reachability over ``links`` (a, b), both ways; nodes are in ``nodes`` (id).
 _REACH = "reach(id, other) as (select id, id from nodes union select r.id, l.b from reach r join links l on l.a = r.other), component as (select id, min(other) as component_id from reach group by id)"
 
@@ -67,6 +124,7 @@ ORACLE_SQL: dict[str, str] = {
         select page_id, strlen(payload)::bigint as payload_bytes,
             array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((((strpos('0123456789abcdef', substr(hex, (5 * k // 4)::bigint + 1, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(hex, (5 * k // 4)::bigint + 2, 1)) - 1) // (2 ** (3 - 5 * k % 4))::bigint) % 32)::bigint + 1, 1)), '') as payload_digest,
             case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from f""",
+    "op4_secret_scan": _secret_sql(),
     "op6_embedding_links": f"""with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings where embedding is not null),
         u as (select vec_id, e from v where len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
         links as (select x.vec_id as a, y.vec_id as b from u x join u y on x.vec_id <> y.vec_id and len(x.e) = len(y.e) where list_cosine_similarity(x.e, y.e) >= 0.9::double),
@@ -78,4 +136,5 @@ ORACLE_SQL: dict[str, str] = {
         both_ as (select x.doc_id as a, y.doc_id as b, any_value(x.n) as na, any_value(y.n) as nb, count(*) as i from e x join e y on x.shingle = y.shingle and x.doc_id <> y.doc_id group by x.doc_id, y.doc_id),
         links as (select a, b from both_ where 100 * i >= 75 * (na + nb - i)), nodes as (select doc_id as id from documents), {_REACH}
         select doc_id, len(shingles)::bigint as n_shingles, component_id, doc_id = component_id as kept from s join component on id = doc_id""",
+    "op10_quality_rules": _rules_sql(),
 }
