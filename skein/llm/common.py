@@ -52,7 +52,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     for k, n in counts.items():
         part = F.when(F.col("skein_label") == k, min(1.0, per_class / n)).otherwise(part)
     chosen = known.filter(share(F.col("doc_id"), seed) < part)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").filter(F.length("text") <= most_chars).collect()
+    known_texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").filter(F.length("text") <= most_chars)
+    rows = known_texts.groupBy("doc_id", "skein_label").agg(F.min("text").alias("text")).collect()  # one of rows that repeat an id
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return [r["text"] for r in rows], [int(r["skein_label"]) for r in rows]
 

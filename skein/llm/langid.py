@@ -146,7 +146,7 @@ def fit_documents(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     part = F.lit(0.0)
     for r in counts:
         part = F.when(F.col("lang") == r["lang"], min(1.0, per_language / r["count"])).otherwise(part)
-    rows = learn.filter(share(F.col("doc_id"), "lang") < part).select("doc_id", "text", "lang").collect()
+    rows = learn.filter(share(F.col("doc_id"), "lang") < part).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()  # one of rows that repeat an id
     rows = sorted((r["doc_id"], r["text"], r["lang"]) for r in rows if _letter(r["text"]))
     return fit([r[1] for r in rows], [r[2] for r in rows])
 
