@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -66,7 +67,7 @@ def chunk(text: str, target: int = TARGET, overlap: int = OVERLAP, reach: int =
     if not spans:
         return []
     layout, starts, n = Layout(text), [s for s, _ in spans], len(spans)
-    first_at = lambda place: next((i for i, s in enumerate(starts) if s >= place), n)
+    first_at = lambda place: bisect_left(starts, place)
     edges = sorted({first_at(b) for b in layout.boundaries})
     fences = [(a, b) for a, b in ((first_at(x), first_at(y)) for x, y in layout.fences) if a < b]
     out, start = [], 0

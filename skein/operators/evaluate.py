@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.plans.storage import written
+
 #: Class weights of the combined score.
 CLASS_WEIGHTS = {"english_semantic": 0.5, "korean_semantic": 0.2, "ko_query_en_source": 0.15, "en_query_ko_source": 0.1, "comment_only": 0.025, "long_context": 0.025}
 
@@ -46,11 +48,16 @@ def exact_top1(rankings: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def nearest_rank(rows: DataFrame, value: str, shares: list[float]) -> DataFrame:
-    """Percentiles that are values of the data: sorted[ceil(p n) - 1]. Counts of distinct values are
-    summed in order, so no task has to sort all rows."""
+    """Percentiles that are values of the data: sorted[ceil(p n) - 1]. Distinct values are counted and
+    dealt by range; running counts are taken inside the ranges and start from the ranges' totals, so no
+    task goes over all values."""
     counts = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy(value))
-    seen = counts.withColumn("upto", upto).crossJoin(counts.agg(F.sum("n").alias("all")))
+    ranged = written(counts.repartitionByRange(value).withColumn("part", F.spark_partition_id()), "counts")
+    totals = ranged.groupBy("part").agg(F.sum("n").alias("n"))  # a row per range
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy()).alias("all"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy(value))
+    seen = ranged.join(before, "part").withColumn("upto", upto)
     return seen.agg(*(F.min(F.when(F.col("upto") >= F.greatest(F.lit(1.0), F.ceil(F.col("all") * p)), F.col(value))).alias(f"p{round(100 * p)}") for p in shares))
 
 

@@ -32,11 +32,11 @@ class Index:
 
     @staticmethod
     def build(sources: DataFrame, fields: dict[str, Column], path: str, key: str = "source_id") -> Index:
-        """Write the tables under ``path``. Postings are dealt and sorted by term, so that a lookup of
-        terms reads few row groups; stored (field, term, df) saves counting at query time."""
+        """Write the tables under ``path``. Postings are dealt by range and sorted by term, so that a lookup
+        of terms reads few row groups; a term that most sources have spreads over several files."""
         spark = sources.sparkSession
         found = postings(sources, fields, key)
-        found.repartition("term").sortWithinPartitions("term", "field").write.mode("errorifexists").parquet(f"{path}/postings")
+        found.repartitionByRange("term", "field", "source_id").sortWithinPartitions("term", "field", "source_id").write.mode("errorifexists").parquet(f"{path}/postings")
         parts = F.array(*(F.struct(F.lit(n).alias("field"), F.size(tokens(c)).cast("long").alias("length")) for n, c in fields.items()))
         sources.select(F.col(key).alias("source_id"), F.explode(parts).alias("part")).select("part.field", "source_id", "part.length").write.parquet(f"{path}/lengths")
         spark.read.parquet(f"{path}/lengths").groupBy("field").agg(F.count("*").alias("sources"), F.avg("length").alias("average")).coalesce(1).write.parquet(f"{path}/stats")
