@@ -35,6 +35,8 @@ _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\x
 LATIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 #: Entries a worker keeps of pre-tokens seen and of pairs tried, at most; beyond it the older half goes.
 KEEP = 300_000
+#: Characters of a pre-token from which on it is not kept.
+LONG = 64
 
 
 def _byte_chars() -> dict[str, int]:
@@ -73,7 +75,9 @@ class _Seen(dict):
         self.encode, self.older = encode, {}
 
     def __missing__(self, piece: str) -> bytes:
-        made = self[piece] = self.older.get(piece) or self.encode(piece)
+        made = self.older.get(piece) or self.encode(piece)
+        if len(piece) <= LONG:
+            self[piece] = made
         return made
 
     def age(self) -> None:
@@ -106,6 +110,7 @@ class Encoder:
         for k, v in vocab.items():
             self.auto.add_word(k, v)
         self.auto.make_automaton()
+        self.widest = max(map(len, vocab))
         self.shorter: dict[int, int] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.seen = _Seen(self.piece)
@@ -156,17 +161,18 @@ class Encoder:
         out = [t for _, t in self.auto.iter_long(s)]
         if all(map(self.fits, out, out[1:])):
             return out
-        text, longest, n = self.text, self.auto.iter_long, len(s)
+        text, n, widest = self.text, len(s), self.widest
+        longest = lambda at: next(self.auto.iter_long(s[at : at + widest]))[1]
         hopeless = bytearray(n + 1)
         out, at = [], 0
-        token = next(longest(s))[1]
+        token = longest(0)
         while at < n:
             end = at + len(text[token])
             if not hopeless[end] and (not out or self.fits(out[-1], token)):
                 out.append(token)
                 at = end
                 if at < n:
-                    token = next(longest(s, at))[1]
+                    token = longest(at)
                 continue
             token = self.next_shorter(token)
             while token < 0:

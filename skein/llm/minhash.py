@@ -48,6 +48,9 @@ MOST_BROADCAST = 1_000_000
 #: Set elements hashed at once for a sketch: a block of this times REGISTERS 64-bit numbers.
 BLOCK = 256
 
+#: Bytes of text for which tables of powers are kept in a worker.
+KEPT_POWERS = 1 << 20
+
 _u = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(0, 2**64, 256, dtype=_u)
@@ -64,14 +67,17 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> list[np.ndarray]:
-    """Powers of the step and of its inverse modulo 2^64, n at least."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for i, step in enumerate((_STEP, pow(_STEP, -1, 2**64))):
-            full = np.full(size, step, _u)
-            full[0] = 1
-            _powers[i] = np.cumprod(full, dtype=_u)
-    return _powers
+    """Powers of the step and of its inverse modulo 2^64, n at least; long tables are not kept."""
+    if len(_powers[0]) >= n:
+        return _powers
+    made = []
+    for step in (_STEP, pow(_STEP, -1, 2**64)):
+        full = np.full(max(n, 1 << 16), step, _u)
+        full[0] = 1
+        made.append(np.cumprod(full, dtype=_u))
+    if n <= KEPT_POWERS:
+        _powers[:] = made
+    return made
 
 
 def shingles(text: str | None) -> np.ndarray:

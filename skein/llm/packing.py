@@ -61,7 +61,11 @@ class Tokeniser:
         for w, e in zip(new, self.pieces.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.seen[w] = b"".join([le[i] for i in e.ids])
         get = self.seen.__getitem__
-        return [b"".join([le[i] for i in self.whole.encode(t, add_special_tokens=False).ids]) if w is None else b"".join(map(get, w)) for t, w in zip(texts, split, strict=True)]
+        coded = [b"".join([le[i] for i in self.whole.encode(t, add_special_tokens=False).ids]) if w is None else b"".join(map(get, w)) for t, w in zip(texts, split, strict=True)]
+        for w in new:
+            if len(w) > bpe.LONG:
+                del self.seen[w]
+        return coded
 
 
 _tokenisers: dict[bytes, Tokeniser] = {}
