@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from skein.llm.common import written
 from skein.llm.components import connected_components
 
-#: Vectors of a block, about; a tile's task holds two blocks and a strip of their product.
-BLOCK, STRIP = 8192, 512
+#: Vectors of a block, at most about; a tile's task holds two blocks and a strip of their product. Small
+#: tables get LEAST_BLOCKS blocks, so that their tiles are many tasks too.
+BLOCK, STRIP, LEAST_BLOCKS = 8192, 512, 8
 #: Room for rounding in single precision products and scales.
 SLACK = 1e-5
 #: Beyond so many dimensions a product of int8 values might not be exact in single precision.
@@ -130,7 +131,8 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     kind = rows.schema["id"].dataType.simpleString()
     keyed = written(rows.mapInArrow(_classes, f"id {kind}, key binary, raw binary"), "vectors")
     classes = written(keyed.filter("key is not null").groupBy("key").agg(F.first("raw").alias("raw"), F.count("*").alias("copies"), F.min("id").alias("least")), "vector-classes")
-    blocks = max(1, -(-classes.count() // BLOCK))
+    size = classes.count()
+    blocks = max(1, min(LEAST_BLOCKS, size // 64), -(-size // BLOCK))
     dealt = classes.select("key", "raw", "copies", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
     tiles = dealt.select("*", other).select("key", "raw", "copies", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
