@@ -10,6 +10,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,18 +89,30 @@ def batches_by_length(texts: list[str]) -> Iterator[list[int]]:
     yield from ([i] for i in order if i not in held)
 
 
+_loaded: dict[bytes, object] = {}
+
+
+def _plugged(raw: bytes):
+    """The plugged-in object, unpickled once in each Python worker."""
+    key = hashlib.sha256(raw).digest()
+    if key not in _loaded:
+        _loaded[key] = cloudpickle.loads(raw)
+    return _loaded[key]
+
+
 def embedded(rows: DataFrame, encoder: Encoder, text: str, keep: list[str], prefix: str = "") -> DataFrame:
     """``keep`` columns and ``vector``: array<double> of length one."""
-    sent = rows.sparkSession.sparkContext.broadcast(encoder)
+    sent = rows.sparkSession.sparkContext.broadcast(cloudpickle.dumps(encoder))
     source = rows.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("skein_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", vector array<double>"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _plugged(sent.value)
         for b in batches:
             texts = [prefix + t for t in b.column("skein_text").to_pylist()]
-            out = np.zeros((len(texts), sent.value.dimension))
+            out = np.zeros((len(texts), model.dimension))
             for part in batches_by_length(texts):
-                out[part] = sent.value.encode([texts[i] for i in part])
+                out[part] = model.encode([texts[i] for i in part])
             if not np.isfinite(out).all():
                 raise ValueError("encoder gave a vector that is not finite")
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(list(out), pa.list_(pa.float64()))], names=[*keep, "vector"])
@@ -109,14 +122,15 @@ def embedded(rows: DataFrame, encoder: Encoder, text: str, keep: list[str], pref
 
 def scored_pairs(pairs: DataFrame, scorer: Scorer, query: str, document: str, keep: list[str]) -> DataFrame:
     """``keep`` columns and ``score`` of each (query, document) pair."""
-    sent = pairs.sparkSession.sparkContext.broadcast(scorer)
+    sent = pairs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(scorer))
     source = pairs.select(*keep, F.coalesce(F.col(query), F.lit("")).alias("skein_q"), F.coalesce(F.col(document), F.lit("")).alias("skein_d"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-2]) + ", score double"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _plugged(sent.value)
         for b in batches:
             both = [pair_texts(q, d) for q, d in zip(b.column("skein_q").to_pylist(), b.column("skein_d").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(sent.value.score(both), pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(model.score(both), pa.float64())], names=[*keep, "score"])
 
     return source.mapInArrow(run, schema)
 
