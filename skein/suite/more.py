@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.operators import chunks, decisions, filters, fusion, lexical, models, resolve
+from skein.functions.text import tokens
+from skein.operators import chunks, decisions, filters, fusion, grammar, lexical, models, resolve
 from skein.plans import search
 from skein.plans.storage import new_folder, written
-from skein.suite.base import bm25_sql, lexical_hits, query, t, top_sql
+from skein.suite.base import bm25_sql, index_of, lexical_hits, query, t, top_sql
 from skein.suite.retrieval import _BRANCHES, _branches
 
 
@@ -159,3 +160,22 @@ def search_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = models.embedded(asked, encoder, "query", ["qid", "query"], models.QUERY_PREFIX).withColumnRenamed("vector", "query_vector")
     corpus = search.Corpus(sources, sources.filter("issue_number % 97 = 5").select("source_id"), index, vectors, lines)
     return search.search(corpus, queries)
+
+
+_OPERATORS = """ops as (select item_id, [x for x in regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+') if x <> '' and strlen(x) < 40] as w from benchmark),
+    cl as (select item_id as qid, 'must' as occur, 'body' as asked, w[1] as term from ops union all select item_id, 'not', null, w[4] from ops where w[4] not in (w[1], w[2], w[3]) union all select item_id, 'should', null, w[2] from ops union all select item_id, 'should', 'title', w[3] from ops),
+    qc as (select qid, occur, asked, term, count(*) as qtf from cl where term is not null group by all),
+    h as (select qc.*, p.doc_id as source_id, qtf * ln(1 + (s.n - f.df + 0.5::double) / (f.df + 0.5::double)) * p.tf * 2.2::double / (p.tf + 1.2::double * (0.25::double + 0.75::double * p.length / s.average)) as w
+        from qc join post p on p.term = qc.term and (qc.asked is null or qc.asked = p.field) join freq f on f.field = p.field and f.term = p.term join stats s on s.field = p.field),
+    g as (select qid, source_id, sum(w) filter (occur <> 'not') as score, count(distinct term) filter (occur = 'must') as met, count(*) filter (occur = 'not') as broken from h group by qid, source_id),
+    top as (select qid, source_id, score from g where broken = 0 and met = 1)"""
+
+
+@query(f"{bm25_sql(fields=('title', 'body'))}, {_OPERATORS} select * from {top_sql(10, 'top')}")
+def bm25_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A required term in the body, a forbidden one anywhere, optional ones, one of them in the title."""
+    w = tokens(F.col("text"))
+    forbidden = F.when(~F.get(w, 3).isin(*(F.get(w, i) for i in range(3))), F.concat(F.lit("-"), F.get(w, 3)))
+    asked = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.concat_ws(" ", F.concat(F.lit("+body:"), F.get(w, 0)), F.get(w, 1), F.concat(F.lit("title:"), F.get(w, 2)), forbidden).alias("query"))
+    index = index_of(spark, sf_dir)
+    return lexical.ranked(grammar.scores(index, grammar.clauses(asked, F.col("query"), ["title", "body"])), 10)

@@ -188,3 +188,18 @@ def test_search_end_to_end(spark, tmp_path):
     assert {(r["qid"], r["source_id"]) for r in lexical_only} == {(1, "s1")}
     assert search.envelope(search.search(corpus, q)).count() == 4
     assert "query" not in search.query_log(search.search(corpus, q), q).columns
+
+
+@pytest.mark.parametrize(("query", "bad"), [("a b", False), ("+a -b title:c", False), ("+", True), ("a - b", True), ("title:", True), ('say "x', True), ('say "x"', False), ("http://x", False), ("--type", False)])
+def test_invalid_queries(spark, query, bad):
+    from skein.operators.grammar import query_error
+
+    assert one(spark, query_error(F.lit(query), ["title", "body"]))[0] == ("validation.invalid_query" if bad else None)
+
+
+def test_query_clauses(spark):
+    from skein.operators.grammar import clauses
+
+    q = spark.createDataFrame([(1, "+Foo -bar title:baz other:qux x x"), (2, "+")], "qid long, query string")
+    got = {(r["occur"], r["field"], r["term"], r["qtf"]) for r in clauses(q, F.col("query"), ["title"]).collect()}
+    assert got == {("must", None, "foo", 1), ("not", None, "bar", 1), ("should", "title", "baz", 1), ("should", None, "other", 1), ("should", None, "qux", 1), ("should", None, "x", 2)}
