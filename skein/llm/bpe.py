@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import in_batches
+
 #: The pre-token pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts within Latin-1, where the plain ``re`` module is faster.
@@ -268,7 +270,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_i
             cols = {"doc_id": b.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(sha, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
             yield pa.RecordBatch.from_pydict(cols | ({"ids": pa.array(kept, pa.binary())} if with_ids else {}))
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if with_ids else ""))
+    return in_batches(rows, run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if with_ids else ""))
 
 
 def decode_documents(ids: DataFrame, vocabulary_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -281,4 +283,4 @@ def decode_documents(ids: DataFrame, vocabulary_path: str, id_col: str = "doc_id
         for b in batches:
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text": pa.array([enc.decode_bytes(x.as_py() or b"").decode() for x in b.column("ids")], pa.string())})
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
+    return in_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from skein.llm.ngrams import slices
 from skein.plans.storage import new_folder, written
 
-__all__ = ["labelled_sample", "let", "new_folder", "remainder", "rows_that", "share", "table", "worker_threads", "written"]
+__all__ = ["in_batches", "labelled_sample", "let", "new_folder", "remainder", "rows_that", "share", "table", "worker_threads", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +59,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     return [r["text"] for r in rows], [int(r["skein_label"]) for r in rows]
 
 
+#: Rows and bytes of a batch that goes to a Python worker, at most (but for one longer row).
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with small batches: a worker's memory holds a few of them."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.sub(r"\D", "", conf.get(key)) or 0)
+        if not 0 < now <= most:
+            conf.set(key, str(most))
+    return df.mapInArrow(run, schema)
+
+
 def rows_that(docs: DataFrame, judge, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text ``judge`` accepts, all columns as they are; no shuffle.
     ``judge``: called on a worker with a list of whole texts (null: ''), gives a boolean for each."""
@@ -68,4 +83,4 @@ def rows_that(docs: DataFrame, judge, text_col: str = "text") -> DataFrame:
             if said:
                 yield b.filter(pa.array(np.concatenate(said)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)

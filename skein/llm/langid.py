@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import ngrams
-from skein.llm.common import remainder, rows_that, share
+from skein.llm.common import in_batches, remainder, rows_that, share
 from skein.llm.linear import Rows, hinge
 
 #: Language families by ISO 639-1 code. Other codes are families of their own.
@@ -165,7 +165,7 @@ def predict_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", tex
                 scores.append(score)
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "lang_pred": pa.array(names, pa.string()), "score": pa.array(np.concatenate(scores), pa.float64())})
 
-    made = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    made = in_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
     return made.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
 
 

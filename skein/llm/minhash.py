@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import share, written
+from skein.llm.common import in_batches, share, written
 from skein.llm.components import connected_components
 
 WORDS = 5
@@ -238,7 +238,7 @@ def link_documents(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", t
     different sets, enough to connect each component. Only the two named columns are read."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    signed = written(rows.mapInArrow(_signatures, f"doc_id {kind}, n_shingles long, digest binary, registers binary"), "signatures")
+    signed = written(in_batches(rows, _signatures, f"doc_id {kind}, n_shingles long, digest binary, registers binary"), "signatures")
     usable = signed.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "classes")
 
@@ -250,7 +250,7 @@ def link_documents(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", t
 
     wanted = written(members.groupBy("node").agg(F.sum("size").alias("company")), "wanted")
     texts = rows.join(_few(wanted.select(F.col("node").alias("doc_id"))), "doc_id").select(F.col("doc_id").alias("node"), "text")
-    sets = written(texts.mapInArrow(_sets, f"node {kind}, n long, registers binary, low binary, elements array<long>"), "sets")
+    sets = written(in_batches(texts, _sets, f"node {kind}, n long, registers binary, low binary, elements array<long>"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b) whose full sets are similar enough."""

@@ -29,14 +29,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
 from skein.llm import bpe
-from skein.llm.common import worker_threads
+from skein.llm.common import in_batches, worker_threads
 
 #: Part of the capacity below which a piece goes to the last class.
 SMALL = 32
 #: Ids that a bin may lack for its piece to stay whole.
 SLACK = 4
 #: Pre-tokens whose ids a worker keeps, at most; beyond it starts anew.
-KEEP = 800_000
+KEEP = 500_000
 FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -192,4 +192,4 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, capacity: int = 1024,
             packer.close()
             yield made()
 
-    return rows.mapInArrow(run, f"doc_id {id_type.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return in_batches(rows, run, f"doc_id {id_type.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import ngrams
-from skein.llm.common import labelled_sample, remainder
+from skein.llm.common import in_batches, labelled_sample, remainder
 from skein.llm.linear import calibrated, probability
 
 BITS, LENGTHS, DIMENSIONS = 18, (3, 4, 5, 6), 8
@@ -185,7 +185,7 @@ def _scored(docs: DataFrame, model, id_col: str, text_col: str) -> DataFrame:
             scores = [sent.value.score(part) for part in ngrams.slices(b.column("text"))]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "score": pa.array(np.concatenate([*scores, np.zeros(0)]), pa.float64())})
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return in_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def detect(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import new_folder, written
+from skein.llm.common import in_batches, new_folder, written
 
 BLOCK_LINES = 512
 #: Repeated digests that may be broadcast (about 60 bytes each); beyond it pages are joined by shuffle.
@@ -145,7 +145,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, date: st
     known = rows.join(F.broadcast(repeated) if repeated.count() <= MOST_BROADCAST else repeated, "sha1", "left")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     ready = known.select(text("page").alias("id"), "url", "payload", "sha1", F.when(~F.col("page").eqNullSafe(F.col("first")), F.col("first").cast("string")).alias("refers_to"))
-    return written(ready.sortWithinPartitions("id", "url", "sha1").mapInArrow(_writer(folder, date), FIELDS), "captures")
+    return written(in_batches(ready.sortWithinPartitions("id", "url", "sha1"), _writer(folder, date), FIELDS), "captures")
 
 
 def _writer(folder: str, date: str):
