@@ -9,7 +9,7 @@ from skein.functions.text import tokens
 from skein.operators import chunks, decisions, filters, fusion, grammar, lexical, models, resolve
 from skein.plans import search
 from skein.plans.storage import new_folder, written
-from skein.suite.base import bm25_sql, index_of, lexical_hits, query, t, top_sql
+from skein.suite.base import bm25_sql, index_of, lexical_hits, query, t, top_sql, whole
 from skein.suite.retrieval import _BRANCHES, _branches
 
 
@@ -130,13 +130,17 @@ def staged_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("select b.item_id as qid, d.doc_id as source_id, 1::double as score from benchmark b join documents d on contains(d.text, b.text) where len(regexp_extract_all(b.text, '[a-zA-Z]+')) > 0 and strlen(d.text) < 600")
-def rerank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pluggable scorer over pairs: a document that holds the whole query has all of its words."""
-    docs = t(spark, sf_dir, "documents").filter(F.octet_length("text") < 600).select(F.col("doc_id").alias("source_id"), F.col("text").alias("body"))
+def rerank_scores(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """A pluggable scorer over pairs: a document that holds the whole query has all of its words. The
+    whole form takes documents of any length; words after the scorer's window then do not count."""
+    docs = t(spark, sf_dir, "documents").filter(F.lit(True) if whole else F.octet_length("text") < 600).select(F.col("doc_id").alias("source_id"), F.col("text").alias("body"))
     pairs = t(spark, sf_dir, "benchmark").join(docs, F.contains("body", "text")).select(F.col("item_id").alias("qid"), "source_id", F.col("text").alias("query"), "body")
     return models.scored_pairs(pairs, models.OverlapScorer(), "query", "body", ["qid", "source_id"])
 
 
+whole(rerank_scores)
+
+
 @query()
 def search_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole query lifecycle over conversations: turn 0 is an issue, later turns its comments. Routes,
