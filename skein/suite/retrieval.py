@@ -9,7 +9,7 @@ from skein.functions import text as X
 from skein.functions.vectors import cosine, truncated
 from skein.operators import chunks, dense, fusion, lexical, resolve
 from skein.operators.filters import has_all
-from skein.suite.base import benchmark_terms, bm25_sql, index_of, lexical_hits, query, t, top_sql
+from skein.suite.base import benchmark_terms, bm25_sql, index_of, lexical_hits, query, t, top_sql, whole
 
 #: Query vectors: those whose id is divisible by this.
 EVERY = 50
@@ -74,13 +74,20 @@ def exact_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select a.page_id as qid, b.page_id as source_id from (select * from pages where page_id % 7 = 0) a join pages b on a.url = b.url""")
-def exact_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A canonical address goes to its page by an equality join, never to ranking."""
+def exact_url(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """A canonical address goes to its page by an equality join, never to ranking. The whole form looks
+    every page's address up: its first page and how many pages have it, not all pairs."""
     pages = t(spark, sf_dir, "pages")
+    if whole:
+        firsts = pages.groupBy("url").agg(F.min("page_id").alias("source_id"), F.count("*").alias("n_pages"))
+        return pages.select(F.col("page_id").alias("qid"), "url").join(firsts, "url").select("qid", "source_id", "n_pages")
     q = pages.filter("page_id % 7 = 0").select(F.col("page_id").alias("qid"), "url")
     return q.join(pages.select(F.col("page_id").alias("source_id"), "url"), "url").select("qid", "source_id")
 
 
+whole(exact_url, "select page_id as qid, min(page_id) over (partition by url) as source_id, count(*) over (partition by url) as n_pages from pages where url is not null")
+
+
 @query("""select page_id, try_cast(regexp_extract(rtrim(url, '/'), '([^/]*)$', 1) as bigint) as number from pages""")
 def url_last_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "pages").select("page_id", X.last_segment_number(F.col("url")).alias("number"))

@@ -1,6 +1,6 @@
 """Queries over all rows, beside those whose SQL states a subset."""
 
-from oracle import connect
+from oracle import assert_same, connect
 
 from skein import suite
 from skein.operators import models
@@ -17,3 +17,13 @@ def test_rerank_scores_whole(spark, small):
     assert got == {(q[0], d[0]): s for (q, d), s in zip(pairs, score, strict=True)}
     assert any(len(d[1].encode()) >= 600 for _, d in pairs)
     assert any(models.pair_texts(q[1], d[1])[1] != d[1] for q, d in pairs)
+
+
+def test_exact_url_whole(spark, small, tmp_path):
+    """Every page is looked up once; pages of one address share the first of them."""
+    pages = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "a"), (5, None)], "page_id long, url string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    got = {tuple(r) for r in suite.QUERIES["exact_url_whole"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 1, 3), (2, 2, 1), (3, 1, 3), (4, 1, 3)}
+    assert suite.QUERIES["exact_url_whole"](spark, small).count() == spark.read.parquet(f"{small}/pages.parquet").filter("url is not null").count()
+    assert_same(spark, small, suite.QUERIES["exact_url_whole"], suite.ORACLE_SQL["exact_url_whole"])
