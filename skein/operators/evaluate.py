@@ -11,17 +11,21 @@ from skein.plans.storage import written
 CLASS_WEIGHTS = {"english_semantic": 0.5, "korean_semantic": 0.2, "ko_query_en_source": 0.15, "en_query_ko_source": 0.1, "comment_only": 0.025, "long_context": 0.025}
 
 
-def query_metrics(rankings: DataFrame, gold: DataFrame, recalls: tuple[int, ...] = (5, 10, 20), depth: int = 10) -> DataFrame:
+def query_metrics(rankings: DataFrame, gold: DataFrame, recalls: tuple[int, ...] = (5, 10, 20), depth: int = 10, relevant: DataFrame | None = None) -> DataFrame:
     """rankings (qid, source_id, rank), gold (qid, source_id, grade): for each query with gold
-    ndcg, mrr (to ``depth``) and recall_k. Gain 2^grade - 1, discount log2(rank + 1)."""
+    ndcg, mrr (to ``depth``) and recall_k. Gain 2^grade - 1, discount log2(rank + 1). ``gold`` may hold
+    only what is ranked or among the first ``depth`` by grade if ``relevant`` (qid, n) counts all of it."""
     hit = gold.join(rankings, ["qid", "source_id"], "left")
+    if relevant is not None:
+        hit = hit.join(relevant.select("qid", F.col("n").alias("skein_n")), "qid")
     gain = F.pow(F.lit(2.0), F.col("grade")) - 1
     place = Window.partitionBy("qid").orderBy(F.col("grade").desc(), "source_id")
     hit = hit.withColumn("ideal_rank", F.row_number().over(place))
     dcg = F.sum(F.when(F.col("rank") <= depth, gain / F.log2(F.col("rank") + 1)).otherwise(0.0))
     ideal = F.sum(F.when(F.col("ideal_rank") <= depth, gain / F.log2(F.col("ideal_rank") + 1)).otherwise(0.0))
     first = F.min(F.when(F.col("rank") <= depth, F.col("rank")))
-    cuts = [(F.count_if(F.coalesce(F.col("rank") <= k, F.lit(False))) / F.count("*")).alias(f"recall_{k}") for k in recalls]
+    all_gold = F.count("*") if relevant is None else F.max("skein_n")
+    cuts = [(F.count_if(F.coalesce(F.col("rank") <= k, F.lit(False))) / all_gold).alias(f"recall_{k}") for k in recalls]
     return hit.groupBy("qid").agg(F.when(ideal > 0, dcg / ideal).otherwise(0.0).alias("ndcg"), F.coalesce(1 / first, F.lit(0.0)).alias("mrr"), *cuts)
 
 

@@ -3,11 +3,14 @@ the two branches of the fusion queries."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.operators import decisions, evaluate, fusion
-from skein.suite.base import query, t
+from skein.suite.base import query, t, without
+from skein.suite.base import whole as whole_form
 from skein.suite.retrieval import _BRANCHES, EVERY, _branches
 
 _GOLD = f"""gold as (select q.vec_id as qid, c.vec_id as source_id, 1 + c.vec_id % 3 as grade from embeddings q join embeddings c on q.label = c.label and q.vec_id <> c.vec_id where q.vec_id % {EVERY} = 0 and c.vec_id % 5 = 0)"""
@@ -25,8 +28,26 @@ def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.join(c, "label").filter("qid != source_id").select("qid", "source_id", (1 + F.col("source_id") % 3).alias("grade"))
 
 
-def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.query_metrics(_branches(spark, sf_dir)[0], _gold(spark, sf_dir))
+def _whole_gold(spark: SparkSession, sf_dir: str, *rankings: DataFrame, depth: int = 10) -> tuple[DataFrame, DataFrame]:
+    """All vectors of a query's label are gold, but their pairs are not made: the gold that is ranked or
+    among the first ``depth`` by grade, and (qid, n), how much there is in all."""
+    e = t(spark, sf_dir, "embeddings")
+    q = e.filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("qid"), "label")
+    c = e.select(F.col("vec_id").alias("source_id"), "label", (1 + F.col("vec_id") % 3).alias("grade"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.col("grade").desc(), "source_id"))
+    first = c.withColumn("place", place).filter(F.col("place") <= depth + 1).drop("place")  # one may be the query
+    ranked = reduce(DataFrame.union, (r.select("qid", "source_id") for r in rankings)).join(q, "qid").join(c, ["source_id", "label"])
+    columns = ("qid", "source_id", "grade")
+    gold = q.join(first, "label").select(*columns).union(ranked.select(*columns)).filter("qid != source_id").distinct()
+    return gold, q.join(c.groupBy("label").agg((F.count("*") - 1).alias("n")), "label").select("qid", "n")
+
+
+def _metrics(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    ranking = _branches(spark, sf_dir)[0]
+    if whole:
+        gold, relevant = _whole_gold(spark, sf_dir, ranking)
+        return evaluate.query_metrics(ranking, gold, relevant=relevant)
+    return evaluate.query_metrics(ranking, _gold(spark, sf_dir))
 
 
 def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,38 +59,43 @@ _ROUND = ", ".join(f"round({n}, 6) as {n}" for n in _NAMES)
 
 
 @query(f"{_METRICS} select qid, {_ROUND} from metrics")
-def ndcg_mrr_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _metrics(spark, sf_dir).select("qid", *(F.round(n, 6).alias(n) for n in _NAMES))
+def ndcg_mrr_recall(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return _metrics(spark, sf_dir, whole).select("qid", *(F.round(n, 6).alias(n) for n in _NAMES))
 
 
 @query(f"{_METRICS} select class, {', '.join(f'round(avg({n}), 6) as {n}' for n in _NAMES)} from metrics join classes using (qid) group by class")
-def class_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = evaluate.by_class(_metrics(spark, sf_dir), _classes(spark, sf_dir), _NAMES)
+def class_means(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    means = evaluate.by_class(_metrics(spark, sf_dir, whole), _classes(spark, sf_dir), _NAMES)
     return means.select("class", *(F.round(n, 6).alias(n) for n in _NAMES))
 
 
 @query(f"{_METRICS}, m as (select class, avg(ndcg) as ndcg from metrics join classes using (qid) group by class) select round(sum(ndcg * (case class when 'class0' then 0.5::double when 'class1' then 0.2::double when 'class2' then 0.15::double else 0.15::double end)), 6) as ndcg from m")
-def class_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = evaluate.by_class(_metrics(spark, sf_dir), _classes(spark, sf_dir), ("ndcg",))
+def class_weighted(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    means = evaluate.by_class(_metrics(spark, sf_dir, whole), _classes(spark, sf_dir), ("ndcg",))
     weights = spark.createDataFrame([("class0", 0.5), ("class1", 0.2), ("class2", 0.15), ("class3", 0.15)], "class string, weight double")
     return evaluate.class_weighted(means, weights, "ndcg").select(F.round("ndcg", 6).alias("ndcg"))
 
 
 @query(f"{_METRICS} select round(avg(recall_10), 6) as macro_recall, count(*) as queries from metrics")
-def macro_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _metrics(spark, sf_dir).agg(F.round(F.avg("recall_10"), 6).alias("macro_recall"), F.count("*").alias("queries"))
+def macro_mean(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return _metrics(spark, sf_dir, whole).agg(F.round(F.avg("recall_10"), 6).alias("macro_recall"), F.count("*").alias("queries"))
 
 
 @query(f"""{_BRANCHES}, {_GOLD}, b as (select g.qid, bool_or(lr <= 5 and lr is not null) as before_ from gold g left join lex using (qid, source_id) group by g.qid), a as (select g.qid, bool_or(dr <= 5 and dr is not null) as after_ from gold g left join den using (qid, source_id) group by g.qid)
     select count(*) filter (not coalesce(before_, false) and coalesce(after_, false)) as rescued, count(*) filter (coalesce(before_, false) and not coalesce(after_, false)) as harmed from a join b using (qid)""")
-def rescue_harm(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rescue_harm(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     base, other = _branches(spark, sf_dir)
-    return evaluate.rescue_harm(base, other, _gold(spark, sf_dir), 5)
+    return evaluate.rescue_harm(base, other, _whole_gold(spark, sf_dir, base, other)[0] if whole else _gold(spark, sf_dir), 5)
 
 
 @query(f"{_BRANCHES}, {_GOLD} select round(avg(case when h.qid is not null then 1::double else 0::double end), 6) as exact_top1 from (select distinct qid from gold) q left join (select distinct l.qid from lex l join gold g using (qid, source_id) where lr = 1) h on h.qid = q.qid")
-def exact_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.exact_top1(_branches(spark, sf_dir)[0], _gold(spark, sf_dir)).select(F.round("exact_top1", 6).alias("exact_top1"))
+def exact_top1(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    ranking = _branches(spark, sf_dir)[0]
+    return evaluate.exact_top1(ranking, _whole_gold(spark, sf_dir, ranking)[0] if whole else _gold(spark, sf_dir)).select(F.round("exact_top1", 6).alias("exact_top1"))
+
+
+for _f in (ndcg_mrr_recall, class_means, class_weighted, macro_mean, rescue_harm, exact_top1):
+    whole_form(_f, without(_f.__name__, " and c.vec_id % 5 = 0"))
 
 
 @query(f"{_BRANCHES} select q.vec_id as qid, count(l.source_id) as results, count(l.source_id) = 0 as empty from (select vec_id from embeddings where vec_id % {EVERY} = 0 and label % 4 = 3) q left join lex l on l.qid = q.vec_id and l.lr <= 10 group by q.vec_id")

@@ -1,5 +1,7 @@
 """Queries over all rows, beside those whose SQL states a subset."""
 
+import pytest
+
 from oracle import assert_same, connect
 
 from skein import suite
@@ -27,3 +29,24 @@ def test_exact_url_whole(spark, small, tmp_path):
     assert got == {(1, 1, 3), (2, 2, 1), (3, 1, 3), (4, 1, 3)}
     assert suite.QUERIES["exact_url_whole"](spark, small).count() == spark.read.parquet(f"{small}/pages.parquet").filter("url is not null").count()
     assert_same(spark, small, suite.QUERIES["exact_url_whole"], suite.ORACLE_SQL["exact_url_whole"])
+
+
+METRICS = ("ndcg_mrr_recall", "class_means", "class_weighted", "macro_mean", "rescue_harm", "exact_top1")
+
+
+@pytest.mark.parametrize("name", METRICS)
+def test_metrics_whole(spark, small, name):
+    """Gold is every vector of the query's label; the SQL makes all pairs."""
+    assert "c.vec_id % 5 = 0" not in suite.ORACLE_SQL[f"{name}_whole"]
+    assert_same(spark, small, suite.QUERIES[f"{name}_whole"], suite.ORACLE_SQL[f"{name}_whole"])
+
+
+def test_gold_whole(spark, tmp_path):
+    """All of a query's nearest have its label, and no id but its own is divisible by five."""
+    ids = [0, *(i for i in range(1, 90) if i % 5)]
+    rows = [(i, [1.0, i / 1000] + [0.0] * 14, 0 if i < 60 else 1) for i in ids]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert suite.QUERIES["exact_top1_whole"](spark, str(tmp_path)).collect()[0][0] == 1.0
+    got = suite.QUERIES["ndcg_mrr_recall_whole"](spark, str(tmp_path)).collect()
+    n = sum(i < 60 for i in ids) - 1
+    assert [(r["qid"], r["mrr"], r["recall_20"]) for r in got] == [(0, 1.0, round(20 / n, 6))]
