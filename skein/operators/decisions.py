@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.plans.storage import written
+
 
 def freshness(age: Column, active_age: Column, warn_after: Column, fail_after: Column, required: Column) -> Column:
     """never_synced, fresh, stale_warn or stale_fail. Where active issues are known the lesser age
@@ -126,12 +128,18 @@ def plan_state(bootstrapped: Column, age: Column, max_age: Column, cooldown_unti
 
 def schedule_pass(profiles: DataFrame, cursor: str | None, most: int = 8) -> DataFrame:
     """profiles (host, profile, state): order of attempts, beginning after ``cursor`` and going round; at
-    most ``most`` eligible ones get a turn."""
+    most ``most`` eligible ones get a turn. Profiles are dealt by range; counts are taken inside the
+    ranges and start from the ranges' totals, so no task goes over all profiles."""
     after = F.lit(0) if cursor is None else F.when(F.col("profile") > cursor, 0).otherwise(1)
-    turn = Window.orderBy(after, "profile")
-    sized = profiles.withColumn("turn", F.row_number().over(turn).cast("long"))
-    tried = F.sum(F.when(F.col("state") == "eligible", 1).otherwise(0)).over(turn)
-    return sized.withColumn("attempted", (F.col("state") == "eligible") & (tried <= most))
+    able = F.when(F.col("state") == "eligible", 1).otherwise(0)
+    ranged = written(profiles.withColumn("skein_after", after).repartitionByRange("skein_after", "profile").withColumn("skein_part", F.spark_partition_id()), "profiles")
+    totals = ranged.groupBy("skein_part").agg(F.count("*").alias("n"), F.sum(able).alias("able"))  # a row per range
+    earlier = Window.orderBy("skein_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("skein_part", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"skein_{c}") for c in ("n", "able")))
+    turn = Window.partitionBy("skein_part").orderBy("skein_after", "profile")
+    sized = ranged.join(F.broadcast(before), "skein_part").withColumn("turn", (F.col("skein_n") + F.row_number().over(turn)).cast("long"))
+    tried = F.col("skein_able") + F.sum(able).over(turn)
+    return sized.withColumn("attempted", (F.col("state") == "eligible") & (tried <= most)).select(*profiles.columns, "turn", "attempted")
 
 
 def skip_if_fresh(age: Column, max_age: Column, artifact_ok: Column) -> Column:

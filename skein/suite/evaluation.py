@@ -133,30 +133,34 @@ def branch_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CELLS = """cells as (select vec_id as cell, (vec_id * 7 % 11)::bigint as rescued, (vec_id * 5 % 7)::bigint as harmed, (vec_id % 13) / 13.0::double as cross_recall, (vec_id % 17) / 17.0::double as ndcg, (vec_id % 4 + 1) / 4.0::double as dense_weight, (vec_id % 19)::bigint as snapshot_bytes, 'm' || vec_id as name, (vec_id % 23) / 23.0::double as mrr from embeddings where vec_id < 200)"""
 
 
-def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _cells(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     v = F.col("vec_id")
-    return t(spark, sf_dir, "embeddings").filter(v < 200).select(
+    return t(spark, sf_dir, "embeddings").filter(F.lit(True) if whole else v < 200).select(
         v.alias("cell"), (v * 7 % 11).alias("rescued"), (v * 5 % 7).alias("harmed"), (v % 13 / 13.0).alias("cross_recall"), (v % 17 / 17.0).alias("ndcg"), ((v % 4 + 1) / 4.0).alias("dense_weight"),
         (v % 19).alias("snapshot_bytes"), F.concat(F.lit("m"), v.cast("string")).alias("name"), (v % 23 / 23.0).alias("mrr"),
     )
 
 
 @query(f"with {_CELLS} select rescued - harmed as net, harmed, round(cross_recall, 6) as cross_recall, round(ndcg, 6) as ndcg, dense_weight from cells order by net desc, harmed, cross_recall desc, ndcg desc, dense_weight limit 1")
-def select_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.select_weight(_cells(spark, sf_dir)).select("net", "harmed", F.round("cross_recall", 6).alias("cross_recall"), F.round("ndcg", 6).alias("ndcg"), "dense_weight")
+def select_weight(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return evaluate.select_weight(_cells(spark, sf_dir, whole)).select("net", "harmed", F.round("cross_recall", 6).alias("cross_recall"), F.round("ndcg", 6).alias("ndcg"), "dense_weight")
 
 
 @query(f"with {_CELLS} select name, rescued - harmed as net from cells where rescued > harmed order by net desc, rescued desc, harmed, snapshot_bytes, name limit 1")
-def select_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.select_model(_cells(spark, sf_dir)).select("name", "net")
+def select_model(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return evaluate.select_model(_cells(spark, sf_dir, whole)).select("name", "net")
 
 
 @query(f"with {_CELLS} select name, snapshot_bytes from cells where harmed <= 3 and ndcg >= (select max(ndcg) from cells where harmed <= 3) - 0.02::double order by snapshot_bytes, name limit 1")
-def select_light_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = evaluate.failed_gates(_cells(spark, sf_dir), {"harm": F.col("harmed") <= 3})
+def select_light_tier(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    cells = evaluate.failed_gates(_cells(spark, sf_dir, whole), {"harm": F.col("harmed") <= 3})
     return evaluate.select_tier(cells, 0.02, True).select("name", "snapshot_bytes")
 
 
+for _f in (select_weight, select_model, select_light_tier):
+    whole_form(_f, without(_f.__name__, " where vec_id < 200"))
+
+
 @query("""with r as (select page_id, page_id % 40 / 20.0::double as warm_p95, page_id % 90 / 15.0::double as cold_p95, (page_id * 13 % 1500)::double as rss, (page_id * 7 % 700)::double as snapshot, (page_id % 25)::double as chunks_per_s, page_id % 5::double as growth, page_id % 3 as fingerprints from pages)
     select page_id, concat_ws(',', case when not warm_p95 <= 1.5 then 'warm_p95' end, case when not cold_p95 <= 5 then 'cold_p95' end, case when not rss <= 1024 then 'rss' end, case when not chunks_per_s >= 10 then 'throughput' end, case when not fingerprints = 1 then 'one_chunker' end, case when not snapshot <= 500 then 'snapshot' end, case when not growth <= 3 then 'growth' end) as failed from r""")
 def resource_gates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ from skein.functions.times import overlap_since as overlap
 from skein.operators import lifecycle, resolve
 from skein.plans.storage import new_folder
 from skein.streaming import ingest
-from skein.suite.base import query, t
+from skein.suite.base import query, t, without
+from skein.suite.base import whole as whole_form
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,12 +111,15 @@ def removed_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with g as (select case doc_id % 3 when 0 then 'thread' when 1 then 'source' else 'repo' end as kind, case when doc_id % 3 = 2 then upper(source) else source end as repo, doc_id as source_id from documents where doc_id % 40 < 3) select kind, repo, source_id from g where kind <> 'thread' or lower(repo) not in (select lower(repo) from g where kind = 'repo')""")
-def purge_subsume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, i = t(spark, sf_dir, "documents").filter("doc_id % 40 < 3"), F.col("doc_id") % 3
+def purge_subsume(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    d, i = t(spark, sf_dir, "documents").filter("true" if whole else "doc_id % 40 < 3"), F.col("doc_id") % 3
     targets = d.select(F.when(i == 0, "thread").when(i == 1, "source").otherwise("repo").alias("kind"), F.when(i == 2, F.upper("source")).otherwise(F.col("source")).alias("repo"), F.col("doc_id").alias("source_id"))
     return lifecycle.subsumed_purges(targets)
 
 
+whole_form(purge_subsume, without("purge_subsume", " where doc_id % 40 < 3"))
+
+
 @query("""select conv_id, turn from conversations where not (role = 'user' and conv_id % 10 = 0) and conv_id % 7 <> 0 and conv_id * 100 + turn not in (select conv_id * 100 + turn from conversations where turn = 3 and conv_id % 2 = 0)""")
 def purge_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table rewritten without purged repositories, threads and single sources."""

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from skein.functions import text as X
 from skein.functions import times
 from skein.operators import decisions as D
-from skein.suite.base import query, t
+from skein.suite.base import query, t, without
+from skein.suite.base import whole as whole_form
 
 def _e(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "events")
@@ -99,12 +100,15 @@ def duration_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("with p as (select distinct 'host' || (user_id % 3) as host, 'p' || lpad(user_id::varchar, 6, '0') as profile from events where user_id < 60) select profile, row_number() over (order by case when profile > 'p000030' then 0 else 1 end, profile) as turn, row_number() over (order by case when profile > 'p000030' then 0 else 1 end, profile) <= 8 as attempted from p")
-def rotate_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rotate_cursor(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     u = F.col("user_id")
-    p = _e(spark, sf_dir).filter(u < 60).select(F.concat(F.lit("host"), (u % 3).cast("string")).alias("host"), F.concat(F.lit("p"), F.lpad(u.cast("string"), 6, "0")).alias("profile")).distinct()
+    p = _e(spark, sf_dir).filter(F.lit(True) if whole else u < 60).select(F.concat(F.lit("host"), (u % 3).cast("string")).alias("host"), F.concat(F.lit("p"), F.lpad(u.cast("string"), 6, "0")).alias("profile")).distinct()
     return D.schedule_pass(p.withColumn("state", F.lit("eligible")), "p000030").select("profile", "turn", "attempted")
 
 
+whole_form(rotate_cursor, without("rotate_cursor", " where user_id < 60"))
+
+
 @query("select event_id, case when status between 200 and 299 or status = 304 then 'ok' when status = 429 or (status = 403 and (event_id % 4 = 0)) then 'backoff' when status = 401 then 'auth' when status = 403 and event_id % 3 = 0 then 'permission' when status in (404, 410) then 'gone' when status >= 500 then 'transient' else 'ambiguous' end as class from (select event_id, [200, 304, 401, 403, 404, 410, 429, 500, 418][(event_id % 9 + 1)::int] as status from events)")
 def response_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")

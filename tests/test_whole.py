@@ -1,8 +1,10 @@
 """Queries over all rows, beside those whose SQL states a subset."""
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from oracle import assert_same, connect
+from oracle import assert_same, connect, rows
 
 from skein import suite
 from skein.operators import models
@@ -44,9 +46,23 @@ def test_metrics_whole(spark, small, name):
 def test_gold_whole(spark, tmp_path):
     """All of a query's nearest have its label, and no id but its own is divisible by five."""
     ids = [0, *(i for i in range(1, 90) if i % 5)]
-    rows = [(i, [1.0, i / 1000] + [0.0] * 14, 0 if i < 60 else 1) for i in ids]
-    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    near = [(i, [1.0, i / 1000] + [0.0] * 14, 0 if i < 60 else 1) for i in ids]
+    spark.createDataFrame(near, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert suite.QUERIES["exact_top1_whole"](spark, str(tmp_path)).collect()[0][0] == 1.0
     got = suite.QUERIES["ndcg_mrr_recall_whole"](spark, str(tmp_path)).collect()
     n = sum(i < 60 for i in ids) - 1
     assert [(r["qid"], r["mrr"], r["recall_20"]) for r in got] == [(0, 1.0, round(20 / n, 6))]
+
+
+@pytest.mark.parametrize("name", ("select_weight", "select_model", "select_light_tier", "rotate_cursor", "purge_subsume"))
+def test_selections_whole(spark, tmp_path, name):
+    """What lies beyond the subset counts: a better cell at a high id, late users, every document."""
+    spark.range(17017).select(F.col("id").alias("vec_id")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.range(1000).select(F.col("id").alias("event_id"), F.col("id").alias("user_id")).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(1000).select(F.col("id").alias("doc_id"), F.concat(F.lit("src"), F.col("id").cast("string")).alias("source")).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for x in ("embeddings", "events", "documents"):
+        con.execute(f"create view {x} as select * from '{tmp_path}/{x}.parquet/*.parquet'")
+    part, all_rows = (rows(con.execute(suite.ORACLE_SQL[n]).df()) for n in (name, f"{name}_whole"))
+    assert rows(suite.QUERIES[f"{name}_whole"](spark, str(tmp_path)).toPandas()) == all_rows
+    assert part != all_rows
