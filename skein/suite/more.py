@@ -143,10 +143,11 @@ whole(rerank_scores)
 
 @query()
 def search_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole query lifecycle over conversations: turn 0 is an issue, later turns its comments. Routes,
-    filters, BM25 and dense branch, fusion, version check, evidence. No SQL: its parts have theirs."""
+    """The whole query lifecycle over conversations: turn 0 is an issue, later turns its comments. Every
+    conversation's whole first turn is asked, and is the title. Routes, filters, BM25 and dense branch, fusion, version check,
+    evidence. No SQL: its parts have theirs."""
     c = t(spark, sf_dir, "conversations")
-    titled = c.join(c.filter("turn = 0").select("conv_id", F.substring("text", 1, 60).alias("parent")), "conv_id")
+    titled = c.join(c.filter("turn = 0").select("conv_id", F.col("text").alias("parent")), "conv_id")
     first = F.col("turn") == 0
     sources = written(
         titled.select(
@@ -160,7 +161,7 @@ def search_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoder = models.HashingEncoder()
     vectors = written(models.embedded(sources, encoder, "body", ["source_id"]), "vectors")
     lines = sources.select("source_id", F.posexplode(F.split("body", "\n")).alias("chunk_index", "body"))
-    asked = c.filter("turn = 0 and conv_id % 10 = 0").select(F.col("conv_id").alias("qid"), F.substring("text", 1, 80).alias("query"))
+    asked = c.filter("turn = 0").select(F.col("conv_id").alias("qid"), F.col("text").alias("query"))
     queries = models.embedded(asked, encoder, "query", ["qid", "query"], models.QUERY_PREFIX).withColumnRenamed("vector", "query_vector")
     corpus = search.Corpus(sources, sources.filter("issue_number % 97 = 5").select("source_id"), index, vectors, lines)
     return search.search(corpus, queries)

@@ -66,3 +66,16 @@ def test_selections_whole(spark, tmp_path, name):
     part, all_rows = (rows(con.execute(suite.ORACLE_SQL[n]).df()) for n in (name, f"{name}_whole"))
     assert rows(suite.QUERIES[f"{name}_whole"](spark, str(tmp_path)).toPandas()) == all_rows
     assert part != all_rows
+
+
+def test_search_conversations_whole_texts(spark, tmp_path):
+    """Words after the first eighty characters reach the query and the titles, and every conversation asks:
+    against looking for the word in plain Python."""
+    said = {(i, 0): "-" * 90 + f" unique{i}" for i in range(12)}
+    said |= {(i, 1): f"reply unique{(i + 1) % 12}" for i in range(12)}
+    spark.createDataFrame([(i, n, "user", x) for (i, n), x in said.items()], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {(r["qid"], r["source_id"]) for r in suite.QUERIES["search_conversations"](spark, str(tmp_path)).filter("lexical_rank is not null").collect()}
+    assert {q for q, _ in found} == set(range(12))
+    for q in range(12):
+        words = {k: set(f"{x} {said[k[0], 0]}".split()) for k, x in said.items() if k[0] != 5}  # conversation 5 is gone
+        assert {(q, f"{i}/{n}") for (i, n), w in words.items() if f"unique{q}" in w} == {x for x in found if x[0] == q}
