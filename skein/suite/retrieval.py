@@ -9,7 +9,7 @@ from skein.functions import text as X
 from skein.functions.vectors import cosine, truncated
 from skein.operators import chunks, dense, fusion, lexical, resolve
 from skein.operators.filters import has_all
-from skein.suite.base import benchmark_terms, bm25_sql, index_of, lexical_hits, query, t, top_sql, whole
+from skein.suite.base import ORACLE_SQL, benchmark_terms, bm25_sql, index_of, lexical_hits, query, t, top_sql, whole
 
 #: Query vectors: those whose id is divisible by this.
 EVERY = 50
@@ -138,10 +138,10 @@ def maxpool_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- fusion -------------------------------------------------------------------------------------
-def _branches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _branches(spark: SparkSession, sf_dir: str, limit: int = 80) -> tuple[DataFrame, DataFrame]:
     """Two rankings of the same query vectors: by cosine, and by the distance of truncated vectors."""
     q, c = _vectors(spark, sf_dir)
-    first, short = dense.nearest(q, c, 80, "cosine", exclude_same=True), dense.nearest(q, c, 80, exclude_same=True, dimension=16)
+    first, short = dense.nearest(q, c, limit, "cosine", exclude_same=True), dense.nearest(q, c, limit, exclude_same=True, dimension=16)
     return first.select("qid", "source_id", "rank"), short.select("qid", "source_id", "rank")
 
 
@@ -174,16 +174,26 @@ def rrf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CELLS = [(k, w, d) for k in (20, 60, 100) for w in (40, 80) for d in (0.25, 0.5, 0.75, 1.0)]
+#: The reference's grid has a third window.
+_WHOLE_CELLS = [(k, w, d) for k in (20, 60, 100) for w in (40, 80, 100) for d in (0.25, 0.5, 0.75, 1.0)]
 
 
-@query(f"""{_BRANCHES}, cells(k, "window", dense_weight) as (values {", ".join(f"({k}, {w}, {d}::double)" for k, w, d in _CELLS)}),
+def _values(cells: list[tuple[int, int, float]]) -> str:
+    return ", ".join(f"({k}, {w}, {d}::double)" for k, w, d in cells)
+
+
+@query(f"""{_BRANCHES}, cells(k, "window", dense_weight) as (values {_values(_CELLS)}),
     x as (select c.*, qid, source_id, case when lr <= c."window" then lr end as lr, case when dr <= c."window" then dr end as dr from both_ join cells c on lr <= c."window" or dr <= c."window"),
     f as (select *, round(coalesce(1::double / (k + lr), 0::double) + coalesce(dense_weight / (k + dr), 0::double), 9) as s from x),
     r as (select *, row_number() over (partition by k, "window", dense_weight, qid order by s desc, least(lr, dr), source_id) as rank from f qualify rank <= 10)
     select k::bigint as k, "window"::bigint as "window", dense_weight, qid, source_id, s as fusion_score, rank from r""")
-def rrf_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = spark.createDataFrame(_CELLS, "k long, window long, dense_weight double")
-    return fusion.grid(*_branches(spark, sf_dir), cells).filter("rank <= 10").select("k", "window", "dense_weight", "qid", "source_id", "fusion_score", "rank")
+def rrf_grid(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    cells = spark.createDataFrame(_WHOLE_CELLS if whole else _CELLS, "k long, window long, dense_weight double")
+    branches = _branches(spark, sf_dir, 100 if whole else 80)
+    return fusion.grid(*branches, cells).filter("rank <= 10").select("k", "window", "dense_weight", "qid", "source_id", "fusion_score", "rank")
+
+
+whole(rrf_grid, ORACLE_SQL["rrf_grid"].replace(_values(_CELLS), _values(_WHOLE_CELLS)).replace("lr <= 80)", "lr <= 100)").replace("dr <= 80)", "dr <= 100)"))
 
 
 @query("select item_id, greatest(4 * (item_id % 120 + 1), 80, item_id % 120 + 1)::bigint as candidates from benchmark")

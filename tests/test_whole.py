@@ -79,3 +79,14 @@ def test_search_conversations_whole_texts(spark, tmp_path):
     for q in range(12):
         words = {k: set(f"{x} {said[k[0], 0]}".split()) for k, x in said.items() if k[0] != 5}  # conversation 5 is gone
         assert {(q, f"{i}/{n}") for (i, n), w in words.items() if f"unique{q}" in w} == {x for x in found if x[0] == q}
+
+
+def test_rrf_grid_whole(spark, small):
+    """All three windows of the grid; the one of 100 has ranks that the one of 80 does not see."""
+    sql = suite.ORACLE_SQL["rrf_grid_whole"]
+    assert sql.count("lr <= 100)") == sql.count("dr <= 100)") == 1
+    assert_same(spark, small, suite.QUERIES["rrf_grid_whole"], sql)
+    got = suite.QUERIES["rrf_grid_whole"](spark, small)
+    assert {r[0] for r in got.select("window").distinct().collect()} == {40, 80, 100}
+    cell = lambda w: {(r["k"], r["dense_weight"], r["qid"], r["source_id"], r["fusion_score"]) for r in got.filter(f"window = {w}").collect()}
+    assert cell(100) != cell(80)
