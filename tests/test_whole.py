@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from oracle import assert_same, connect, rows
 
 from skein import suite
-from skein.llm import secrets
+from skein.llm import langid, secrets
 from skein.operators import models
 
 
@@ -103,3 +103,10 @@ def test_secrets_of_one_owner(spark):
     owned = {r["doc_id"] for r in secrets.scan_documents(docs, owner_col="owner").filter("n_owned = 1").collect()}
     assert owned == {0, 1, 2}
     assert {r["doc_id"] for r in secrets.redact_documents(docs, owner_col="owner").filter("text = 'see [SECRET] here'").collect()} == owned
+
+
+def test_language_of_long_texts_only(spark):
+    """A language whose texts are all long is learned from their beginnings."""
+    said = {"en": "the cat and the dog ", "de": "der hund und die katze " * 9000}
+    docs = spark.createDataFrame([(5 * i + k + 1, x, lang) for i in range(4) for k, (lang, x) in enumerate(said.items())], "doc_id long, text string, lang string")
+    assert langid.fit_documents(docs).langs == ["de", "en"]
