@@ -7,6 +7,8 @@ pairs is filled as pairs turn up. Where a pair does not fit, the encoder takes t
 token at that place, or steps back; positions found hopeless are never tried again, so the work
 stays linear in the pre-token's length. Decoding reads token bytes from one blob by an offset table.
 
+Pre-tokens that a worker has lately seen are looked up (``pretokens``); only new ones are encoded.
+
 Results: a null text is an empty text (no ids). Special tokens that stand in a text become their
 ids, as the tokenizers library does by default. Bytes that are not UTF-8 after decoding become
 U+FFFD. Repeated rows give repeated results.
@@ -16,10 +18,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -28,20 +30,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm import ngrams
 from skein.llm.common import in_batches
+from skein.llm.pretokens import Words
 
 #: The pre-token pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The same for texts within Latin-1, where the plain ``re`` module is faster.
-_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
-LATIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
-#: Entries a worker keeps of pre-tokens seen and of pairs tried, at most; beyond it the older half goes.
-KEEP = 300_000
-#: Characters of a pre-token from which on it is not kept.
-LONG = 64
+#: Pairs of tokens tried that a worker keeps, at most.
+KEEP_PAIRS = 300_000
 
 
-def _byte_chars() -> dict[str, int]:
+def byte_chars() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable bytes stand
     for themselves, the others follow from U+0100 in order."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -69,25 +68,6 @@ def _exact_pattern() -> regex.Pattern:
     return regex.compile(PATTERN.replace(r"\p{L}+", l + "+", 1).replace(r"\p{N}+", n + "+", 1).replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|[{''.join(_late().values())}])"), regex.V1)
 
 
-class _Seen(dict):
-    """Pre-token -> its ids as little-endian 32-bit bytes."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode, self.older = encode, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        made = self.older.get(piece) or self.encode(piece)
-        if len(piece) <= LONG:
-            self[piece] = made
-        return made
-
-    def age(self) -> None:
-        if len(self) > KEEP:
-            self.older = dict(self)
-            self.clear()
-
-
 class Encoder:
     """A byte-level BPE vocabulary in the tokenizers JSON format."""
 
@@ -95,7 +75,7 @@ class Encoder:
         d = json.loads(spec)
         if d["model"]["type"] != "BPE" or d.get("normalizer") or (d["pre_tokenizer"] or {}).get("type") != "ByteLevel" or d["pre_tokenizer"].get("add_prefix_space"):
             raise ValueError("not a plain byte-level BPE vocabulary")
-        of = _byte_chars()
+        of = byte_chars()
         raw = lambda s: bytes(of[c] for c in s).decode("latin-1")
         vocab = {raw(k): v for k, v in d["model"]["vocab"].items()}
         merges = [m.split(" ") if isinstance(m, str) else m for m in d["model"]["merges"]]
@@ -112,14 +92,12 @@ class Encoder:
         for k, v in vocab.items():
             self.auto.add_word(k, v)
         self.auto.make_automaton()
-        self.widest = max(map(len, vocab))
+        self.widest, self.width = max(map(len, vocab)), [len(x) for x in text]
         self.shorter: dict[int, int] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.seen = _Seen(self.piece)
-        self.split = regex.compile(PATTERN).findall
-        self.split_latin = re.compile(LATIN_PATTERN).findall
+        self.pattern = regex.compile(PATTERN)
         self.late = frozenset("".join(_late().values()))
-        self.as_bytes = [t.to_bytes(4, "little") for t in range(size)]
+        self.seen = self.table(self.encode_words)
         said = [b""] * size
         for k, v in vocab.items():
             said[v] = k.encode("latin-1")
@@ -156,31 +134,27 @@ class Encoder:
         return known
 
     def tokens(self, s: str) -> list[int]:
-        """The ids of one pre-token, given as latin-1 text of its bytes."""
-        whole = self.ids.get(s)
-        if whole is not None and (len(s) == 1 or self.self_made(whole)):
-            return [whole]
-        out = [t for _, t in self.auto.iter_long(s)]
-        if all(map(self.fits, out, out[1:])):
-            return out
-        text, n, widest = self.text, len(s), self.widest
-        longest = lambda at: next(self.auto.iter_long(s[at : at + widest]))[1]
+        """The ids of one pre-token, given as latin-1 text of its bytes: the longest token at each place
+        that fits what stands before, stepping back where none does."""
+        n, widest, width, find, pairs, shorter = len(s), self.widest, self.width, self.auto.iter_long, self.pairs, self.shorter
         hopeless = bytearray(n + 1)
         out, at = [], 0
-        token = longest(0)
+        token = next(find(s[:widest]))[1]
         while at < n:
-            end = at + len(text[token])
-            if not hopeless[end] and (not out or self.fits(out[-1], token)):
-                out.append(token)
-                at = end
-                if at < n:
-                    token = longest(at)
-                continue
-            token = self.next_shorter(token)
+            end = at + width[token]
+            if not hopeless[end]:
+                good = pairs.get((out[-1], token)) if out else self.self_made(token)
+                if self.fits(out[-1], token) if good is None else good:
+                    out.append(token)
+                    at = end
+                    if at < n:
+                        token = next(find(s[at : at + widest]))[1]
+                    continue
+            token = shorter[token] if token in shorter else self.next_shorter(token)
             while token < 0:
                 hopeless[at] = 1
                 token = out.pop()
-                at -= len(text[token])
+                at -= width[token]
                 token = self.next_shorter(token)
         return out
 
@@ -191,27 +165,44 @@ class Encoder:
             known = self.pairs[token, -1] = self.merged(self.text[token]) == [token]
         return known
 
-    def piece(self, piece: str) -> bytes:
-        return b"".join([self.as_bytes[t] for t in self.tokens(piece.encode().decode("latin-1"))])
-
-    def words(self, text: str) -> list[str]:
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return self.split(text) if self.late.isdisjoint(text) else _exact_pattern().findall(text)
-        return self.split_latin(text)
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many pre-tokens, one after another, and how many each has. The automaton's longest
+        matches stand where all neighbours fit; the other words are searched."""
+        if len(self.pairs) > KEEP_PAIRS:
+            self.pairs.clear()
+        raw = [w.encode().decode("latin-1") for w in words]
+        found = [[t for _, t in self.auto.iter_long(s)] for s in raw]
+        pairs, fits = self.pairs.get, self.fits
+        for i, out in enumerate(found):
+            if len(out) == 1:
+                if not self.self_made(out[0]):
+                    found[i] = self.tokens(raw[i])
+            else:
+                for p in zip(out, out[1:], strict=False):
+                    if not (pairs(p) or fits(*p)):
+                        found[i] = self.tokens(raw[i])
+                        break
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), "<u4", int(size.sum())), size
+
+    # -- pre-tokens ---------------------------------------------------------------------------
+    def table(self, encode) -> Words:
+        """A table of pre-tokens whose ids ``encode`` gives."""
+        pattern = lambda t: self.pattern if self.late.isdisjoint(t) else _exact_pattern()
+        return Words(encode, lambda t: pattern(t).findall(t), lambda t: (m[0] for m in pattern(t).finditer(t)))
+
+    def encode_texts(self, texts: list[str], seen: Words | None = None) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers. Special tokens in a text are
+        pre-tokens by themselves."""
+        seen = seen or self.seen
+        if not self.special_split or not any(s in t for t in texts for s in self.special):
+            return seen.texts(texts)
+        parts = [[p for p in self.special_split.split(t) if p] for t in texts]
+        coded = iter(seen.texts([p for t in parts for p in t if p not in self.special]))
+        return [b"".join([self.special[p].to_bytes(4, "little") if p in self.special else next(coded) for p in t]) for t in parts]
 
     def encode(self, text: str | None) -> bytes:
-        """The text's ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        self.seen.age()
-        if len(self.pairs) > KEEP:
-            self.pairs.clear()
-        get = self.seen.__getitem__
-        if self.special_split and any(s in text for s in self.special):
-            return b"".join(self.special[p].to_bytes(4, "little") if p in self.special else b"".join(map(get, self.words(p))) for p in self.special_split.split(text) if p)
-        return b"".join(map(get, self.words(text)))
+        return self.encode_texts([text or ""])[0]
 
     # -- decoding -----------------------------------------------------------------------------
     def decode_bytes(self, ids: bytes, step: int = 1 << 19) -> bytes:
@@ -260,13 +251,13 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_i
         enc = encoder(spec.value)
         for b in batches:
             n, sha, back, kept = [], [], [], []
-            for text in b.column("text"):
-                ids = enc.encode(text.as_py())
-                n.append(len(ids) // 4)
-                sha.append(hashlib.sha256(ids).hexdigest())
-                back.append(hashlib.sha256(enc.decode_bytes(ids)).hexdigest())
-                if with_ids:
-                    kept.append(ids)
+            for texts in ngrams.slices(b.column("text")):
+                for ids in enc.encode_texts(texts):
+                    n.append(len(ids) // 4)
+                    sha.append(hashlib.sha256(ids).hexdigest())
+                    back.append(hashlib.sha256(enc.decode_bytes(ids)).hexdigest())
+                    if with_ids:
+                        kept.append(ids)
             cols = {"doc_id": b.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(sha, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
             yield pa.RecordBatch.from_pydict(cols | ({"ids": pa.array(kept, pa.binary())} if with_ids else {}))
 

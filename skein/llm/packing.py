@@ -18,54 +18,49 @@ each. No input gives no rows. Sequence lengths differ from ``capacity`` by the p
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenizers import Tokenizer, pre_tokenizers
+from tokenizers import Tokenizer
 
-from skein.llm import bpe
+from skein.llm import bpe, ngrams
 from skein.llm.common import in_batches, worker_threads
 
 #: Part of the capacity below which a piece goes to the last class.
 SMALL = 32
 #: Ids that a bin may lack for its piece to stay whole.
 SLACK = 4
-#: Pre-tokens whose ids a worker keeps, at most; beyond it starts anew.
-KEEP = 500_000
 FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 class Tokeniser:
-    """Ids by the tokenizers library: it is asked once for each pre-token that a worker has not
-    lately seen, in one call for a batch of texts."""
+    """Ids by the tokenizers library, which is asked once for each pre-token that a worker has not
+    lately seen, in one call for a batch of texts. Its model gets the pre-tokens as the vocabulary's
+    characters; what it would do before and after that is left out."""
 
     def __init__(self, spec: bytes):
         worker_threads()
-        self.whole = Tokenizer.from_str(spec.decode())
-        self.pieces = Tokenizer.from_str(spec.decode())
-        self.pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        whole = json.loads(spec)
+        self.pieces = Tokenizer.from_str(json.dumps(whole | dict.fromkeys(("normalizer", "pre_tokenizer", "post_processor", "truncation", "padding")) | {"added_tokens": []}))
+        self.chars = {b: c for c, b in bpe.byte_chars().items()}
         self.own = bpe.encoder(spec)
-        self.seen: dict[str, bytes] = {}
+        self.seen = self.own.table(self._encode)
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        raw = [w.encode().decode("latin-1").translate(self.chars) for w in words]
+        ids = np.array(self.pieces.encode_batch_fast([raw], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum(np.diff(self.own.offset)[ids])  # of tokens and of words, in bytes
+        return ids, np.diff(np.searchsorted(ends, np.cumsum([0, *map(len, raw)]) , "right"))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        if len(self.seen) > KEEP:
-            self.seen.clear()
-        le = self.own.as_bytes
-        split = [None if any(s in t for s in self.own.special) else self.own.words(t) for t in texts]
-        new = list(set().union(*(w for w in split if w)).difference(self.seen))
-        for w, e in zip(new, self.pieces.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.seen[w] = b"".join([le[i] for i in e.ids])
-        get = self.seen.__getitem__
-        coded = [b"".join([le[i] for i in self.whole.encode(t, add_special_tokens=False).ids]) if w is None else b"".join(map(get, w)) for t, w in zip(texts, split, strict=True)]
-        for w in new:
-            if len(w) > bpe.LONG:
-                del self.seen[w]
-        return coded
+        return self.own.encode_texts(texts, self.seen)
 
 
 _tokenisers: dict[bytes, Tokeniser] = {}
@@ -78,20 +73,6 @@ def tokeniser(spec: bytes) -> Tokeniser:
     return _tokenisers[spec]
 
 
-def slices(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, list[str]]]:
-    """Consecutive texts of about ``most`` characters together, each with its first row's number;
-    nulls are empty texts."""
-    first, part, size = 0, [], 0
-    for i, t in enumerate(texts):
-        part.append(t.as_py() or "")
-        size += len(part[-1])
-        if size >= most:
-            yield first, part
-            first, part, size = i + 1, [], 0
-    if part:
-        yield first, part
-
-
 class Packer:
     """The bins of one partition. ``add`` and ``close`` fill ``self.rows`` with finished pieces."""
 
@@ -183,10 +164,10 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, capacity: int = 1024,
 
         for b in batches:
             arrow_id = b.schema.field("doc_id").type
-            ids = b.column("doc_id").to_pylist()
-            for first, texts in slices(b.column("text")):
-                for doc_id, coded in zip(ids[first:], enc.encode_many(texts), strict=False):
-                    packer.add(doc_id, coded + end)
+            ids = iter(b.column("doc_id").to_pylist())
+            for texts in ngrams.slices(b.column("text")):
+                for coded in enc.encode_many(texts):
+                    packer.add(next(ids), coded + end)
                 yield made()
         if arrow_id is not None:
             packer.close()
