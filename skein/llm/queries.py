@@ -86,30 +86,31 @@ def _secret_sql() -> str:
 def _rules_sql() -> str:
     """The same counts and votes; the estimates as a recursion over the vote patterns."""
     votes = {
-        "length": ("n_words < 10", "n_words >= 50"), "word_length": ("len_ < 2.5 or len_ > 14", "len_ >= 3 and len_ <= 11"), "symbols": ("sym > 0.1", "sym <= 0.02"), "dup_lines": ("dup > 0.3 and n_dup_lines >= 3", "dup <= 0.1"),
-        "repeats": ("rep > 0.2", "rep <= 0.02"), "upper_case": ("upp > 0.4", "upp <= 0.15"), "letters": ("let_ < 0.6", "let_ >= 0.85"),
+        "word_length": ("len_ < 3 or len_ > 10", "len_ >= 4 and len_ <= 8"), "symbols": ("sym > 0.1", "sym <= 0.02"), "dup_lines": ("n_lines >= 3 and dup > 0.3", "n_lines >= 3 and dup <= 0.1"), "upper_case": ("upp > 0.4", "upp <= 0.15"),
+        "letters": ("let_ < 0.8", "let_ >= 0.95"), "line_ends": ("ended < 0.5", "ended >= 0.9"), "variety": ("n_words >= 50 and dist < 0.3", "n_words >= 50 and dist >= 0.45"), "punctuation": ("pun > 0.4", "pun >= 0.02 and pun <= 0.25"),
     }
     names = list(votes)
     odds = " + ".join(["ln(prior / (1 - prior))", *(f"case {k} when 1 then ln(g[{i}] / (1 - b[{i}])) when 0 then ln((1 - g[{i}]) / b[{i}]) else 0 end" for i, k in enumerate(names, 1))])
-    bounded = lambda x, lo_hi: f"least(greatest({x}, {lo_hi[0]}::double), {lo_hi[1]}::double)"
-    rate = lambda v, weight, k: f"(coalesce(sum(case when {k} = {v} then {weight} end), 0) + 1) / (coalesce(sum(case when {k} >= 0 then {weight} end), 0) + 2)"
-    good = ", ".join(bounded(rate(1, "p", k), rules.GOOD_BOUNDS) for k in names)
-    bad = ", ".join(bounded(rate(0, "n - p", k), rules.BAD_BOUNDS) for k in names)
-    moved = ", ".join(["abs(new_prior - prior)", *(f"abs(ng[{i}] - g[{i}]), abs(nb[{i}] - b[{i}])" for i in range(1, len(names) + 1))])
-    start = lambda x: "[" + ", ".join([f"{x}::double"] * len(names)) + "]"
+    inside = lambda x: f"least(greatest({x}, {rules.EDGE}::double), 1 - {rules.EDGE}::double)"
+    rate = lambda v, weight, k: inside(f"(coalesce(sum(case when {k} = {v} then {weight} end), 0) + 1) / (coalesce(sum(case when {k} >= 0 then {weight} end), 0) + 2)")
+    estimates = f"{inside('sum(p) / sum(n)')} as prior, [{', '.join(rate(1, 'p', k) for k in names)}] as g, [{', '.join(rate(0, 'n - p', k) for k in names)}] as b"
+    moved = ", ".join(["abs(e.prior - old)", *(f"abs(e.g[{i}] - og[{i}]), abs(e.b[{i}] - ob[{i}])" for i in range(1, len(names) + 1))])
+    says = lambda v: " + ".join(f"({k} = {v})::int" for k in names)
     return f"""with recursive d as (select row_number() over () as rid, doc_id, coalesce(text, '') as x from documents),
         w as (select *, list_filter(regexp_split_to_array(x, '[\\x20\\x09-\\x0D]+'), lambda y: y <> '') as words, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) as lines from d),
         win as (select rid, i, count(*) over (partition by rid, gram) as n from (select rid, i, array_to_string(words[i:i + 4], ' ') as gram from (select rid, words, unnest(range(1, len(words) - 3)) as i from w))),
         rep as (select rid, sum(least(5, coalesce(following - i, 5)))::bigint as n_repeat_words from (select rid, i, lead(i) over (partition by rid order by i) as following from win where n > 1) group by rid),
         f as (select doc_id, len(words)::bigint as n_words, coalesce(list_sum(list_transform(words, lambda y: length(y))), 0)::bigint as word_chars, len(regexp_extract_all(x, '[#*$%&|<>]'))::bigint as n_symbols,
-            (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, len(lines) as n_lines, len(regexp_extract_all(x, '\\p{{Lu}}')) as n_upper, len(list_filter(words, lambda y: regexp_matches(y, '\\p{{L}}'))) as n_letters from w left join rep using (rid)),
-        s as (select *, word_chars / greatest(n_words, 1)::double as len_, n_symbols / greatest(n_words, 1)::double as sym, n_dup_lines / greatest(n_lines, 1)::double as dup, n_repeat_words / greatest(n_words, 1)::double as rep, n_upper / greatest(word_chars, 1)::double as upp, n_letters / greatest(n_words, 1)::double as let_ from f),
+            (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, len(lines) as n_lines, len(regexp_extract_all(x, '\\p{{Lu}}')) as n_upper, len(list_filter(words, lambda y: regexp_matches(y, '\\p{{L}}'))) as n_letters,
+            len(list_distinct(words)) as n_distinct, len(list_filter(words, lambda y: regexp_matches(y, '[^\\p{{L}}\\p{{N}}]$'))) as n_punct, len(list_filter(lines, lambda l: regexp_matches(l, '[.!?:…。！？]["''”»)]*[\\x20\\x09-\\x0D]*$'))) as n_ended from w left join rep using (rid)),
+        s as (select *, word_chars / greatest(n_words, 1)::double as len_, n_symbols / greatest(n_words, 1)::double as sym, n_dup_lines / greatest(n_lines, 1)::double as dup, n_ended / greatest(n_lines, 1)::double as ended, n_upper / greatest(word_chars, 1)::double as upp,
+            n_letters / greatest(n_words, 1)::double as let_, n_distinct / greatest(n_words, 1)::double as dist, n_punct / greatest(n_words, 1)::double as pun from f),
         v as (select *, {", ".join(f"case when {b} then 0 when {g} then 1 else -1 end as {k}" for k, (b, g) in votes.items())} from s),
         pat as (select {", ".join(names)}, count(*)::double as n from v group by all),
-        em as (select 0 as round, {rules.START_PRIOR}::double as prior, {start(rules.START_RIGHT[0])} as g, {start(rules.START_RIGHT[1])} as b, 1::double as moved
-            union all select round + 1, new_prior, ng, nb, greatest({moved}) from (
-                select round, prior, g, b, {bounded("sum(p) / sum(n)", rules.PRIOR_BOUNDS)} as new_prior, [{good}] as ng, [{bad}] as nb
-                from (select em.*, pat.*, n / (1 + exp(-({odds}))) as p from em, pat where round < {rules.ROUNDS} and moved >= {rules.SETTLED}) group by round, prior, g, b)),
+        first_ as (select {estimates} from (select *, n * ({says(1)} + 1)::double / ({says(1)} + {says(0)} + 2) as p from pat)),
+        em as (select 0 as round, prior, g, b, 1::double as moved from first_
+            union all select round + 1, e.prior, e.g, e.b, greatest({moved}) from (
+                select round, old, og, ob, {estimates} from (select em.round, em.prior as old, em.g as og, em.b as ob, pat.*, n / (1 + exp(-({odds}))) as p from em, pat where round < {rules.ROUNDS} and moved >= {rules.SETTLED}) group by round, old, og, ob) e),
         last_ as (select prior, g, b from em order by round desc limit 1),
         q as (select v.*, 1 / (1 + exp(-({odds}))) as probability, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from v, last_)
         select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and probability >= 0.5 as kept, round(probability, 6) as quality_probability from q"""

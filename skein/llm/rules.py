@@ -1,10 +1,15 @@
 """Text quality by weak supervision, in DataFrame functions only.
 
-Hard base rules fail a document outright. The others are labelling rules: each votes good or bad or
-abstains. Expectation-maximisation over the counts of vote patterns (of all documents; at most
-3 ** number of rules patterns, whatever the input's size) estimates how often each rule is right and
-how common good documents are; a document is kept if its posterior probability of being good is at
-least one half and no base rule fails it.
+Hard base rules fail a document outright. Beside them labelling rules vote good or bad or abstain; they
+look at other things than the base rules, and each alone is wrong at times. A document starts as good to
+the share of its votes that say so; expectation-maximisation over the counts of vote patterns then
+estimates how common good documents are and how often each rule is right on good and on bad ones. A
+document is kept if its posterior probability of being good is at least one half and no base rule fails
+it, so a single bad vote may be outweighed.
+
+The patterns are counted over all documents; there are 3 ** number of rules at most, whatever the
+input's size, and only they go to the driver, which iterates over them. Estimates are smoothed by one
+vote of either kind and kept from 0 and 1 for the logarithms' sake alone (EDGE).
 
 Results: null and empty texts have no words, fail the base rules and are not kept. Without any
 documents the result is empty. Repeated rows are judged alike; ties at one half are kept.
@@ -21,12 +26,12 @@ from skein.llm.common import let, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
+#: Words with a letter; words that end in another character than a letter or number; ends of sentences.
+LETTER_WORD, PUNCT_WORD = r"\p{L}[^\x20\x09-\x0D]*", r"[^\p{L}\p{N}\x20\x09-\x0D](?=[\x20\x09-\x0D]|\z)"
+LINE_END = r"[.!?:…。！？][\"'”»)]*[\x20\x09-\x0D]*\z"
 WINDOW = 5
-#: Where the estimates start, and bounds that they stay in: no rule is ever certain, a bad vote always
-#: speaks against a document, and good documents are the rule.
-START_PRIOR, START_RIGHT = 0.8, (0.98, 0.3)
-PRIOR_BOUNDS, GOOD_BOUNDS, BAD_BOUNDS = (0.5, 0.9), (0.995, 0.9995), (0.2, 0.95)
-ROUNDS, SETTLED = 20, 1e-4
+#: Distance of a probability from 0 and 1 at least; rounds at most, and the change that ends them.
+EDGE, ROUNDS, SETTLED = 1e-6, 200, 1e-7
 
 
 def words(text: Column) -> Column:
@@ -57,64 +62,72 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)).cast("long").alias("word_chars"),
-            let(F.transform(w, lambda x: F.xxhash64(x)), repeated_words).cast("long").alias("n_repeat_words"),
-            F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))).cast("long").alias("n_letter_words"),
+            let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.struct(repeated_words(h).cast("long").alias("n_repeat_words"), F.size(F.array_distinct(h)).cast("long").alias("n_distinct_words"))).alias("of_hashes"),
         ),
     )
-    of_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    made = docs.select(
-        F.col(id_col).alias("doc_id"), of_words.alias("w"), of_lines.alias("l"),
-        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"), F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
+    of_lines = let(
+        lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), F.size(F.filter(x, lambda y: y.rlike(LINE_END))).cast("long").alias("n_ended_lines"))
     )
-    return made.select("doc_id", "w.*", "l.*", "n_symbols", "n_upper")
+    counted = {"n_symbols": SYMBOLS, "n_upper": r"\p{Lu}", "n_letter_words": LETTER_WORD, "n_punct_words": PUNCT_WORD}
+    made = docs.select(F.col(id_col).alias("doc_id"), of_words.alias("w"), of_lines.alias("l"), *(F.regexp_count(text, F.lit(v)).cast("long").alias(k) for k, v in counted.items()))
+    return made.select("doc_id", "w.n_words", "w.word_chars", "w.of_hashes.*", "l.*", *counted)
 
 
 def rules() -> dict[str, tuple[Column, Column]]:
     """Rule -> (when it votes bad, when it votes good); it abstains otherwise."""
-    n, per = F.col("n_words"), F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    n, per, lines = F.col("n_words"), F.greatest(F.col("n_words"), F.lit(1)).cast("double"), F.greatest(F.col("n_lines"), F.lit(1))
     length, symbols, upper = F.col("word_chars") / per, F.col("n_symbols") / per, F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1))
-    dup, rep, letters = F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), F.col("n_repeat_words") / per, F.col("n_letter_words") / per
+    dup, ended, several = F.col("n_dup_lines") / lines, F.col("n_ended_lines") / lines, F.col("n_lines") >= 3
+    letters, punct, distinct = F.col("n_letter_words") / per, F.col("n_punct_words") / per, F.col("n_distinct_words") / per
     return {
-        "length": (n < 10, n >= 50),
-        "word_length": ((length < 2.5) | (length > 14), (length >= 3) & (length <= 11)),
+        "word_length": ((length < 3) | (length > 10), (length >= 4) & (length <= 8)),
         "symbols": (symbols > 0.1, symbols <= 0.02),
-        "dup_lines": ((dup > 0.3) & (F.col("n_dup_lines") >= 3), dup <= 0.1),
-        "repeats": (rep > 0.2, rep <= 0.02),
+        "dup_lines": (several & (dup > 0.3), several & (dup <= 0.1)),
         "upper_case": (upper > 0.4, upper <= 0.15),
-        "letters": (letters < 0.6, letters >= 0.85),
+        "letters": (letters < 0.8, letters >= 0.95),
+        "line_ends": (ended < 0.5, ended >= 0.9),
+        "variety": ((n >= 50) & (distinct < 0.3), (n >= 50) & (distinct >= 0.45)),
+        "punctuation": (punct > 0.4, (punct >= 0.02) & (punct <= 0.25)),
     }
 
 
 Rates = dict[str, tuple[float, float]]
 
 
-def estimate(votes: DataFrame, names: list[str]) -> tuple[float, Rates]:
+def estimate(votes: list[tuple[tuple[int, ...], int]], names: list[str]) -> tuple[float, Rates]:
     """The share of good documents, and each rule's accuracies: how often its vote is right on good
-    documents and on bad ones. Expectation-maximisation over ``votes`` (a column per rule: 1 good,
-    0 bad, -1 abstains; n documents)."""
-    prior, right = START_PRIOR, dict.fromkeys(names, START_RIGHT)
+    documents and on bad ones. ``votes``: patterns (1 good, 0 bad, -1 abstains, in the order of
+    ``names``) with their number of documents."""
+    good = [(pattern.count(1) + 1) / (len(pattern) - pattern.count(-1) + 2) for pattern, _ in votes]
+    prior, right = _rates(votes, good, names)
     for _ in range(ROUNDS):
-        p = posterior(prior, right) * F.col("n")
-        q = F.col("n") - p
-        sums = [F.sum(p).alias("good"), F.sum("n").alias("all")]
-        for k in names:
-            v = F.col(k)
-            sums += [F.sum(F.when(v == 1, p)).alias(f"{k}_good"), F.sum(F.when(v >= 0, p)).alias(f"{k}_of_good"), F.sum(F.when(v == 0, q)).alias(f"{k}_bad"), F.sum(F.when(v >= 0, q)).alias(f"{k}_of_bad")]
-        s = votes.agg(*sums).first()
-        if not s["all"]:
-            break
-        rate = lambda k, of: ((s[f"{k}_{of}"] or 0.0) + 1) / ((s[f"{k}_of_{of}"] or 0.0) + 2)  # noqa: E731, B023
-        new = {k: (_bounded(rate(k, "good"), GOOD_BOUNDS), _bounded(rate(k, "bad"), BAD_BOUNDS)) for k in names}
-        new_prior = _bounded(s["good"] / s["all"], PRIOR_BOUNDS)
-        moved = max(abs(new_prior - prior), *(abs(x - y) for k in names for x, y in zip(new[k], right[k], strict=True)))
-        prior, right = new_prior, new
-        if moved < SETTLED:
+        before = (prior, right)
+        prior, right = _rates(votes, [_good(pattern, prior, right) for pattern, _ in votes], names)
+        if max(abs(prior - before[0]), *(abs(x - y) for k in names for x, y in zip(right[k], before[1][k], strict=True))) < SETTLED:
             break
     return prior, right
 
 
-def _bounded(x: float, bounds: tuple[float, float]) -> float:
-    return min(max(x, bounds[0]), bounds[1])
+def _rates(votes: list[tuple[tuple[int, ...], int]], good: list[float], names: list[str]) -> tuple[float, Rates]:
+    """The estimates that follow if a pattern's documents are good with the given probability."""
+    inside = lambda x: min(max(x, EDGE), 1 - EDGE)
+    total = sum(n for _, n in votes)
+    right = {}
+    for i, k in enumerate(names):
+        sums = [[0.0, 0.0], [0.0, 0.0]]  # by vote, of good and of bad documents
+        for (pattern, n), p in zip(votes, good, strict=True):
+            if pattern[i] >= 0:
+                sums[pattern[i]][0] += n * p
+                sums[pattern[i]][1] += n * (1 - p)
+        right[k] = (inside((sums[1][0] + 1) / (sums[0][0] + sums[1][0] + 2)), inside((sums[0][1] + 1) / (sums[0][1] + sums[1][1] + 2)))
+    return inside(sum(n * p for (_, n), p in zip(votes, good, strict=True)) / total if total else 0.5), right
+
+
+def _good(pattern: tuple[int, ...], prior: float, right: Rates) -> float:
+    odds = math.log(prior / (1 - prior))
+    for vote, (on_good, on_bad) in zip(pattern, right.values(), strict=True):
+        odds += math.log(on_good / (1 - on_bad)) if vote == 1 else math.log((1 - on_good) / on_bad) if vote == 0 else 0.0
+    return 1 / (1 + math.exp(-min(max(odds, -500.0), 500.0)))
 
 
 def posterior(prior: float, right: Rates) -> Column:
@@ -129,14 +142,10 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """A row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long),
     base_failed, kept (boolean), quality_probability (double). Only the two named columns are read."""
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    made = features(docs, id_col, text_col)
-    ruled = rules()
-    seen = written(
-        made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), *(F.when(bad, 0).when(good, 1).otherwise(-1).alias(k) for k, (bad, good) in ruled.items())),
-        "rules",
-    )
+    ruled, shown = rules(), ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    votes = (F.when(bad, 0).when(good, 1).otherwise(-1).alias(k) for k, (bad, good) in ruled.items())
+    seen = written(features(docs, id_col, text_col).select(*shown, base_failed.alias("base_failed"), *votes), "rules")
     names = list(ruled)
-    patterns = written(seen.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1), "votes")
-    probability = posterior(*estimate(patterns, names))
-    shown = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    return seen.select(*shown, probability.alias("quality_probability"), *names).select(*shown, (~F.col("base_failed") & (F.col("quality_probability") >= 0.5)).alias("kept"), "quality_probability")
+    patterns = sorted((tuple(r[k] for k in names), r["count"]) for r in seen.groupBy(*names).count().collect())  # at most 3 ** rules
+    known = seen.withColumn("quality_probability", posterior(*estimate(patterns, names)))
+    return known.select(*shown, "base_failed", (~F.col("base_failed") & (F.col("quality_probability") >= 0.5)).alias("kept"), "quality_probability")
