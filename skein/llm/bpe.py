@@ -30,8 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm import ngrams
-from skein.llm.common import in_batches
+from skein.llm.common import parts
 from skein.llm.pretokens import Words
 
 #: The pre-token pattern of byte-level BPE vocabularies.
@@ -249,19 +248,18 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_i
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec.value)
-        for b in batches:
+        for b, texts in parts(batches):
             n, sha, back, kept = [], [], [], []
-            for texts in ngrams.slices(b.column("text")):
-                for ids in enc.encode_texts(texts):
-                    n.append(len(ids) // 4)
-                    sha.append(hashlib.sha256(ids).hexdigest())
-                    back.append(hashlib.sha256(enc.decode_bytes(ids)).hexdigest())
-                    if with_ids:
-                        kept.append(ids)
+            for ids in enc.encode_texts(texts):
+                n.append(len(ids) // 4)
+                sha.append(hashlib.sha256(ids).hexdigest())
+                back.append(hashlib.sha256(enc.decode_bytes(ids)).hexdigest())
+                if with_ids:
+                    kept.append(ids)
             cols = {"doc_id": b.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(sha, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
             yield pa.RecordBatch.from_pydict(cols | ({"ids": pa.array(kept, pa.binary())} if with_ids else {}))
 
-    return in_batches(rows, run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if with_ids else ""))
+    return rows.mapInArrow(run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if with_ids else ""))
 
 
 def decode_documents(ids: DataFrame, vocabulary_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -274,4 +272,4 @@ def decode_documents(ids: DataFrame, vocabulary_path: str, id_col: str = "doc_id
         for b in batches:
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text": pa.array([enc.decode_bytes(x.as_py() or b"").decode() for x in b.column("ids")], pa.string())})
 
-    return in_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import written
+from skein.llm.common import dropped, written
 
 #: Rounds after which something must be wrong: two star rounds halve a path's length at least.
 MOST_ROUNDS = 64
@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Alternates large and small stars: each node's neighbours are hung on the smallest of them. The
     minima are partial sums before their shuffle, and the join back to the edges can be split where
     one node has very many, so a star around a hot node stays spread. Each round is written to the
-    shared folder. Edges with a null end and loops link nothing; repeated edges count once."""
+    shared folder, and the one before is deleted. Edges with a null end and loops link nothing; repeated edges count once."""
     e = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a < b").distinct()  # a null end: least = greatest
     e = written(e, "edges")
     state = _state(e)
@@ -32,7 +32,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = large.groupBy("x").agg(F.min("m").alias("low")).withColumnRenamed("x", "n")
         hung = large.join(least, large["x"] == least["n"])
         small = hung.filter("m > low").select(F.col("m").alias("b"), F.col("low").alias("a")).union(least.select(F.col("n"), F.col("low")))
-        e = written(small.select("a", "b").filter("a < b").distinct(), "edges")
+        last, e = e, written(small.select("a", "b").filter("a < b").distinct(), "edges")
+        dropped(last)
         before, state = state, _state(e)
         if state == before:
             break

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import in_batches, written
+from skein.llm.common import dropped, written
 from skein.llm.components import connected_components
 
 #: Vectors of a block, at most about; a tile's task holds two blocks and a strip of their product. Small
@@ -129,7 +129,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     smallest). Only the two named columns are read."""
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
     kind = rows.schema["id"].dataType.simpleString()
-    keyed = written(in_batches(rows, _classes, f"id {kind}, key binary, raw binary"), "vectors")
+    keyed = written(rows.mapInArrow(_classes, f"id {kind}, key binary, raw binary"), "vectors")
     classes = written(keyed.filter("key is not null").groupBy("key").agg(F.first("raw").alias("raw"), F.count("*").alias("copies"), F.min("id").alias("least")), "vector-classes")
     size = classes.count()
     blocks = max(1, min(LEAST_BLOCKS, size // 64), -(-size // BLOCK))

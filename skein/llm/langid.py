@@ -1,10 +1,13 @@
 """Language identification in two steps: the family first, then the language within it.
 
 A text is the relative frequencies of its hashed byte n-grams, in lower case. Families are told apart
-by one-versus-one linear support vector machines, and so are the languages inside each family; a
-side's margins are summed over its pairs. All machines are columns of one table, whose size depends
-on the number of languages only, so a text's n-grams are looked up once. The fit uses a bounded sample
-of ``per_language`` documents. Scoring is one pass without a shuffle.
+by one linear support vector machine each, against the other families' texts (two families by one
+machine), and the languages inside a family by one-versus-one machines, whose bounded margins are
+summed. All machines are columns of one table, so a text's n-grams are looked up once. Every language
+that occurs is learned: the table's width is halved until it holds WEIGHTS numbers at most (2 ** 16
+buckets for up to 512 machines). The fit uses a bounded sample: ``per_language`` documents of each
+language, TEXTS of all, and CHARS characters in all, chosen by a hash of the id that knows nothing of
+a text's length. Scoring is one pass without a shuffle.
 
 Results: a null text, or one without a letter, is ``und`` with score 0; so is everything when no
 language was learned. With a single language learned every other text is that language. Rows with a
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import ngrams
-from skein.llm.common import in_batches, remainder, rows_that, share
+from skein.llm.common import parts, remainder, rows_that, sampled, share_of_class
 from skein.llm.linear import Rows, hinge
 
 #: Language families by ISO 639-1 code. Other codes are families of their own.
@@ -42,8 +45,10 @@ FAMILIES = {
     "sinitic": "zh yue",
     "austronesian": "id ms tl jv su mg",
 }
-BITS, LENGTHS = 16, (1, 2, 3, 4)
-PER_LANGUAGE, MOST_LANGUAGES, MOST_CHARS = 700, 100, 200_000
+BITS, LENGTHS, WEIGHTS = 16, (1, 2, 3, 4), 1 << 25
+PER_LANGUAGE, TEXTS, CHARS = 700, 70_000, 32_000_000
+#: Texts of other families that a family's machine is fitted against, for each of its own.
+OTHERS = 4
 #: Frequencies are brought to this scale for the machines; what a margin counts for in the score.
 SCALE, COST, SHARPNESS = 20.0, 0.1, 2.0
 UNKNOWN = "und"
@@ -57,35 +62,39 @@ def family(lang: str) -> str:
     return next((k for k, v in FAMILIES.items() if code in v.split()), code)
 
 
-def frequencies(texts: list[str]) -> Rows:
-    """Square roots of relative n-gram frequencies, which have length SCALE together."""
+def frequencies(texts: list[str], bits: int = BITS) -> Rows:
+    """Relative n-gram frequencies, which add up to SCALE."""
     index, value, sizes = [], [], []
     for t in texts:
         flat, _ = ngrams.joined([t], lower=True, words=True)
-        k, c = np.unique(np.concatenate([ngrams.hashed(flat, n, BITS) for n in LENGTHS]), return_counts=True)
+        k, c = np.unique(np.concatenate([ngrams.hashed(flat, n, bits) for n in LENGTHS]), return_counts=True)
         index.append(k.astype(np.int32))
-        value.append((c / c.sum() * SCALE).astype(np.float32))
+        value.append((c / max(c.sum(), 1) * SCALE).astype(np.float32))
         sizes.append(len(k))
     return Rows(np.concatenate(index), np.concatenate(value), np.concatenate(([0], np.cumsum(sizes))))
 
 
 class Model:
-    """Languages, their families, and a column of weights and a bias for each pair of either."""
+    """Languages, their families, and a column of weights and a bias for each family (for the first of
+    two) and each pair of languages of one family, of which the first is the positive side."""
 
     def __init__(self, langs: list[str]):
         self.langs = sorted(langs)
         self.families = sorted({family(x) for x in langs})
-        self.family_pairs = list(combinations(self.families, 2))
-        self.pairs = [p for p in combinations(self.langs, 2) if family(p[0]) == family(p[1])]
-        self.weights = np.zeros((len(self.family_pairs) + len(self.pairs), 1 << BITS), np.float32)
-        self.bias = np.zeros(len(self.weights))
+        self.own = {f: [x for x in self.langs if family(x) == f] for f in self.families}
+        self.judged = self.families if len(self.families) > 2 else self.families[: len(self.families) - 1]
+        self.pairs = [p for f in self.families for p in combinations(self.own[f], 2)]
+        machines = len(self.judged) + len(self.pairs)
+        self.bits = next(b for b in range(BITS, 0, -1) if b == 1 or machines << b <= WEIGHTS)
+        self.weights = np.zeros((machines, 1 << self.bits), np.float32)
+        self.bias = np.zeros(machines)
 
     def margins(self, texts: list[str]) -> np.ndarray:
-        """One row per text, one column per pair; the first of the pair is the positive side."""
+        """One row per text, one column per machine."""
         flat, starts = ngrams.joined(texts, lower=True, words=True)
         out, n = np.zeros((len(texts), len(self.weights))), np.zeros(len(texts))
         for k in LENGTHS:
-            h = ngrams.hashed(flat, k, BITS)
+            h = ngrams.hashed(flat, k, self.bits)
             stop = np.minimum(np.maximum(starts[1:] - k + 1, starts[:-1]), len(h))
             first = np.minimum(starts[:-1], len(h))
             n += stop - first
@@ -94,19 +103,25 @@ class Model:
                 out[:, c] += total[stop] - total[first]
         return out * SCALE / np.maximum(n, 1)[:, None] + self.bias
 
+    def _of_family(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's family, and the probability that half its lead over the next one stands for."""
+        m = np.concatenate((margins, -margins), 1) if len(self.families) == 2 else margins if len(self.families) > 2 else np.zeros((len(margins), 1))
+        lead = np.sort(m, 1)[:, -2:] @ [-0.5, 0.5] if m.shape[1] > 1 else np.full(len(m), 30.0)
+        return m.argmax(1), _sureness(lead)
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         known = np.array([_letter(t) is not None for t in texts])
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         m = self.margins(texts)
         names, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-        best, sure = self._vote(m[:, : len(self.family_pairs)], self.families, self.family_pairs)
-        inner = m[:, len(self.family_pairs) :]
+        best, sure = self._of_family(m[:, : len(self.judged)])
+        first = len(self.judged)
         for i, f in enumerate(self.families):
-            at = np.flatnonzero(known & (best == i))
-            own = [x for x in self.langs if family(x) == f]
-            cols = [k for k, p in enumerate(self.pairs) if family(p[0]) == f]
-            which, within = self._vote(inner[np.ix_(at, cols)], own, [self.pairs[k] for k in cols])
+            at, own = np.flatnonzero(known & (best == i)), self.own[f]
+            cols = slice(first, first + len(own) * (len(own) - 1) // 2)
+            first = cols.stop
+            which, within = self._vote(m[at, cols], own, self.pairs[cols.start - len(self.judged) : cols.stop - len(self.judged)])
             names[at] = np.array(own, object)[which]
             score[at] = sure[at] * within
         return names.tolist(), score
@@ -122,34 +137,41 @@ class Model:
                 total[:, i] += np.clip(m, -1, 1)
                 least[:, i] = np.minimum(least[:, i], m)
         best = total.argmax(1)
-        return best, 1 / (1 + np.exp(-SHARPNESS * np.clip(least[np.arange(len(best)), best], -30, 30)))
+        return best, _sureness(least[np.arange(len(best)), best])
+
+
+def _sureness(margin: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-SHARPNESS * np.clip(margin, -30, 30)))
 
 
 def fit(texts: list[str], langs: list[str]) -> Model:
     model, lang = Model(sorted(set(langs))), np.array(langs, object)
     if len(model.langs) < 2:
         return model
-    x = frequencies(texts)
+    x = frequencies(texts, model.bits)
     kin = np.array([family(v) for v in langs], object)
-    for k, (pair, of) in enumerate([*((p, kin) for p in model.family_pairs), *((p, lang) for p in model.pairs)]):
-        rows = np.flatnonzero((of == pair[0]) | (of == pair[1]))
-        w, model.bias[k] = hinge(x.take(rows), np.where(of[rows] == pair[0], 1, -1), 1 << BITS, COST, seed=k)
+
+    def learn(k: int, good: np.ndarray, bad: np.ndarray) -> None:
+        rows = np.sort(np.concatenate((good, bad)))
+        w, model.bias[k] = hinge(x.take(rows), np.where(np.isin(rows, good), 1, -1), 1 << model.bits, COST, seed=k)
         model.weights[k] = w
+
+    for k, f in enumerate(model.judged):
+        good, bad = np.flatnonzero(kin == f), np.flatnonzero(kin != f)
+        if len(bad) > OTHERS * max(len(good), len(model.families)) and len(model.families) > 2:
+            bad = np.sort(np.random.default_rng(k).permutation(bad)[: OTHERS * max(len(good), len(model.families))])
+        learn(k, good, bad)
+    for k, (a, b) in enumerate(model.pairs, len(model.judged)):
+        learn(k, np.flatnonzero(lang == a), np.flatnonzero(lang == b))
     return model
 
 
 def fit_documents(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on about ``per_language`` documents of each language at most (of the MOST_LANGUAGES most
-    frequent ones), chosen by a hash of their id among those that are not held out; of long texts the first MOST_CHARS
-    characters."""
-    learn = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 5) != 0))
-    counts = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    part = F.lit(0.0)
-    for r in counts:
-        part = F.when(F.col("lang") == r["lang"], min(1.0, per_language / r["count"])).otherwise(part)
-    rows = learn.filter(share(F.col("doc_id"), "lang") < part).groupBy("doc_id", "lang").agg(F.min(F.substring("text", 1, MOST_CHARS)).alias("text")).collect()  # one of rows that repeat an id
-    rows = sorted((r["doc_id"], r["text"], r["lang"]) for r in rows if _letter(r["text"]))
-    return fit([r[1] for r in rows], [r[2] for r in rows])
+    """Fit on the sampled documents that are not held out."""
+    learn = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 5) != 0)).select("doc_id", "text", F.col("lang").alias("skein_class"))
+    known = max(1, learn.select("skein_class").distinct().count())
+    chosen = share_of_class(learn, max(1, min(per_language, TEXTS // known)), "lang")
+    return fit(*sampled(chosen, "lang", max(1, CHARS // known)))
 
 
 def predict_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,15 +180,11 @@ def predict_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names, scores = [], [np.zeros(0)]
-            for part in ngrams.slices(b.column("text")):
-                some, score = sent.value.predict(part)
-                names += some
-                scores.append(score)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "lang_pred": pa.array(names, pa.string()), "score": pa.array(np.concatenate(scores), pa.float64())})
-
-    made = in_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+        for b, texts in parts(batches):
+            names, score = sent.value.predict(texts)
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "lang_pred": pa.array(names, pa.string()), "score": pa.array(score, pa.float64())})
+
+    made = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
     return made.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
 
 

@@ -9,18 +9,20 @@ Texts with equal sets form classes first, so copies cost nothing more. Classes t
 of registers share a bucket. Each class is first compared with one leader, the member of its buckets
 that most others share buckets with; that joins groups of near copies around their centres. Buckets
 whose members are then all in one component are done. In the others, each pair across components is
-looked at inside a task, in blocks of bounded size, and is passed on only if the registers' agreement
-and a rigorous bound leave it a chance: a bitmap of the parities of the set's hashed elements, where
-two sets' bitmaps never differ in more bits than the sets differ in elements. What is passed on is
-estimated by the likelihood of the registers' order and equality, given both set sizes, and what may
-reach the threshold is confirmed on the full sets.
+looked at inside a task, in blocks of bounded size: a bucket's largest component is not compared with
+itself, so its members go to as many tasks only as the others have blocks. A pair is passed on only if
+the registers' agreement and a rigorous bound leave it a chance: a bitmap of the parities of the set's
+hashed elements, where two sets' bitmaps never differ in more bits than the sets differ in elements.
+What is passed on is estimated by the likelihood of the registers' order and equality, given both set
+sizes, and what may reach the threshold is confirmed on the full sets.
 
 At a similarity of 0.75 the bands miss a pair with probability (1 - 0.75^4)^40, about 3 in 10^7, and
 the estimates drop it with about 1 in 10^6; above it both fall steeply.
 
 Results: texts without words have no set and link with nothing, so do rows with a null id. With fewer
-than five words the whole sequence is the only shingle. Rows that repeat an id are one document for
-links, and each is returned. No rows give no rows.
+than five words the whole sequence is the only shingle. Rows that repeat an id are one document, with
+the links of all its texts: each is returned, with the size of its own set and the document's component.
+No rows give no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import in_batches, share, written
+from skein.llm.common import dropped, parts, share, written
 from skein.llm.components import connected_components
 
 WORDS = 5
@@ -126,15 +128,15 @@ def estimated(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return (low + high) / 2
 
 
+def _digest(elements: np.ndarray) -> bytes:
+    return hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
+
+
 def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n, digest, registers = [], [], []
-        for text in b.column("text"):
-            s = shingles(text.as_py())
-            n.append(len(s))
-            digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            registers.append(sketch(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_shingles": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.binary()), "registers": pa.array(registers, pa.binary())})
+    for b, texts in parts(batches):
+        sets = [shingles(t) for t in texts]
+        digest, registers = [_digest(s) if len(s) else None for s in sets], [sketch(s).tobytes() if len(s) else None for s in sets]
+        yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_shingles": pa.array(map(len, sets), pa.int64()), "digest": pa.array(digest, pa.binary()), "registers": pa.array(registers, pa.binary())})
 
 
 def parity(elements: np.ndarray) -> np.ndarray:
@@ -143,13 +145,16 @@ def parity(elements: np.ndarray) -> np.ndarray:
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        made = [shingles(t.as_py()) for t in b.column("text")]
+    """Sets of the rows whose text is the class's: an id's other texts go."""
+    for b, texts in parts(batches):
+        made = [shingles(t) for t in texts]
+        own = [i for i, (s, d) in enumerate(zip(made, b.column("digest").to_pylist(), strict=True)) if _digest(s) == d]
+        made, node = [made[i] for i in own], b.column("node").take(pa.array(own, pa.int64()))
         ends = np.cumsum([0, *map(len, made)])
         registers = [sketch(s) for s in made]
         yield pa.RecordBatch.from_pydict(
             {
-                "node": b.column("node"), "n": pa.array([len(s) for s in made], pa.int64()), "registers": pa.array([r.tobytes() for r in registers], pa.binary()),
+                "node": node, "n": pa.array([len(s) for s in made], pa.int64()), "registers": pa.array([r.tobytes() for r in registers], pa.binary()),
                 "low": pa.array([r.astype(np.uint8).tobytes() + parity(s).tobytes() for r, s in zip(registers, made, strict=True)], pa.binary()),
                 "elements": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*made, np.zeros(0, _u)]).view(np.int64))),
             }
@@ -238,25 +243,37 @@ def link_documents(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", t
     different sets, enough to connect each component. Only the two named columns are read."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    signed = written(in_batches(rows, _signatures, f"doc_id {kind}, n_shingles long, digest binary, registers binary"), "signatures")
-    usable = signed.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    classes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "classes")
+    signed = written(rows.mapInArrow(_signatures, f"doc_id {kind}, n_shingles long, digest binary, registers binary"), "signatures")
+    # a class: an equal set; a document without words is a class by itself, which nothing is compared with
+    alone = F.unhex(F.md5(F.concat(F.lit("id:"), F.col("doc_id").cast("string")).cast("binary")))
+    keyed = signed.filter(F.col("doc_id").isNotNull()).withColumn("key", F.coalesce("digest", alone))
+    classes = written(
+        keyed.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")).select(F.monotonically_increasing_id().alias("node"), "*"), "classes"
+    )
+    repeated = written(keyed.groupBy("doc_id").agg(F.count("*").alias("times"), F.min("key").alias("low"), F.max("key").alias("high")).filter("times > 1"), "repeated")
 
     width = 2 * BAND
-    keys = F.array(*(F.xxhash64(F.lit(i), F.substring("registers", i * width + 1, width)) for i in range(REGISTERS // BAND)))
-    banded = classes.select("node", F.explode(keys).alias("bucket"))
+    bands = F.array(*(F.xxhash64(F.lit(i), F.substring("registers", i * width + 1, width)) for i in range(REGISTERS // BAND)))
+    banded = classes.filter("n > 0").select("node", F.explode(bands).alias("bucket"))
     shared = written(banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
     members = written(banded.join(shared, "bucket"), "members")
 
     wanted = written(members.groupBy("node").agg(F.sum("size").alias("company")), "wanted")
-    texts = rows.join(_few(wanted.select(F.col("node").alias("doc_id"))), "doc_id").select(F.col("doc_id").alias("node"), "text")
-    sets = written(in_batches(texts, _sets, f"node {kind}, n long, registers binary, low binary, elements array<long>"), "sets")
+    sought = written(classes.join(wanted, "node", "left_semi").select("node", F.col("least").alias("doc_id"), F.col("key").alias("digest")), "sought")
+    made = written(rows.join(_few(sought), "doc_id").select("node", "doc_id", "digest", "text").mapInArrow(_sets, "node long, n long, registers binary, low binary, elements array<long>"), "made")
+    twice = sought.join(_few(repeated.select("doc_id")), "doc_id", "left_semi").select("node")  # an id's equal rows give a set each
+    again = made.join(twice, "node", "left_semi").dropDuplicates(["node"])
+    sets = made
+    if repeated.head(1):
+        sets = written(made.join(twice, "node", "left_anti").unionByName(again), "sets")
+        dropped(made)
+    dropped(sought)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b) whose full sets are similar enough."""
         side = lambda k, *cols: sets.select(F.col("node").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in cols))
         known = pairs.join(side("a", "n", "registers"), "a").join(side("b", "n", "registers"), "b").select("a", "b", "n_a", "n_b", "registers_a", "registers_b")
-        likely = known.mapInArrow(_likely, f"a {kind}, b {kind}")
+        likely = known.mapInArrow(_likely, "a long, b long")
         both = likely.join(side("a", "elements"), "a").join(side("b", "elements"), "b")
         common = F.size(F.array_intersect("elements_a", "elements_b"))
         of_both = both.select("a", "b", common.alias("i"), (F.size("elements_a") + F.size("elements_b")).alias("s"))
@@ -267,21 +284,42 @@ def link_documents(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", t
     links = confirmed(first.filter("a != b"))
     part = written(connected_components(links), "components")
 
-    now = written(members.join(part, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
-    mixed = now.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("bucket")
-    blocks = F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int")
-    open_ = now.join(mixed, "bucket").join(sets.select("node", "n", "low"), "node").withColumn("block", F.floor(share(F.col("node"), "block") * blocks).cast("int"))
-    tiles = open_.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n", "low")
-    seen = tiles.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_compared(percent), f"a {kind}, b {kind}")
+    now = written(members.join(part, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "labelled")
+    dropped(members, wanted, shared, part)
+    seen = _tiles(now, sets.select("node", "n", "low")).mapInArrow(_compared(percent), "a long, b long")
     more = confirmed(seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = links.union(more)
-    part = written(connected_components(links), "components")
-
-    mapped = classes.join(part, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    of_all = signed.join(mapped, "digest", "left")
-    own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
-    shown = of_all.select("doc_id", "n_shingles", own.alias("component_id"))
-    return shown.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), links
+    dropped(now, sets)
+
+    # texts of one id are one document
+    node_of = lambda c, name: classes.select(F.col("key").alias(c), F.col("node").alias(name))
+    other = keyed.select("doc_id", "key").join(_few(repeated.filter("low < high").select("doc_id", "low")), "doc_id").filter("key != low").select("key", "low").distinct()
+    same = other.join(node_of("key", "a"), "key").join(node_of("low", "b"), "low").select("a", "b")
+    part = written(connected_components(links.union(same)), "components")
+    ids = part.join(classes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
+    mapped = classes.join(part.join(ids, "component"), "node", "left").select("key", F.coalesce("component_id", "least").alias("component_id"))
+    of_all = signed.withColumn("key", F.coalesce("digest", alone)).join(mapped, "key", "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
+    shown = of_all.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    least_of = lambda c: classes.select(F.col("node").alias(f"{c}_node"), F.col("least").alias(c))
+    return shown, links.toDF("a_node", "b_node").join(least_of("a"), "a_node").join(least_of("b"), "b_node").select("a", "b")
+
+
+def _tiles(members: DataFrame, low: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, dealt to tiles (bucket, i, j) and sorted by
+    them. A bucket's largest component has blocks of its own, after those of the rest; tiles are pairs
+    of the rest's blocks, and of each of them with each block of the largest."""
+    by = members.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    mixed = by.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.max("size").alias("large"), F.sum("size").alias("size")).filter("large < size")
+    number = lambda n: F.ceil(n / BLOCK_MEMBERS).cast("int")
+    sized = mixed.select("bucket", "largest", number(F.col("size") - F.col("large")).alias("few"), number(F.col("large")).alias("many"))
+    open_ = members.join(sized, "bucket").join(low, "node").withColumn("rest", F.col("component") != F.col("largest"))
+    place = lambda n: F.floor(share(F.col("node"), "block") * n).cast("int")
+    block = F.when(F.col("rest"), place(F.col("few"))).otherwise(F.col("few") + place(F.col("many")))
+    others = F.sequence(F.lit(0), F.when(F.col("rest"), F.col("few") + F.col("many")).otherwise(F.col("few")) - 1)
+    dealt = open_.withColumn("block", block).withColumn("other", F.explode(others))
+    tiles = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n", "low")
+    return tiles.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ _MULTIPLY = np.array([0, 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x16566
 def hashed(flat: np.ndarray, n: int, bits: int) -> np.ndarray:
     """The bucket, below 2**bits, of each n-gram of ``flat`` (bytes), by its first byte's place."""
     h = np.full(max(len(flat) - n + 1, 0), n, _u)
-    for k in range(n):
+    for k in range(n if len(h) else 0):
         h = (h + flat[k : len(flat) - n + 1 + k]) * _MULTIPLY[n]
         h ^= h >> _u(15)
     return (h * _u(0x9E3779B1)) >> _u(32 - bits)
@@ -34,12 +34,13 @@ def slices(texts: Iterable, most: int = 1 << 20) -> Iterator[list[str]]:
 
 
 def joined(texts: list[str], lower: bool, words: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, starts) of the texts one after another, each between spaces; starts has one more.
-    ``words``: white space is one space each."""
+    """(bytes, starts) of the texts one after another, each between spaces; starts has one more. Empty
+    texts have no bytes. ``words``: white space is one space each."""
     made = []
     for t in texts:
-        t = t.lower() if lower else t
-        made.append(b" %s " % (b" ".join(t.encode("utf-8", "replace").split()) if words else t.encode("utf-8", "replace")))
+        raw = (t.lower() if lower else t).encode("utf-8", "replace")
+        raw = b" ".join(raw.split()) if words else raw
+        made.append(b" %s " % raw if raw else b"")
     starts = np.cumsum([0, *map(len, made)])
     return np.frombuffer(b"".join(made), np.uint8).astype(_u), starts
 

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from tokenizers import Tokenizer
 
-from skein.llm import bpe, ngrams
-from skein.llm.common import in_batches, worker_threads
+from skein.llm import bpe
+from skein.llm.common import parts, worker_threads
 
 #: Part of the capacity below which a piece goes to the last class.
 SMALL = 32
@@ -162,15 +162,13 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, capacity: int = 1024,
             packer.rows = []
             return pa.RecordBatch.from_arrays([pa.array(cols[0], arrow_id), *(pa.array(x, pa.int64()) for x in cols[1:])], names=FIELDS)
 
-        for b in batches:
+        for b, texts in parts(batches):
             arrow_id = b.schema.field("doc_id").type
-            ids = iter(b.column("doc_id").to_pylist())
-            for texts in ngrams.slices(b.column("text")):
-                for coded in enc.encode_many(texts):
-                    packer.add(next(ids), coded + end)
-                yield made()
+            for doc_id, coded in zip(b.column("doc_id").to_pylist(), enc.encode_many(texts), strict=True):
+                packer.add(doc_id, coded + end)
+            yield made()
         if arrow_id is not None:
             packer.close()
             yield made()
 
-    return in_batches(rows, run, f"doc_id {id_type.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return rows.mapInArrow(run, f"doc_id {id_type.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -1,13 +1,16 @@
 """Text quality by naive Bayes support vectors.
 
-Features are indicators: which byte n-grams (hashed) a whole text has, and which word-level ones:
-upper-case words, words equal to the one before, symbol endings, each by the order of magnitude of
-their share. Indicators are scaled by the classes' smoothed log-count ratio, and a linear hinge-loss
-model is fitted to the scaled ones by dual coordinate descent; its weights are drawn towards the
-naive Bayes solution. The fit uses a bounded sample (``per_class``). Scoring is one pass.
+Features are indicators: which byte n-grams (hashed) a whole text has, and how common words of three
+shapes are in it: upper-case words, words equal to the one before, symbol endings, each by the order of
+magnitude of their share. (N-grams alone cannot tell a text that repeats one sound word from a short
+sound one; the README has the figures with and without.) Indicators are scaled by the classes' smoothed
+log-count ratio, and a linear hinge-loss model is fitted to the scaled ones by dual coordinate descent;
+its weights are drawn towards the naive Bayes solution. The fit uses a bounded sample (``per_class``
+documents of a class, and so many characters). Scoring is one pass.
 
 Results: null and empty texts have no features and get the score of the bias alone. Without labelled
-rows of both classes every score is 1. Repeated rows score alike.
+rows of both classes every score is 1. Null labels and labels other than 0 and 1 are none; of different
+labels of one id the greatest counts. Repeated rows score alike.
 """
 
 from __future__ import annotations

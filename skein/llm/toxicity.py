@@ -1,16 +1,19 @@
 """Toxicity by subword-bag embeddings and a linear softmax, trained jointly in numpy.
 
 A word is the average of its character n-grams' vectors, a document the average over its words'
-n-grams; both lie in the same space, under the same two-class softmax. Training starts on whole
-documents' averages. As a few toxic words in a long text hardly move its average, it goes on with
-each document's most toxic word, found anew in each round. A text's score is that of its most toxic
-word, so it does not fade with length, and misspellings share n-grams with what was learned.
+n-grams; both lie in the same space, under the same two-class softmax, and vectors and softmax are
+trained jointly. Training starts on whole documents' averages. As a few toxic words in a long text
+hardly move its average, it goes on with each document's most toxic word, found anew in each round. A
+text's score is the softmax of its most toxic word's average, so it does not fade with length, and
+misspellings share n-grams with what was learned. (Scored by whole documents' averages the same vectors
+do much worse; the README has both figures.)
 
-The fit uses a bounded sample (``per_class``); the model is a table of 2 ** BITS numbers, which is
-what goes to the workers. Scoring is one pass without a shuffle.
+The fit uses a bounded sample (``per_class`` documents of a class, and so many characters); the model is
+a table of 2 ** BITS numbers, which is what goes to the workers. Scoring is one pass without a shuffle.
 
 Results: null and empty texts have no words and score 0 plus what the calibration gives an empty
-text, below the threshold. Without labelled rows of both classes every score is 0. Repeated rows
+text, below the threshold. Without labelled rows of both classes every score is 0. Null labels and
+labels other than 0 and 1 are none; of different labels of one id the greatest counts. Repeated rows
 score alike.
 """
 
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import ngrams
-from skein.llm.common import in_batches, labelled_sample, remainder
+from skein.llm.common import labelled_sample, parts, remainder
 from skein.llm.linear import calibrated, probability
 
 BITS, LENGTHS, DIMENSIONS = 18, (3, 4, 5, 6), 8
@@ -181,11 +184,10 @@ def _scored(docs: DataFrame, model, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            scores = [sent.value.score(part) for part in ngrams.slices(b.column("text"))]
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "score": pa.array(np.concatenate([*scores, np.zeros(0)]), pa.float64())})
+        for b, texts in parts(batches):
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "score": pa.array(sent.value.score(texts), pa.float64())})
 
-    return in_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def detect(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
