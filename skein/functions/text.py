@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -116,9 +119,13 @@ def safe_name(name: Column) -> Column:
     return F.when(name.rlike(r"^[A-Za-z0-9_-]{1,64}$"), F.lower(name))
 
 
+#: Home folders (as JSON escapes them), authorisation headers, access tokens.
+SENSITIVE = (r"/Users/|/home/|[A-Za-z]:\\\\Users\\\\", r"(?i)authorization\s*:", r"gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}")
+
+
 def needs_redaction(text: Column) -> Column:
     """Home folders, authorisation headers, or token shapes."""
-    return text.rlike(r"(?i)(/home/|/users/|c:\\users\\)|authorization\s*:|\bbearer\s+\S{8,}|\bgh[pousr]_[A-Za-z0-9]{16,}|\bgithub_pat_\w+|\bsk-[A-Za-z0-9]{16,}")
+    return text.rlike(SENSITIVE[0]) | text.rlike(SENSITIVE[1]) | text.rlike(SENSITIVE[2])
 
 
 def next_page(link_header: Column) -> Column:
@@ -127,7 +134,13 @@ def next_page(link_header: Column) -> Column:
     return F.when(found != "", found)
 
 
+#: Wordings of error bodies, in lower case.
+RATE_LIMITED = ("rate limit", "abuse detection")
+PERMISSION_LOST = ("resource not accessible", "permission denied", "insufficient permission", "do not have permission", "does not have permission", "must have")
+
+
 def response_reason(body: Column) -> Column:
     """What an error body's wording says: rate_limited, permission or other."""
     said = F.lower(F.coalesce(body, F.lit("")))
-    return F.when(said.rlike("rate limit|abuse detection|too many requests"), "rate_limited").when(said.rlike("not accessible|forbidden|permission|must have admin|saml"), "permission").otherwise("other")
+    says = lambda wordings: reduce(or_, (F.contains(said, F.lit(w)) for w in wordings))
+    return F.when(says(RATE_LIMITED), "rate_limited").when(says(PERMISSION_LOST), "permission").otherwise("other")

@@ -11,6 +11,7 @@ UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "mo": 2592000}
 
 def duration_seconds(text: Column) -> Column:
     """Seconds of ``<n><s|m|h|d|mo>`` with n > 0; null otherwise."""
+    text = F.trim(text)
     number = F.regexp_extract(text, r"^([0-9]+)(s|m|h|d|mo)$", 1).try_cast("bigint")
     unit = F.regexp_extract(text, r"^([0-9]+)(s|m|h|d|mo)$", 2)
     factor = F.lit(None).cast("bigint")
@@ -47,13 +48,13 @@ def rfc3339(epoch: Column) -> Column:
 
 
 def sync_deadline(reset_at: Column, observed_at: Column, retry: Column) -> Column:
-    """When a sync may go on: at the reset, else so many seconds after the observation."""
-    return F.coalesce(reset_at, observed_at + retry)
+    """When a sync may go on: at the reset, else so many seconds after the observation, none if negative."""
+    return F.coalesce(reset_at, observed_at + F.when(retry > 0, retry).when(retry <= 0, 0))
 
 
 def schedule_deadline(reset_at: Column, observed_at: Column, retry: Column, most: int = 86400) -> Column:
-    """When a schedule may go on: the later of both, the wait being a day at most."""
-    return F.greatest(reset_at, observed_at + F.least(retry, F.lit(most)))
+    """When a schedule may go on: the later of both, the wait being between nothing and a day."""
+    return F.greatest(reset_at, observed_at + F.when(retry > most, most).when(retry > 0, retry).when(retry <= 0, 0))
 
 
 def reserve(limit: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from skein.operators.decisions import RESERVE, UNKNOWN
 from skein.operators.lifecycle import upsert
 
 
@@ -51,34 +52,37 @@ def bounded(spark: SparkSession, schema, path: str, files: int) -> DataFrame:
 
 
 class BudgetGate(StatefulProcessor):
-    """Per host: a request passes while the known budget lasts. Unknown lets one probe through; a budget
-    once known never grows."""
+    """Per host, the gate of ``decisions.request_gate``: an unknown budget lets one probe through, a known
+    one lasts and never grows, a report without a figure blocks, and what is blocked stays so."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getValueState("known", "remaining long, probing boolean")
+        self.known = handle.getValueState("known", "remaining long, probed boolean, blocked string")
 
     def handleInputRows(self, key, rows: Iterable[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        left, probing = self.known.get() if self.known.exists() else (None, False)
+        left, probed, blocked = self.known.get() if self.known.exists() else (None, False, "")
         out = []
-        for pdf in rows:
-            for r in pdf.sort_values("seq").itertuples():
-                if r.kind == "report":
-                    probing = False
-                    if not pd.isna(r.remaining):
-                        left = int(r.remaining) if left is None else min(left, int(r.remaining))
-                    continue
-                passes = not probing if left is None else left > 0
-                probing = probing or (left is None and passes)
-                if left is not None and passes:
-                    left -= 1
-                out.append((key[0], r.seq, bool(passes)))
-        self.known.update((left, probing))
-        yield pd.DataFrame(out, columns=["host", "seq", "passes"])
+        for r in pd.concat(rows).sort_values("seq").itertuples():
+            if r.kind == "report":
+                if pd.isna(r.remaining):
+                    blocked = blocked or UNKNOWN
+                elif not blocked:
+                    left = int(r.remaining) if left is None else min(left, int(r.remaining))
+                continue
+            passes = not blocked and (not probed if left is None else left > 0)
+            if passes:
+                left, probed = (left, True) if left is None else (left - 1, probed)
+            elif not blocked:
+                blocked = UNKNOWN if left is None else RESERVE
+            out.append((key[0], r.seq, passes, None if passes else blocked))
+        self.known.update((left, probed, blocked))
+        if out:
+            yield pd.DataFrame(out, columns=["host", "seq", "passes", "reason"])
 
     def close(self) -> None:
         pass
 
 
 def gated(requests: DataFrame) -> DataFrame:
-    """requests (host, seq, kind: request or report, remaining) -> host, seq, passes for each request."""
-    return requests.groupBy("host").transformWithStateInPandas(BudgetGate(), "host string, seq long, passes boolean", "append", "none")
+    """requests (host, seq, kind: request or report, remaining) -> host, seq, passes, reason for each
+    request."""
+    return requests.groupBy("host").transformWithStateInPandas(BudgetGate(), "host string, seq long, passes boolean, reason string", "append", "none")

@@ -82,10 +82,12 @@ def test_link_header_remote_and_origin(spark):
 
 
 def test_budget_gate_stream(spark, tmp_path):
-    rows = [("h", 1, "request", None), ("h", 2, "request", None), ("h", 3, "report", 2), ("h", 4, "request", None), ("h", 5, "report", 50), ("h", 6, "request", None), ("h", 7, "request", None)]
+    rows = [("h", 1, "request", None), ("h", 2, "report", 2), ("h", 3, "request", None), ("h", 4, "report", 50), ("h", 5, "request", None), ("h", 6, "request", None), ("h", 7, "report", 9), ("h", 8, "request", None)]
+    rows += [("u", 1, "request", None), ("u", 2, "request", None), ("u", 3, "report", 9), ("u", 4, "request", None), ("n", 1, "request", None), ("n", 2, "report", None), ("n", 3, "request", None)]
     spark.createDataFrame(rows, "host string, seq long, kind string, remaining long").write.parquet(f"{tmp_path}/in")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = gated(spark.readStream.schema("host string, seq long, kind string, remaining long").parquet(f"{tmp_path}/in"))
     stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
-    got = {r["seq"]: r["passes"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert got == {1: True, 2: False, 4: True, 6: True, 7: False}
+    got = {(r["host"], r["seq"]): r["reason"] if not r["passes"] else None for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    low, none = "rate_budget_reserve", "unknown_budget_limit"
+    assert got == {("h", 1): None, ("h", 3): None, ("h", 5): None, ("h", 6): low, ("h", 8): low, ("u", 1): None, ("u", 2): none, ("u", 4): none, ("n", 1): None, ("n", 3): none}

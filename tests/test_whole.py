@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from oracle import assert_same, connect, rows
 
 from skein import suite
-from skein.llm import langid, secrets
 from skein.operators import models
 
 
@@ -91,22 +90,3 @@ def test_rrf_grid_whole(spark, small):
     assert {r[0] for r in got.select("window").distinct().collect()} == {40, 80, 100}
     cell = lambda w: {(r["k"], r["dense_weight"], r["qid"], r["source_id"], r["fusion_score"]) for r in got.filter(f"window = {w}").collect()}
     assert cell(100) != cell(80)
-
-
-def test_secrets_of_one_owner(spark):
-    """A key in several repositories of one owner is the owner's; it is widely copied with a second owner
-    or with very many repositories."""
-    keys = {"one": "Zx9Qw8Er7Ty6Ui5Op4As3Df2", "two": "Zz1Yy2Xx3Ww4Vv5Uu6Tt7Ss8", "many": "Qq1Ww2Ee3Rr4Tt5Yy6Uu7Ii8"}
-    rows = [(f"r{i}", "o1", keys["one"]) for i in range(3)] + [("r0", "o1", keys["two"]), ("r9", "o2", keys["two"])]
-    rows += [(f"r{i}", "o1", keys["many"]) for i in range(secrets.WIDE_OF_ONE)]
-    docs = spark.createDataFrame([(i, f"see {k} here", repo, owner) for i, (repo, owner, k) in enumerate(rows)], "doc_id long, text string, source string, owner string")
-    owned = {r["doc_id"] for r in secrets.scan_documents(docs, owner_col="owner").filter("n_owned = 1").collect()}
-    assert owned == {0, 1, 2}
-    assert {r["doc_id"] for r in secrets.redact_documents(docs, owner_col="owner").filter("text = 'see [SECRET] here'").collect()} == owned
-
-
-def test_language_of_long_texts_only(spark):
-    """A language whose texts are all long is learned from their beginnings."""
-    said = {"en": "the cat and the dog ", "de": "der hund und die katze " * 9000}
-    docs = spark.createDataFrame([(5 * i + k + 1, x, lang) for i in range(4) for k, (lang, x) in enumerate(said.items())], "doc_id long, text string, lang string")
-    assert langid.fit_documents(docs).langs == ["de", "en"]
