@@ -2,112 +2,223 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.lexical import ranked
+from skein.plans.storage import written
 
-#: Query vectors that go to every task at once; more are taken in blocks of so many.
-QUERY_BLOCK = 16_384
-#: Vectors that a task compares with a block at once.
-STRIP = 1024
+#: Query vectors that go to every task at once; more are taken in blocks of so many, one after another.
+QUERY_BLOCK = 4096
+#: Vectors that a task compares with a block at once; candidates that it gathers before it cuts them.
+STRIP, GATHERED = 512, 1 << 21
 DIGITS = 6
 
 
+def _matrix(vectors: pa.Array, dimension: int, first: int | None) -> np.ndarray:
+    """Rows of doubles; vectors of another dimension than the queries' are an error."""
+    sizes = np.diff(vectors.offsets.to_numpy())
+    if (sizes != dimension).any():
+        raise ValueError(f"vector is not of dimension {dimension}")
+    flat = vectors.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return flat.reshape(len(vectors), dimension)[:, :first]
+
+
+class Scorer:
+    """Distances of strips of vectors to a block of queries; less is nearer."""
+
+    def __init__(self, queries: np.ndarray, metric: str):
+        self.metric = metric
+        self.queries = self.prepared(queries)
+        self.squares = (self.queries * self.queries).sum(1)
+
+    def prepared(self, v: np.ndarray) -> np.ndarray:
+        if self.metric != "cosine":
+            return v
+        length = np.sqrt((v * v).sum(1, keepdims=True))
+        return np.divide(v, length, out=np.full_like(v, np.nan), where=length > 0)
+
+    def near(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows x queries, by a product), squared under l2, and what rounding may have added to each row."""
+        product = v @ self.queries.T
+        if self.metric == "cosine":
+            return -product, np.full(len(v), 1e-9)
+        squares = (v * v).sum(1)
+        return squares[:, None] + self.squares[None, :] - 2 * product, 1e-12 * (squares + self.squares.max())
+
+    def value(self, v: np.ndarray, rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        """What counts: computed anew for each pair, rounded."""
+        if self.metric == "cosine":
+            return np.round(-(v[rows] * self.queries[queries]).sum(1), DIGITS)
+        return np.round(np.sqrt(((v[rows] - self.queries[queries]) ** 2).sum(1)), DIGITS)
+
+    def bound(self, worst: np.ndarray) -> np.ndarray:
+        """The greatest product distance that may round to ``worst`` or less."""
+        reach = worst + 10.0**-DIGITS
+        return reach if self.metric == "cosine" else reach * np.abs(reach)
+
+
 class Best:
-    """The nearest sources of each query among what one task has seen so far."""
+    """The nearest sources of each query among what one task has seen so far, as arrays: a source with
+    its best vector, ties by id."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, limit: int, metric: str, exclude_same: bool):
-        self.ids, self.limit, self.metric, self.exclude_same = ids, limit, metric, exclude_same
-        self.vectors = self.prepared(vectors)
+    def __init__(self, ids: np.ndarray, scorer: Scorer, limit: int, exclude_same: bool):
+        self.ids, self.scorer, self.limit, self.exclude_same = ids, scorer, limit, exclude_same
         self.worst = np.full(len(ids), np.inf)
-        self.found: list[list[tuple[float, object]]] = [[] for _ in ids]
+        self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        v = self.scorer.prepared(vectors)
+        near, slack = self.scorer.near(v)
+        rows, queries = np.nonzero(near <= self.scorer.bound(self.worst)[None, :] + slack[:, None])
+        value = self.scorer.value(v, rows, queries)
+        good = value <= self.worst[queries]
+        if self.exclude_same:
+            good &= ids[rows] != self.ids[queries]
+        self.kept.append((queries[good], value[good], ids[rows[good]]))
+        self.size += int(good.sum())
+        if self.size > max(GATHERED, 4 * self.limit * len(self.ids)):
+            self.cut()
+
+    def cut(self) -> None:
+        q, value, ids = (np.concatenate(x) for x in zip(*self.kept, strict=True))
+        order = np.lexsort((value, ids, q))
+        q, value, ids = q[order], value[order], ids[order]
+        first = np.ones(len(q), bool)
+        first[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])  # a source's best vector
+        q, value, ids = q[first], value[first], ids[first]
+        order = np.lexsort((ids, value, q))
+        q, value, ids = q[order], value[order], ids[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        top = place < self.limit
+        last = place == self.limit - 1
+        self.worst[q[last]] = value[last]
+        self.kept, self.size = [(q[top], value[top], ids[top])], int(top.sum())
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self.kept:
+            self.cut()
+            return self.kept[0]
+        return np.zeros(0, int), np.zeros(0), self.ids[:0]
+
+
+def _sortable(column: pa.Array) -> np.ndarray:
+    """Ids as a numpy array that sorts as Spark does: texts as UTF-8 bytes."""
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        return np.array([x.encode() for x in column.to_pylist()], "S") if len(column) else np.zeros(0, "S1")
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _back(ids: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.array([x.decode() for x in ids.tolist()], kind) if ids.dtype.kind == "S" else pa.array(ids, kind)
+
+
+def _over_blocks(queries: DataFrame, run: Callable[[Broadcast], DataFrame]) -> DataFrame:
+    """``run`` over each block of the queries (qid, query_vector), given as a broadcast of their ids, a list,
+    and vectors. With several blocks each one's result is written before the next, so only one block at a
+    time is held by the executors."""
+    count = queries.count()
+    blocks = max(1, -(-count // QUERY_BLOCK))
+    out = []
+    for k in range(blocks):
+        block = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k)
+        rows = sorted((r["qid"], r["query_vector"]) for r in block.collect())
+        sizes = {len(v) for _, v in rows}
+        if len(sizes) > 1:
+            raise ValueError(f"query vectors are of dimensions {sorted(sizes)}")
+        sent = queries.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], float).reshape(len(rows), max(sizes, default=0))))
+        made = run(sent)
+        if blocks > 1:
+            made = written(made, "near")
+            sent.unpersist()
+        out.append(made)
+    return reduce(DataFrame.unionByName, out)
 
-    def prepared(self, v: np.ndarray) -> np.ndarray:
-        return v / np.sqrt((v * v).sum(1, keepdims=True)) if self.metric == "cosine" else v
-
-    def add(self, ids: list, vectors: np.ndarray) -> None:
-        v = self.prepared(vectors)
-        near = v @ self.vectors.T
-        if self.metric == "l2":
-            near = (v * v).sum(1)[:, None] + (self.vectors * self.vectors).sum(1)[None, :] - 2 * near
-        else:
-            near = -near
-        # what the product says is off by rounding only: candidates get their value anew
-        limit = self.worst**2 if self.metric == "l2" else self.worst
-        rows, queries = np.nonzero(near <= limit[None, :] + 1e-5)
-        if self.metric == "l2":
-            value = np.sqrt(((v[rows] - self.vectors[queries]) ** 2).sum(1))
-        else:
-            value = -(v[rows] * self.vectors[queries]).sum(1)
-        value = np.round(value, DIGITS)
-        for r, q, x in zip(rows.tolist(), queries.tolist(), value.tolist(), strict=True):
-            if x <= self.worst[q] and not (self.exclude_same and ids[r] == self.ids[q]):
-                self.found[q].append((x, ids[r]))
-                if len(self.found[q]) >= 4 * self.limit:
-                    self.cut(q)
-
-    def cut(self, q: int) -> None:
-        best: dict = {}
-        for x, s in sorted(self.found[q]):
-            best.setdefault(s, x)
-            if len(best) == self.limit:
-                break
-        self.found[q] = [(x, s) for s, x in best.items()]
-        if len(best) == self.limit:
-            self.worst[q] = self.found[q][-1][0]
-
-    def rows(self) -> Iterator[tuple]:
-        for q, own in enumerate(self.found):
-            self.cut(q)
-            for x, s in self.found[q]:
-                yield self.ids[q], s, x if self.metric == "l2" else -x
+
+def _strips(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, STRIP):
+            yield b.slice(i, STRIP)
 
 
 def nearest(queries: DataFrame, chunks: DataFrame, limit: int = 80, metric: str = "l2", allowed: DataFrame | None = None, exclude_same: bool = False, dimension: int | None = None) -> DataFrame:
     """queries (qid, query_vector), chunks (source_id, vector): for each query the ``limit`` nearest
     sources by ``metric`` (l2, or cosine with the greatest first) over the first ``dimension`` components:
-    qid, source_id, value, rank. A source counts with its best chunk. ``allowed`` (source_id) filters
-    before distances; ``exclude_same`` leaves a query's own id out.
+    qid, source_id, value, rank. A source counts with its best chunk; ties go by source_id. ``allowed``
+    (source_id) filters before distances; ``exclude_same`` leaves a query's own id out.
 
     A stated query set meets all chunks in blocks of a bounded size. Every task keeps only its best
-    sources per query, so what is shuffled does not grow with the number of pairs. Null vectors, and
-    vectors of zero length under cosine, are never near."""
+    sources per query, in arrays, so neither its memory nor what is shuffled grows with the number of
+    pairs. Null vectors, and vectors of zero length under cosine, are never near; vectors of different
+    lengths are an error."""
     chunks = chunks.select("source_id", "vector").filter("vector is not null")
     queries = queries.select("qid", "query_vector").filter("query_vector is not null")
     if allowed is not None:
         chunks = chunks.join(allowed.select("source_id").distinct(), "source_id", "left_semi")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     schema = f"qid {queries.schema['qid'].dataType.simpleString()}, source_id {chunks.schema['source_id'].dataType.simpleString()}, value double"
-    out = None
-    for k in range(blocks):
-        block = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k)
-        rows = sorted((r["qid"], r["query_vector"]) for r in block.collect())
-        sent = queries.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], float).reshape(len(rows), -1)[:, :dimension]))
 
-        def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    def over(sent: Broadcast) -> DataFrame:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, vectors = sent.value
-            best = Best(ids, vectors, limit, metric, exclude_same) if ids else None
-            for b in batches:
-                for i in range(0, b.num_rows if best else 0, STRIP):
-                    part = b.slice(i, STRIP)
-                    best.add(part.column("source_id").to_pylist(), np.array(part.column("vector").to_pylist(), float)[:, :dimension])
-            made = list(best.rows()) if best else []
-            kinds = (None, b.schema.field("source_id").type, pa.float64()) if made else ()
-            if made:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)], names=["qid", "source_id", "value"])
-
-        part = chunks.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
+            best, kind = None, None
+            for b in _strips(batches) if ids else ():
+                kind = b.schema.field("source_id").type
+                best = best or Best(_sortable(pa.array(ids)), Scorer(vectors[:, :dimension], metric), limit, exclude_same)
+                best.add(_sortable(b.column("source_id")), _matrix(b.column("vector"), vectors.shape[1], dimension))
+            if best:
+                q, value, found = best.rows()
+                yield pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(q)), _back(found, kind), pa.array(value if metric == "l2" else -value)], names=["qid", "source_id", "value"])
+
+        return chunks.mapInArrow(run, schema)
+
     descending = metric == "cosine"
-    pooled = out.groupBy("qid", "source_id").agg((F.max if descending else F.min)("value").alias("value"))
+    pooled = _over_blocks(queries, over).groupBy("qid", "source_id").agg((F.max if descending else F.min)("value").alias("value"))
     return ranked(pooled, limit, "value", descending, DIGITS)
 
 
+def best_in_groups(queries: DataFrame, chunks: DataFrame, group: str, metric: str = "cosine", exclude_same: bool = False) -> DataFrame:
+    """For each query and each value of the column ``group`` of the chunks (source_id, vector, group) the
+    nearest source: qid, group, source_id, value. Tasks pool what they see; no pairs are made."""
+    chunks = chunks.select("source_id", "vector", group).filter("vector is not null")
+    queries = queries.select("qid", "query_vector").filter("query_vector is not null")
+    of = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = f"qid {of(queries, 'qid')}, `{group}` {of(chunks, group)}, source_id {of(chunks, 'source_id')}, value double"
+
+    def over(sent: Broadcast) -> DataFrame:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, vectors = sent.value
+            seen: dict = {}
+            scorer, own, kinds = Scorer(vectors, metric) if ids else None, _sortable(pa.array(ids)) if ids else None, None
+            for b in _strips(batches) if ids else ():
+                kinds = (b.schema.field(group).type, b.schema.field("source_id").type)
+                groups = b.column(group).dictionary_encode()
+                codes = groups.indices.to_numpy(zero_copy_only=False)
+                sources, v = _sortable(b.column("source_id")), _matrix(b.column("vector"), vectors.shape[1], None)
+                for code, name in enumerate(groups.dictionary.to_pylist()):
+                    rows = codes == code
+                    if name not in seen:
+                        seen[name] = Best(own, scorer, 1, exclude_same)
+                    seen[name].add(sources[rows], v[rows])
+                    seen[name].cut()
+            for name, best in seen.items():
+                q, value, found = best.rows()
+                yield pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(q)), pa.array([name] * len(q), kinds[0]), _back(found, kinds[1]), pa.array(value if metric == "l2" else -value)], names=["qid", group, "source_id", "value"])
+
+        return chunks.mapInArrow(run, schema)
+
+    pooled = _over_blocks(queries, over)
+    order = F.col("value") if metric == "l2" else -F.col("value")
+    best = F.min(F.struct(order.alias("o"), "source_id", "value")).alias("b")
+    return pooled.groupBy("qid", group).agg(best).select("qid", group, "b.source_id", "b.value")
+
+
 def max_pooled(scored: DataFrame, by: list[str], score: str, keep: list[str]) -> DataFrame:
     """The best scored row of each group, ties by the kept columns in ascending order."""
     w = Window.partitionBy(*by).orderBy(F.col(score).desc(), *(F.col(k).asc() for k in keep))

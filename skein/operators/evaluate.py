@@ -51,6 +51,14 @@ def exact_top1(rankings: DataFrame, gold: DataFrame) -> DataFrame:
     return queries.agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("exact_top1"))
 
 
+def gold_hit(rankings: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
+    """One row: the share of queries with gold of a positive grade that have some of it among the first k;
+    0 without any."""
+    wanted = gold.filter("grade > 0").select("qid", "source_id").distinct()
+    hit = wanted.join(rankings.filter(F.col("rank") <= k).select("qid", "source_id", F.lit(1.0).alias("hit")), ["qid", "source_id"], "left").groupBy("qid").agg(F.coalesce(F.max("hit"), F.lit(0.0)).alias("hit"))
+    return hit.agg(F.coalesce(F.avg("hit"), F.lit(0.0)).alias(f"hit_{k}"))
+
+
 def nearest_rank(rows: DataFrame, value: str, shares: list[float]) -> DataFrame:
     """Percentiles that are values of the data: sorted[ceil(p n) - 1]. Distinct values are counted and
     dealt by range; running counts are taken inside the ranges and start from the ranges' totals, so no
@@ -85,6 +93,36 @@ def select_model(models: DataFrame) -> DataFrame:
     return models.filter("rescued > harmed").withColumn("net", F.col("rescued") - F.col("harmed")).orderBy(F.desc("net"), F.desc("rescued"), F.asc("harmed"), "snapshot_bytes", "name").limit(1)
 
 
+def select_cell(cells: DataFrame) -> DataFrame:
+    """The best cell of a grid of dimensions and weights: as ``select_weight``, but a smaller dimension goes
+    before a smaller weight."""
+    return cells.withColumn("net", F.col("rescued") - F.col("harmed")).orderBy(F.desc("net"), F.asc("harmed"), F.desc("cross_recall"), F.desc("ndcg"), F.asc("dimension"), F.asc("dense_weight")).limit(1)
+
+
+def profile_blockers(base: Column, other: Column) -> Column:
+    """Why another lexical profile (struct ndcg, exact_top1, violations, round_trip, stale, comment: array of
+    metrics, failures: array of names) does not take the base's place; empty if it does. It must do
+    better, and nothing may be worse or below its mark."""
+    worse = F.exists(F.arrays_zip(base["comment"].alias("b"), other["comment"].alias("o")), lambda m: m["o"] < m["b"])
+    rules = {
+        "ndcg_not_better": other["ndcg"] <= base["ndcg"],
+        "exact_worse": (other["exact_top1"] < base["exact_top1"]) | (other["exact_top1"] < 0.95),
+        "filter_violations": (other["violations"] > base["violations"]) | (other["violations"] != 0),
+        "round_trip_worse": (other["round_trip"] < base["round_trip"]) | (other["round_trip"] < 1.0),
+        "stale_results": (other["stale"] > base["stale"]) | (other["stale"] != 0),
+        "comments_worse": worse,
+    }
+    named = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in rules.items())))
+    return F.concat(named, F.transform(other["failures"], lambda f: F.concat(F.lit("gate:"), f)))
+
+
+def quality_gates() -> dict[str, Column]:
+    """Gate -> condition over exact_top1, comment_hit_5, recall_5 (map of class), violations, round_trip."""
+    least = {"english_semantic": 0.75, "korean_semantic": 0.65, "ko_query_en_source": 0.60, "en_query_ko_source": 0.60}
+    recall = {f"recall_{k}": F.coalesce(F.element_at("recall_5", F.lit(k)), F.lit(0.0)) >= v for k, v in least.items()}
+    return {"exact_top1": F.col("exact_top1") >= 0.95} | recall | {"violations": F.col("violations") == 0, "round_trip": F.col("round_trip") >= 1.0}
+
+
 def select_tier(models: DataFrame, slack: float, smallest: bool) -> DataFrame:
     """Of models without failed gates, within ``slack`` of the best gain: the smallest snapshot, or the
     best reciprocal rank and then the smallest."""
@@ -94,6 +132,11 @@ def select_tier(models: DataFrame, slack: float, smallest: bool) -> DataFrame:
     return near.orderBy(*order, "name").limit(1)
 
 
+def leaked_threads(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Threads (thread_id) whose sources are gold in both splits: none may be."""
+    return first.select("thread_id").distinct().join(second.select("thread_id").distinct(), "thread_id", "left_semi")
+
+
 def check_qrels(qrels: DataFrame) -> DataFrame:
     """(problem, n): broken rules of relevance judgments (query_id, query, class, adjudicators array,
     relevant array<struct<source_id, grade>>)."""

@@ -60,3 +60,17 @@ def effective_limit(argument: Column, policy: Column) -> Column:
 def scope_error(allowlist: Column, repo: Column) -> Column:
     """A code where a repository is asked for that the profile does not list; names compare exactly."""
     return F.when(repo.isNotNull() & ~F.array_contains(allowlist, repo), "scope.not_allowed")
+
+
+#: Characters from which on a raw value must not stand in what is published.
+RAW = 16
+
+
+def escaped(payloads: DataFrame, values: DataFrame) -> DataFrame:
+    """payloads (payload_id, payload) that hold a raw value (value) of RAW characters or more: payload_id.
+    Payloads are cut at every character, so that an equality join on the values' beginnings finds where
+    to look; no pair is compared that does not share one."""
+    heads = values.filter(F.length("value") >= RAW).select("value", F.left("value", F.lit(RAW)).alias("head")).distinct()
+    places = F.sequence(F.lit(1), F.length("payload") - RAW + 1)
+    cut = payloads.filter(F.length("payload") >= RAW).select("payload_id", "payload", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring("payload", i, F.lit(RAW))))).alias("head"))
+    return cut.join(heads, "head").filter(F.contains("payload", "value")).select("payload_id").distinct()

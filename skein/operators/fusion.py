@@ -28,9 +28,11 @@ def rrf(lexical_rank: Column, dense_rank: Column, k: Column | float = K, lexical
     return part(lexical, lexical_rank) + part(dense, dense_rank)
 
 
-def fuse(lexical: DataFrame, dense: DataFrame, limit: int, k: float = K, weights: tuple[float, float] = (LEXICAL_WEIGHT, DENSE_WEIGHT), protect: int = HEAD) -> DataFrame:
+def fuse(lexical: DataFrame, dense: DataFrame, limit: int, k: float = K, weights: tuple[float, float] = (LEXICAL_WEIGHT, DENSE_WEIGHT), protect: int = HEAD, window: int = WINDOW) -> DataFrame:
     """qid, source_id, lexical_rank, dense_rank, fusion_score, rank, final_score. The first ``protect``
-    lexical ranks keep their order at the head; the rest go by score, best branch rank, source_id."""
+    lexical ranks keep their order at the head; the rest go by score, best branch rank, source_id.
+    Dense ranks beyond ``window`` do not count. A limit of 0 gives no rows."""
+    dense = dense.filter(F.col("rank") <= window)
     score = F.round(rrf(F.col("lexical_rank"), F.col("dense_rank"), k, *weights), 9)
     head = F.when(F.col("lexical_rank") <= protect, F.col("lexical_rank")).otherwise(protect + 1)
     best = F.least("lexical_rank", "dense_rank")
@@ -49,6 +51,15 @@ def grid(lexical: DataFrame, dense: DataFrame, cells: DataFrame) -> DataFrame:
     return both.withColumn("fusion_score", score).withColumn("rank", F.row_number().over(w).cast("long"))
 
 
+def screened(lexical: DataFrame, dense: DataFrame, depth: int = 20, k: float = K) -> DataFrame:
+    """Equal fusion of the two heads of ``depth`` rows; ties go to what was seen first, lexical rows before
+    dense ones: qid, source_id, rank, ``depth`` at most."""
+    both = joined(lexical, dense).filter((F.col("lexical_rank") <= depth) | (F.col("dense_rank") <= depth))
+    score = F.round(rrf(F.col("lexical_rank"), F.col("dense_rank"), k, 1.0, 1.0), 9)
+    w = Window.partitionBy("qid").orderBy(score.desc(), F.col("lexical_rank").isNull(), F.coalesce("lexical_rank", "dense_rank"), "source_id")
+    return both.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= depth).select("qid", "source_id", "rank")
+
+
 def ranking_kind(dense_rank: Column) -> Column:
     """Fused rows that no vector contributed to are lexical ones."""
     return F.when(dense_rank.isNull(), "bm25").otherwise("hybrid")

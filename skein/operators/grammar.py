@@ -1,4 +1,4 @@
-"""Queries with operators: ``+must``, ``-must_not``, ``field:term``; other terms are optional."""
+"""Queries with operators: ``+must``, ``-must_not``, ``field:term``, ``term^boost``; other terms are optional."""
 
 from __future__ import annotations
 
@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.text import normalised_query, tokens
-from skein.operators.lexical import PROFILES, Index, idf, term_score
+from skein.operators.lexical import Index, few, weighed
 
-_WORD = r"^([+-]?)(?:([A-Za-z_]+):)?(.*)$"
+_WORD = r"^([+-]?)(?:([A-Za-z_]+):)?(.*?)(?:\^([0-9]+(?:\.[0-9]+)?))?$"
 
 
 def _words(text: Column) -> Column:
@@ -21,6 +21,11 @@ def _field(word: Column, fields: list[str]) -> Column:
     return F.when(named.isin(*fields), named)
 
 
+def plain(text: Column) -> Column:
+    """Text as a query of optional terms: without what the grammar reads as operators."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<!\S)[+-]+|[\"^:]", " ")
+
+
 def query_error(text: Column, fields: list[str]) -> Column:
     """``validation.invalid_query`` for an operator or a field without a term, or an open quote."""
     bare = F.exists(_words(text), lambda w: w.rlike(r"^[+-]$") | (_field(w, fields).isNotNull() & (F.regexp_extract(w, _WORD, 3) == "")))
@@ -29,28 +34,28 @@ def query_error(text: Column, fields: list[str]) -> Column:
 
 
 def clauses(queries: DataFrame, text: Column, fields: list[str], qid: str = "qid") -> DataFrame:
-    """(qid, clause, occur: must, not or should, field nullable, term, qtf) of the valid queries. A word of
-    several tokens gives a clause each; repeated optional ones count as often as they stand."""
+    """(qid, occur: must, not or should, field nullable, term, qtf) of the valid queries. A word of several
+    tokens gives a clause each; qtf adds up a clause's boosts, one for each time that it stands."""
     valid = queries.filter(query_error(text, fields).isNull())
     words = valid.select(F.col(qid).alias("qid"), F.explode(_words(text)).alias("word"))
-    sign, field = F.regexp_extract("word", _WORD, 1), _field(F.col("word"), fields)
-    body = F.when(field.isNotNull(), F.regexp_extract("word", _WORD, 3)).otherwise(F.regexp_replace("word", r"^[+-]", ""))
-    occur = F.when(sign == "+", "must").when(sign == "-", "not").otherwise("should")
-    each = words.select("qid", occur.alias("occur"), field.alias("field"), F.explode(tokens(body)).alias("term"))
-    return each.groupBy("qid", "occur", "field", "term").agg(F.count("*").alias("qtf"))
-
-
-def scores(index: Index, parsed: DataFrame, profile: str = "production_v1") -> DataFrame:
-    """(qid, source_id, score) of sources that have every required term and no forbidden one."""
-    boost = F.lit(1.0)
-    for name, value in PROFILES[profile].items():
-        boost = F.when(F.col("field") == name, value).otherwise(boost)
-    own = index.postings.join(parsed.select("term").distinct(), "term", "left_semi")
-    df = own.groupBy("field", "term").agg(F.count("*").alias("df"))
-    weighed = own.join(df, ["field", "term"]).join(F.broadcast(index.stats), "field")  # a row per field
-    weight = weighed.select("term", "field", "source_id", (boost * idf(F.col("sources"), F.col("df")) * term_score(F.col("tf"), F.col("length"), F.col("average"))).alias("w")).repartition("source_id")
+    part = lambda k: F.regexp_extract("word", _WORD, k)
+    field, boost = _field(F.col("word"), fields), F.coalesce(part(4).try_cast("double"), F.lit(1.0))
+    named = F.when(part(2) != "", F.concat(part(2), F.lit(" "), part(3))).otherwise(part(3))  # a name that is no field is text
+    body = F.when(field.isNotNull(), part(3)).otherwise(named)
+    occur = F.when(part(1) == "+", "must").when(part(1) == "-", "not").otherwise("should")
+    each = words.select("qid", occur.alias("occur"), field.alias("field"), boost.alias("boost"), F.explode(tokens(body)).alias("term"))
+    return each.groupBy("qid", "occur", "field", "term").agg(F.sum("boost").alias("qtf"))
+
+
+def scores(index: Index, parsed: DataFrame, profile: str = "production_v1", allowed: DataFrame | None = None, fields: list[str] | None = None) -> DataFrame:
+    """(qid, source_id, score) of sources that have every required term and no forbidden one. ``allowed``
+    (source_id) restricts what is scored; ``fields`` are those that a term without one is looked for in."""
+    weight = weighed(index, parsed, profile, fields)
+    if allowed is not None:
+        weight = weight.join(allowed.select("source_id").distinct(), "source_id", "left_semi")
+    weight = weight.repartition("source_id")
     asked = parsed.withColumnRenamed("field", "asked")
-    hit = weight.join(asked, "term").filter(F.col("asked").isNull() | (F.col("asked") == F.col("field")))
+    hit = weight.join(few(asked), "term").filter(F.col("asked").isNull() | (F.col("asked") == F.col("field")))
     clause = hit.groupBy("source_id", "qid", "occur", "asked", "term").agg(F.sum(F.when(F.col("occur") != "not", F.col("w") * F.col("qtf"))).alias("w"))
     found = clause.groupBy("source_id", "qid").agg(F.sum("w").alias("score"), F.count_if(F.col("occur") == "must").alias("met"), F.count_if(F.col("occur") == "not").alias("broken"))
     required = parsed.groupBy("qid").agg(F.count_if(F.col("occur") == "must").alias("required"))

@@ -11,6 +11,8 @@ from skein.functions.text import tokens
 
 #: Fixed values of the score; boosts by ranking profile.
 K1, B = 1.2, 0.75
+#: Rows of a table of terms that may be broadcast.
+MOST_BROADCAST = 200_000
 PROFILES = {"production_v1": {}, "metadata_boost_v1": {"title": 2.0, "parent_title": 2.0, "cjk_ngrams": 0.25}}
 
 
@@ -24,11 +26,13 @@ def postings(sources: DataFrame, fields: dict[str, Column], key: str = "source_i
 
 @dataclass
 class Index:
-    """A generation's lexical tables. ``stats`` has a row per field: sources, average length."""
+    """A generation's lexical tables. ``stats`` has a row per field: sources, average length; ``terms``
+    has the number of sources of each field's terms."""
 
     postings: DataFrame
     lengths: DataFrame
     stats: DataFrame
+    terms: DataFrame
 
     @staticmethod
     def build(sources: DataFrame, fields: dict[str, Column], path: str, key: str = "source_id") -> Index:
@@ -40,11 +44,13 @@ class Index:
         parts = F.array(*(F.struct(F.lit(n).alias("field"), F.size(tokens(c)).cast("long").alias("length")) for n, c in fields.items()))
         sources.select(F.col(key).alias("source_id"), F.explode(parts).alias("part")).select("part.field", "source_id", "part.length").write.parquet(f"{path}/lengths")
         spark.read.parquet(f"{path}/lengths").groupBy("field").agg(F.count("*").alias("sources"), F.avg("length").alias("average")).coalesce(1).write.parquet(f"{path}/stats")
+        counted = spark.read.parquet(f"{path}/postings").groupBy("field", "term").agg(F.count("*").alias("df"))
+        counted.repartitionByRange("term", "field").sortWithinPartitions("term", "field").write.parquet(f"{path}/terms")
         return Index.open(spark, path)
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "stats")))
+        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "stats", "terms")))
 
 
 def query_terms(queries: DataFrame, text: Column, qid: str = "qid") -> DataFrame:
@@ -53,7 +59,7 @@ def query_terms(queries: DataFrame, text: Column, qid: str = "qid") -> DataFrame
 
 
 def document_frequencies(index: Index) -> DataFrame:
-    return index.postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+    return index.terms.select("field", "term", "df")
 
 
 def idf(sources: Column, df: Column) -> Column:
@@ -64,23 +70,38 @@ def term_score(tf: Column, length: Column, average: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
 
+def few(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if a count says that it is small; else Spark decides."""
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+
+
+def weights(index: Index, terms: DataFrame, profile: str = "production_v1", fields: list[str] | None = None) -> DataFrame:
+    """(field, term, average, factor) of the asked ``terms`` (term): what a posting's score is made of.
+    The frequencies are the index's own; postings are not counted."""
+    boost = F.lit(1.0)
+    for field, value in PROFILES[profile].items():
+        boost = F.when(F.col("field") == field, value).otherwise(boost)
+    known = index.terms if fields is None else index.terms.filter(F.col("field").isin(fields))
+    asked = known.join(few(terms.select("term").distinct()), "term", "left_semi")
+    return asked.join(F.broadcast(index.stats), "field").select("field", "term", "average", (boost * idf(F.col("sources"), F.col("df"))).alias("factor"))  # stats: a row per field
+
+
+def weighed(index: Index, terms: DataFrame, profile: str = "production_v1", fields: list[str] | None = None) -> DataFrame:
+    """(term, field, source_id, w): the asked terms' postings with what each adds to a score; no shuffle
+    where the terms are few."""
+    own = index.postings.join(few(weights(index, terms, profile, fields)), ["field", "term"])
+    return own.select("term", "field", "source_id", (F.col("factor") * term_score(F.col("tf"), F.col("length"), F.col("average"))).alias("w"))
+
+
 def scores(index: Index, terms: DataFrame, profile: str = "production_v1", allowed: DataFrame | None = None, fields: list[str] | None = None) -> DataFrame:
     """(qid, source_id, score). Statistics are those of the whole index; ``allowed`` (qid, source_id or
     source_id alone) restricts what is scored. The query's terms meet the postings first, so only their
     postings are shuffled, once, by source: what a query collects from a source's postings is then summed
     where they are, and the many (query, source) hits do not move."""
-    posted = index.postings if fields is None else index.postings.filter(F.col("field").isin(fields))
-    wanted = terms.select("term").distinct()
-    own = posted.join(wanted, "term", "left_semi")
-    df = own.groupBy("field", "term").agg(F.count("*").alias("df"))
-    boost = F.lit(1.0)
-    for field, value in PROFILES[profile].items():
-        boost = F.when(F.col("field") == field, value).otherwise(boost)
-    weighed = own.join(df, ["field", "term"]).join(F.broadcast(index.stats), "field")  # a row per field
-    weight = weighed.select("term", "source_id", (boost * idf(F.col("sources"), F.col("df")) * term_score(F.col("tf"), F.col("length"), F.col("average"))).alias("w"))
+    weight = weighed(index, terms, profile, fields)
     if allowed is not None and "qid" not in allowed.columns:
         weight = weight.join(allowed.select("source_id").distinct(), "source_id", "left_semi")
-    hit = weight.repartition("source_id").join(terms, "term")
+    hit = weight.repartition("source_id").join(few(terms), "term")
     if allowed is not None and "qid" in allowed.columns:
         hit = hit.join(allowed, ["qid", "source_id"], "left_semi")
     return hit.groupBy("qid", "source_id").agg(F.sum(F.col("w") * F.col("qtf")).alias("score"))

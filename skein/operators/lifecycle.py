@@ -39,10 +39,25 @@ def combined_cursors(cursors: DataFrame) -> DataFrame:
 
 def held_watermark(rows: DataFrame, partition: str, ts: str, deferred: Column, tie: str) -> DataFrame:
     """The newest time before the first deferred row of each partition, in order of time; later rows are
-    stored all the same. Null if the first row is deferred."""
-    order = Window.partitionBy(partition).orderBy(ts, tie)
-    held = F.max(deferred.cast("int")).over(order)
-    return rows.withColumn("skein_held", held).groupBy(partition).agg(F.max(F.when(F.col("skein_held") == 0, F.col(ts))).alias("watermark"), F.count_if(F.col("skein_held") == 1).alias("behind"))
+    stored all the same. Null if the first row is deferred. Least and greatest values, no sort."""
+    place = F.struct(ts, tie)
+    marked = rows.withColumn("skein_place", place)
+    first = marked.groupBy(partition).agg(F.min(F.when(deferred, F.col("skein_place"))).alias("skein_first"))
+    held = F.coalesce(F.col("skein_place") >= F.col("skein_first"), F.lit(False))
+    both = marked.join(first, partition)
+    return both.groupBy(partition).agg(F.max(F.when(~held, F.col(ts))).alias("watermark"), F.count_if(held).alias("behind"))
+
+
+def replaced_chunks(chunks: DataFrame, made: DataFrame, versions: DataFrame) -> DataFrame:
+    """The chunk table after the versions (source_id, version) were cut anew into ``made``: all their old
+    chunks go, also where there are no new ones."""
+    return chunks.join(versions.select("source_id", "version"), ["source_id", "version"], "left_anti").unionByName(made)
+
+
+def stale_versions(chunks: DataFrame, versions: DataFrame, fingerprint: str) -> DataFrame:
+    """Versions (source_id, version) that have no chunks, or any that another chunker made."""
+    whole = chunks.groupBy("source_id", "version").agg(F.bool_and(F.col("fingerprint") == fingerprint).alias("ok")).filter("ok")
+    return versions.join(whole, ["source_id", "version"], "left_anti")
 
 
 def coalesced(tasks: DataFrame, key: str, order: list[str]) -> DataFrame:

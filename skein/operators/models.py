@@ -100,8 +100,22 @@ def _plugged(raw: bytes):
     return _loaded[key]
 
 
-def embedded(rows: DataFrame, encoder: Encoder, text: str, keep: list[str], prefix: str = "") -> DataFrame:
-    """``keep`` columns and ``vector``: array<double> of length one."""
+def _encoded(model: Encoder, texts: list[str], strict: bool) -> list:
+    """The texts' vectors; if not strict, None for each that fails."""
+    try:
+        out = np.asarray(model.encode(texts), float)
+        if not np.isfinite(out).all():
+            raise ValueError("encoder gave a vector that is not finite")
+        return list(out)
+    except Exception:
+        if strict:
+            raise
+        return [None] if len(texts) == 1 else [v for t in texts for v in _encoded(model, [t], strict)]
+
+
+def embedded(rows: DataFrame, encoder: Encoder, text: str, keep: list[str], prefix: str = "", strict: bool = True) -> DataFrame:
+    """``keep`` columns and ``vector``: array<double> of length one. Not ``strict``: a text that the encoder
+    fails on has a null vector, for queries that can do without."""
     sent = rows.sparkSession.sparkContext.broadcast(cloudpickle.dumps(encoder))
     source = rows.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("skein_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", vector array<double>"
@@ -110,12 +124,11 @@ def embedded(rows: DataFrame, encoder: Encoder, text: str, keep: list[str], pref
         model = _plugged(sent.value)
         for b in batches:
             texts = [prefix + t for t in b.column("skein_text").to_pylist()]
-            out = np.zeros((len(texts), model.dimension))
+            out: list = [None] * len(texts)
             for part in batches_by_length(texts):
-                out[part] = model.encode([texts[i] for i in part])
-            if not np.isfinite(out).all():
-                raise ValueError("encoder gave a vector that is not finite")
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(list(out), pa.list_(pa.float64()))], names=[*keep, "vector"])
+                for i, v in zip(part, _encoded(model, [texts[i] for i in part], strict), strict=True):
+                    out[i] = v
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(out, pa.list_(pa.float64()))], names=[*keep, "vector"])
 
     return source.mapInArrow(run, schema)
 
@@ -148,3 +161,13 @@ def complete(chunks: DataFrame, done: DataFrame) -> DataFrame:
     lacking = chunks.join(done.select(*keys), keys, "left_anti").agg(F.count("*").alias("lacking"))
     extra = done.join(chunks.select(*keys), keys, "left_anti").agg(F.count("*").alias("extra"))
     return chunks.agg(F.count("*").alias("total")).crossJoin(lacking).crossJoin(extra).select("total", (F.col("total") - F.col("lacking")).alias("completed"), "extra")
+
+
+def activated(chunks: DataFrame, done: DataFrame) -> DataFrame:
+    """``done``, to be published: an error unless it holds each chunk once, no other, and all vectors have
+    one dimension."""
+    state = complete(chunks, done).first()
+    shape = done.agg(F.count_distinct("chunk_id").alias("ids"), F.count("*").alias("n"), F.min(F.size("vector")).alias("low"), F.max(F.size("vector")).alias("high")).first()
+    if state["completed"] != state["total"] or state["extra"] or shape["ids"] != shape["n"] or shape["low"] != shape["high"]:
+        raise RuntimeError(f"embedding.generation_incomplete: {state['completed']} of {state['total']} chunks, {state['extra']} others, {shape['n'] - shape['ids']} repeated, dimensions {shape['low']} to {shape['high']}")
+    return done

@@ -9,9 +9,10 @@ from skein.functions.text import issue_number, locator, matched_terms, snippet
 
 
 def latest(versions: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The last version of each key."""
-    w = Window.partitionBy(*keys).orderBy(*(c.desc() for c in order))
-    return versions.withColumn("skein_n", F.row_number().over(w)).filter("skein_n = 1").drop("skein_n")
+    """The last version of each key: a maximum with partial sums, no sort of a key's versions."""
+    rest = [c for c in versions.columns if c not in keys]
+    last = F.max_by(F.struct(*rest), F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)))).alias("skein_last")
+    return versions.groupBy(*keys).agg(last).select(*(c if c in keys else F.col(f"skein_last.`{c}`").alias(c) for c in versions.columns))
 
 
 def active(sources: DataFrame, tombstones: DataFrame, key: str = "source_id") -> DataFrame:
@@ -33,11 +34,16 @@ def with_parent(comments: DataFrame, issues: DataFrame, on: str) -> DataFrame:
 
 
 def evidence(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Each hit's chunk with the most matched query terms, the first such; hits (qid, query, source_id),
-    chunks (source_id, chunk_index, body)."""
-    scored = hits.join(chunks, "source_id").withColumn("matched", matched_terms(F.col("query"), F.col("body")))
-    w = Window.partitionBy("qid", "source_id").orderBy(F.col("matched").desc(), F.col("chunk_index").asc())
-    return scored.withColumn("skein_n", F.row_number().over(w)).filter("skein_n = 1").drop("skein_n").withColumn("snippet", snippet(F.col("body")))
+    """hits (qid, query, source_id, body, version) with the chunk (source_id, version, chunk_index, body) of
+    their very version that has the most matched query terms, the first such: chunk_index, matched, and
+    the snippet of its text. Where no chunk of that version has a term both are null and the snippet is
+    the body's."""
+    parts = chunks.select("source_id", "version", "chunk_index", F.col("body").alias("skein_part"))
+    scored = hits.select("qid", "query", "source_id", "version").join(parts, ["source_id", "version"]).withColumn("matched", matched_terms(F.col("query"), F.col("skein_part"))).filter("matched > 0")
+    best = F.max(F.struct("matched", (-F.col("chunk_index")).alias("o"), "chunk_index", "skein_part")).alias("b")
+    found = scored.groupBy("qid", "source_id").agg(best).select("qid", "source_id", "b.chunk_index", "b.matched", "b.skein_part")
+    text = F.when(F.col("skein_part") != "", F.col("skein_part")).otherwise(F.col("body"))
+    return hits.join(found, ["qid", "source_id"], "left").withColumn("snippet", snippet(text)).drop("skein_part")
 
 
 def routed(queries: DataFrame, origin: str, text: str = "query") -> DataFrame:
@@ -68,6 +74,12 @@ def get_batch(requests: DataFrame, sources: DataFrame, tombstones: DataFrame, mo
     return known.withColumn("status", status)
 
 
+def of_generation(members: DataFrame, generations: DataFrame) -> DataFrame:
+    """Chunks of embedding generations (generation_id, chunk_id, ...) with their generation's columns; rows
+    of an unknown generation go."""
+    return members.join(generations, "generation_id")
+
+
 def aliases(transfers: DataFrame, hops: int = 8) -> DataFrame:
     """(source, target) moves followed to their end, ``hops`` at most: source, final, hops, looped."""
     at = transfers.select("source", F.col("target").alias("final"), F.lit(1).alias("hops"), F.array("source", "target").alias("path"), F.lit(False).alias("looped"))

@@ -26,23 +26,6 @@ def query(sql: str | None = None):
     return add
 
 
-def whole(f: Callable[..., DataFrame], sql: str | None = None) -> None:
-    """Register ``f`` over all rows as ``<name>_whole``, where the SQL of ``f`` states a subset."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return f(spark, sf_dir, whole=True)
-
-    run.__name__ = f"{f.__name__}_whole"
-    query(sql)(run)
-
-
-def without(name: str, part: str) -> str:
-    """The SQL of a query without the condition that makes it a subset."""
-    if part not in ORACLE_SQL[name]:
-        raise ValueError(f"{name} has no {part}")
-    return ORACLE_SQL[name].replace(part, "")
-
-
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

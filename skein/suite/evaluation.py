@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.operators import decisions, evaluate, fusion
-from skein.suite.base import query, t, without
-from skein.suite.base import whole as whole_form
+from skein.suite.base import query, t
 from skein.suite.retrieval import _BRANCHES, EVERY, _branches
 
-_GOLD = f"""gold as (select q.vec_id as qid, c.vec_id as source_id, 1 + c.vec_id % 3 as grade from embeddings q join embeddings c on q.label = c.label and q.vec_id <> c.vec_id where q.vec_id % {EVERY} = 0 and c.vec_id % 5 = 0)"""
+_GOLD = f"""gold as (select q.vec_id as qid, c.vec_id as source_id, 1 + c.vec_id % 3 as grade from embeddings q join embeddings c on q.label = c.label and q.vec_id <> c.vec_id where q.vec_id % {EVERY} = 0)"""
 _METRICS = f"""{_BRANCHES}, {_GOLD},
     h as (select g.*, lr as rank, row_number() over (partition by g.qid order by grade desc, g.source_id) as ideal_rank from gold g left join lex using (qid, source_id)),
     metrics as (select qid, case when sum(case when ideal_rank <= 10 then (2 ** grade - 1) / log2(ideal_rank + 1) else 0 end) > 0 then sum(case when rank <= 10 then (2 ** grade - 1) / log2(rank + 1) else 0 end) / sum(case when ideal_rank <= 10 then (2 ** grade - 1) / log2(ideal_rank + 1) else 0 end) else 0 end as ndcg,
@@ -21,14 +20,7 @@ _METRICS = f"""{_BRANCHES}, {_GOLD},
     classes as (select vec_id as qid, 'class' || (label % 4) as class from embeddings where vec_id % {EVERY} = 0)"""
 
 
-def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = t(spark, sf_dir, "embeddings")
-    q = e.filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("qid"), "label")
-    c = e.filter(F.col("vec_id") % 5 == 0).select(F.col("vec_id").alias("source_id"), "label")
-    return q.join(c, "label").filter("qid != source_id").select("qid", "source_id", (1 + F.col("source_id") % 3).alias("grade"))
-
-
-def _whole_gold(spark: SparkSession, sf_dir: str, *rankings: DataFrame, depth: int = 10) -> tuple[DataFrame, DataFrame]:
+def _gold(spark: SparkSession, sf_dir: str, *rankings: DataFrame, depth: int = 10) -> tuple[DataFrame, DataFrame]:
     """All vectors of a query's label are gold, but their pairs are not made: the gold that is ranked or
     among the first ``depth`` by grade, and (qid, n), how much there is in all."""
     e = t(spark, sf_dir, "embeddings")
@@ -42,12 +34,10 @@ def _whole_gold(spark: SparkSession, sf_dir: str, *rankings: DataFrame, depth: i
     return gold, q.join(c.groupBy("label").agg((F.count("*") - 1).alias("n")), "label").select("qid", "n")
 
 
-def _metrics(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranking = _branches(spark, sf_dir)[0]
-    if whole:
-        gold, relevant = _whole_gold(spark, sf_dir, ranking)
-        return evaluate.query_metrics(ranking, gold, relevant=relevant)
-    return evaluate.query_metrics(ranking, _gold(spark, sf_dir))
+    gold, relevant = _gold(spark, sf_dir, ranking)
+    return evaluate.query_metrics(ranking, gold, relevant=relevant)
 
 
 def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,43 +49,46 @@ _ROUND = ", ".join(f"round({n}, 6) as {n}" for n in _NAMES)
 
 
 @query(f"{_METRICS} select qid, {_ROUND} from metrics")
-def ndcg_mrr_recall(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return _metrics(spark, sf_dir, whole).select("qid", *(F.round(n, 6).alias(n) for n in _NAMES))
+def ndcg_mrr_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _metrics(spark, sf_dir).select("qid", *(F.round(n, 6).alias(n) for n in _NAMES))
 
 
 @query(f"{_METRICS} select class, {', '.join(f'round(avg({n}), 6) as {n}' for n in _NAMES)} from metrics join classes using (qid) group by class")
-def class_means(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    means = evaluate.by_class(_metrics(spark, sf_dir, whole), _classes(spark, sf_dir), _NAMES)
+def class_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = evaluate.by_class(_metrics(spark, sf_dir), _classes(spark, sf_dir), _NAMES)
     return means.select("class", *(F.round(n, 6).alias(n) for n in _NAMES))
 
 
 @query(f"{_METRICS}, m as (select class, avg(ndcg) as ndcg from metrics join classes using (qid) group by class) select round(sum(ndcg * (case class when 'class0' then 0.5::double when 'class1' then 0.2::double when 'class2' then 0.15::double else 0.15::double end)), 6) as ndcg from m")
-def class_weighted(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    means = evaluate.by_class(_metrics(spark, sf_dir, whole), _classes(spark, sf_dir), ("ndcg",))
+def class_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = evaluate.by_class(_metrics(spark, sf_dir), _classes(spark, sf_dir), ("ndcg",))
     weights = spark.createDataFrame([("class0", 0.5), ("class1", 0.2), ("class2", 0.15), ("class3", 0.15)], "class string, weight double")
     return evaluate.class_weighted(means, weights, "ndcg").select(F.round("ndcg", 6).alias("ndcg"))
 
 
 @query(f"{_METRICS} select round(avg(recall_10), 6) as macro_recall, count(*) as queries from metrics")
-def macro_mean(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return _metrics(spark, sf_dir, whole).agg(F.round(F.avg("recall_10"), 6).alias("macro_recall"), F.count("*").alias("queries"))
+def macro_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _metrics(spark, sf_dir).agg(F.round(F.avg("recall_10"), 6).alias("macro_recall"), F.count("*").alias("queries"))
 
 
 @query(f"""{_BRANCHES}, {_GOLD}, b as (select g.qid, bool_or(lr <= 5 and lr is not null) as before_ from gold g left join lex using (qid, source_id) group by g.qid), a as (select g.qid, bool_or(dr <= 5 and dr is not null) as after_ from gold g left join den using (qid, source_id) group by g.qid)
     select count(*) filter (not coalesce(before_, false) and coalesce(after_, false)) as rescued, count(*) filter (coalesce(before_, false) and not coalesce(after_, false)) as harmed from a join b using (qid)""")
-def rescue_harm(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def rescue_harm(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, other = _branches(spark, sf_dir)
-    return evaluate.rescue_harm(base, other, _whole_gold(spark, sf_dir, base, other)[0] if whole else _gold(spark, sf_dir), 5)
+    return evaluate.rescue_harm(base, other, _gold(spark, sf_dir, base, other)[0], 5)
 
 
 @query(f"{_BRANCHES}, {_GOLD} select round(avg(case when h.qid is not null then 1::double else 0::double end), 6) as exact_top1 from (select distinct qid from gold) q left join (select distinct l.qid from lex l join gold g using (qid, source_id) where lr = 1) h on h.qid = q.qid")
-def exact_top1(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def exact_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranking = _branches(spark, sf_dir)[0]
-    return evaluate.exact_top1(ranking, _whole_gold(spark, sf_dir, ranking)[0] if whole else _gold(spark, sf_dir)).select(F.round("exact_top1", 6).alias("exact_top1"))
+    return evaluate.exact_top1(ranking, _gold(spark, sf_dir, ranking)[0]).select(F.round("exact_top1", 6).alias("exact_top1"))
 
 
-for _f in (ndcg_mrr_recall, class_means, class_weighted, macro_mean, rescue_harm, exact_top1):
-    whole_form(_f, without(_f.__name__, " and c.vec_id % 5 = 0"))
+@query(f"{_BRANCHES}, {_GOLD} select round(avg(hit), 6) as hit_5 from (select g.qid, max(case when lr <= 5 then 1::double else 0::double end) as hit from gold g left join lex using (qid, source_id) where grade > 1 group by g.qid)")
+def gold_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries that have some of their better gold among the first five."""
+    ranking = _branches(spark, sf_dir)[0]
+    return evaluate.gold_hit(ranking, _gold(spark, sf_dir, ranking)[0].withColumn("grade", F.col("grade") - 1)).select(F.round("hit_5", 6).alias("hit_5"))
 
 
 @query(f"{_BRANCHES} select q.vec_id as qid, count(l.source_id) as results, count(l.source_id) = 0 as empty from (select vec_id from embeddings where vec_id % {EVERY} = 0 and label % 4 = 3) q left join lex l on l.qid = q.vec_id and l.lr <= 10 group by q.vec_id")
@@ -130,35 +123,67 @@ def branch_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.agg(F.min("n").alias("least"), F.count_if(F.col("n") < fusion.WINDOW).alias("short"))
 
 
-_CELLS = """cells as (select vec_id as cell, (vec_id * 7 % 11)::bigint as rescued, (vec_id * 5 % 7)::bigint as harmed, (vec_id % 13) / 13.0::double as cross_recall, (vec_id % 17) / 17.0::double as ndcg, (vec_id % 4 + 1) / 4.0::double as dense_weight, (vec_id % 19)::bigint as snapshot_bytes, 'm' || vec_id as name, (vec_id % 23) / 23.0::double as mrr from embeddings where vec_id < 200)"""
+_CELLS = """cells as (select vec_id as cell, (vec_id * 7 % 11)::bigint as rescued, (vec_id * 5 % 7)::bigint as harmed, (vec_id % 13) / 13.0::double as cross_recall, (vec_id % 17) / 17.0::double as ndcg, (vec_id % 4 + 1) / 4.0::double as dense_weight, (vec_id % 19)::bigint as snapshot_bytes, 'm' || vec_id as name, (vec_id % 23) / 23.0::double as mrr, (64 * (1 + vec_id % 3))::bigint as dimension from embeddings)"""
 
 
-def _cells(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("vec_id")
-    return t(spark, sf_dir, "embeddings").filter(F.lit(True) if whole else v < 200).select(
+    return t(spark, sf_dir, "embeddings").select(
         v.alias("cell"), (v * 7 % 11).alias("rescued"), (v * 5 % 7).alias("harmed"), (v % 13 / 13.0).alias("cross_recall"), (v % 17 / 17.0).alias("ndcg"), ((v % 4 + 1) / 4.0).alias("dense_weight"),
-        (v % 19).alias("snapshot_bytes"), F.concat(F.lit("m"), v.cast("string")).alias("name"), (v % 23 / 23.0).alias("mrr"),
+        (v % 19).alias("snapshot_bytes"), F.concat(F.lit("m"), v.cast("string")).alias("name"), (v % 23 / 23.0).alias("mrr"), (64 * (1 + v % 3)).alias("dimension"),
     )
 
 
 @query(f"with {_CELLS} select rescued - harmed as net, harmed, round(cross_recall, 6) as cross_recall, round(ndcg, 6) as ndcg, dense_weight from cells order by net desc, harmed, cross_recall desc, ndcg desc, dense_weight limit 1")
-def select_weight(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return evaluate.select_weight(_cells(spark, sf_dir, whole)).select("net", "harmed", F.round("cross_recall", 6).alias("cross_recall"), F.round("ndcg", 6).alias("ndcg"), "dense_weight")
+def select_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.select_weight(_cells(spark, sf_dir)).select("net", "harmed", F.round("cross_recall", 6).alias("cross_recall"), F.round("ndcg", 6).alias("ndcg"), "dense_weight")
 
 
 @query(f"with {_CELLS} select name, rescued - harmed as net from cells where rescued > harmed order by net desc, rescued desc, harmed, snapshot_bytes, name limit 1")
-def select_model(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return evaluate.select_model(_cells(spark, sf_dir, whole)).select("name", "net")
+def select_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.select_model(_cells(spark, sf_dir)).select("name", "net")
 
 
 @query(f"with {_CELLS} select name, snapshot_bytes from cells where harmed <= 3 and ndcg >= (select max(ndcg) from cells where harmed <= 3) - 0.02::double order by snapshot_bytes, name limit 1")
-def select_light_tier(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    cells = evaluate.failed_gates(_cells(spark, sf_dir, whole), {"harm": F.col("harmed") <= 3})
+def select_light_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = evaluate.failed_gates(_cells(spark, sf_dir), {"harm": F.col("harmed") <= 3})
     return evaluate.select_tier(cells, 0.02, True).select("name", "snapshot_bytes")
 
 
-for _f in (select_weight, select_model, select_light_tier):
-    whole_form(_f, without(_f.__name__, " where vec_id < 200"))
+@query(f"with {_CELLS} select name, snapshot_bytes from cells where harmed <= 3 and ndcg >= (select max(ndcg) from cells where harmed <= 3) - 0.005::double order by mrr desc, snapshot_bytes, name limit 1")
+def select_quality_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = evaluate.failed_gates(_cells(spark, sf_dir), {"harm": F.col("harmed") <= 3})
+    return evaluate.select_tier(cells, 0.005, False).select("name", "snapshot_bytes")
+
+
+@query(f"with {_CELLS} select dimension, dense_weight, rescued - harmed as net from cells order by net desc, harmed, cross_recall desc, ndcg desc, dimension, dense_weight limit 1")
+def select_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.select_cell(_cells(spark, sf_dir)).select("dimension", "dense_weight", "net")
+
+
+@query("""with r as (select page_id, page_id % 10 / 10.0::double as bn, page_id % 7 / 10.0::double as n, 0.9::double + page_id % 9 / 100.0::double as bt, 0.9::double + page_id % 8 / 100.0::double as t, page_id % 2 as v, case when page_id % 11 = 0 then 0.9::double else 1::double end as g, page_id % 3 % 2 as st, page_id % 5 / 5.0::double as bc, page_id % 4 / 5.0::double as c from pages)
+    select page_id, concat_ws(',', case when n <= bn then 'ndcg_not_better' end, case when t < bt or t < 0.95::double then 'exact_worse' end, case when v <> 0 then 'filter_violations' end, case when g < 1 then 'round_trip_worse' end, case when st <> 0 then 'stale_results' end, case when c < bc then 'comments_worse' end, case when page_id % 13 = 0 then 'gate:x' end) as reasons from r""")
+def profile_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, none = F.col("page_id"), F.array().cast("array<string>")
+    side = lambda n, top, v, g, st, c, f: F.struct(n.alias("ndcg"), top.alias("exact_top1"), v.alias("violations"), g.alias("round_trip"), st.alias("stale"), F.array(F.lit(0.5), c).alias("comment"), f.alias("failures"))
+    base = side(p % 10 / 10.0, 0.9 + p % 9 / 100.0, F.lit(0), F.lit(1.0), F.lit(0), p % 5 / 5.0, none)
+    other = side(p % 7 / 10.0, 0.9 + p % 8 / 100.0, p % 2, F.when(p % 11 == 0, 0.9).otherwise(1.0), p % 3 % 2, p % 4 / 5.0, F.when(p % 13 == 0, F.array(F.lit("x"))).otherwise(none))
+    made = t(spark, sf_dir, "pages").select("page_id", base.alias("base"), other.alias("other"))
+    return made.select("page_id", F.array_join(evaluate.profile_blockers(F.col("base"), F.col("other")), ",").alias("reasons"))
+
+
+@query("""select page_id, concat_ws(',', case when page_id % 20 < 3 then 'exact_top1' end, case when page_id % 5 = 0 then 'recall_english_semantic' end, case when page_id % 4 / 4.0 < 0.65 then 'recall_korean_semantic' end, 'recall_ko_query_en_source', case when page_id % 3 <> 2 then 'recall_en_query_ko_source' end, case when page_id % 2 = 1 then 'violations' end, case when page_id % 9 = 0 then 'round_trip' end) as failed from pages""")
+def quality_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("page_id")
+    recall = F.create_map(F.lit("english_semantic"), F.when(p % 5 == 0, 0.7).otherwise(0.75), F.lit("korean_semantic"), p % 4 / 4.0, F.lit("en_query_ko_source"), p % 3 / 3.0)
+    rows = t(spark, sf_dir, "pages").select("page_id", F.when(p % 20 < 3, 0.94).otherwise(0.95).alias("exact_top1"), recall.alias("recall_5"), (p % 2).alias("violations"), F.when(p % 9 == 0, 0.99).otherwise(1.0).alias("round_trip"))
+    return evaluate.failed_gates(rows, evaluate.quality_gates()).select("page_id", F.array_join("failed", ",").alias("failed"))
+
+
+@query("select distinct conv_id as thread_id from conversations a where conv_id % 5 < 3 and turn % 2 = 0 and exists (select 1 from conversations b where b.conv_id = a.conv_id and b.conv_id % 5 >= 2 and turn % 3 = 1)")
+def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = t(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "thread_id")
+    return evaluate.leaked_threads(c.filter("thread_id % 5 < 3 and turn % 2 = 0"), c.filter("thread_id % 5 >= 2 and turn % 3 = 1"))
 
 
 @query("""with r as (select page_id, page_id % 40 / 20.0::double as warm_p95, page_id % 90 / 15.0::double as cold_p95, (page_id * 13 % 1500)::double as rss, (page_id * 7 % 700)::double as snapshot, (page_id % 25)::double as chunks_per_s, page_id % 5::double as growth, page_id % 3 as fingerprints from pages)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.functions import text as X
 from skein.functions.times import overlap_since as overlap
 from skein.operators import lifecycle, resolve
 from skein.plans.storage import new_folder
+from skein.sources import records
 from skein.streaming import ingest
-from skein.suite.base import query, t, without
-from skein.suite.base import whole as whole_form
+from skein.suite.base import query, t
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,16 +111,13 @@ def removed_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.removed_repos(t(spark, sf_dir, "documents").select(F.col("source").alias("repo")).distinct(), allow)
 
 
-@query("""with g as (select case doc_id % 3 when 0 then 'thread' when 1 then 'source' else 'repo' end as kind, case when doc_id % 3 = 2 then upper(source) else source end as repo, doc_id as source_id from documents where doc_id % 40 < 3) select kind, repo, source_id from g where kind <> 'thread' or lower(repo) not in (select lower(repo) from g where kind = 'repo')""")
-def purge_subsume(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    d, i = t(spark, sf_dir, "documents").filter("true" if whole else "doc_id % 40 < 3"), F.col("doc_id") % 3
+@query("""with g as (select case doc_id % 3 when 0 then 'thread' when 1 then 'source' else 'repo' end as kind, case when doc_id % 3 = 2 then upper(source) else source end as repo, doc_id as source_id from documents) select kind, repo, source_id from g where kind <> 'thread' or lower(repo) not in (select lower(repo) from g where kind = 'repo')""")
+def purge_subsume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, i = t(spark, sf_dir, "documents"), F.col("doc_id") % 3
     targets = d.select(F.when(i == 0, "thread").when(i == 1, "source").otherwise("repo").alias("kind"), F.when(i == 2, F.upper("source")).otherwise(F.col("source")).alias("repo"), F.col("doc_id").alias("source_id"))
     return lifecycle.subsumed_purges(targets)
 
 
-whole_form(purge_subsume, without("purge_subsume", " where doc_id % 40 < 3"))
-
-
 @query("""select conv_id, turn from conversations where not (role = 'user' and conv_id % 10 = 0) and conv_id % 7 <> 0 and conv_id * 100 + turn not in (select conv_id * 100 + turn from conversations where turn = 3 and conv_id % 2 = 0)""")
 def purge_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table rewritten without purged repositories, threads and single sources."""
@@ -151,6 +149,97 @@ def recent_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.reconciliation_candidates(e.crossJoin(F.broadcast(now)), F.col("now")).groupBy("user_id").agg(F.count("*").alias("changed"))
 
 
+@query("""with old as (select conv_id as source_id, turn as chunk_index, 1 + conv_id % 2 as version, case when conv_id % 5 = 0 then 'old' else 'now' end as fingerprint, text as body from conversations where turn < 4),
+    again as (select distinct conv_id as source_id, 1 + conv_id % 2 as version from conversations where conv_id % 3 = 0), made as (select conv_id, turn, 1 + conv_id % 2, 'new', text || '!' from conversations where conv_id % 6 = 0 and turn = 0)
+    select source_id, chunk_index, version, fingerprint, sha256(body) as h from (select * from old anti join again using (source_id, version) union all select * from made)""")
+def chunk_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions that are cut anew lose all old chunks, also where no new ones come."""
+    c = t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("source_id"), F.col("turn").alias("chunk_index"), (1 + F.col("conv_id") % 2).alias("version"), F.when(F.col("conv_id") % 5 == 0, "old").otherwise("now").alias("fingerprint"), F.col("text").alias("body"))
+    made = c.filter("source_id % 6 = 0 and chunk_index = 0").withColumns({"fingerprint": F.lit("new"), "body": F.concat("body", F.lit("!"))})
+    out = lifecycle.replaced_chunks(c.filter("chunk_index < 4"), made, c.filter("source_id % 3 = 0").select("source_id", "version").distinct())
+    return out.select("source_id", "chunk_index", "version", "fingerprint", F.sha2("body", 256).alias("h"))
+
+
+@query("select distinct conv_id as source_id, 1 as version from conversations a where exists (select 1 from conversations b where b.conv_id = a.conv_id and turn > 0 and (conv_id + turn) % 4 = 0) or not exists (select 1 from conversations b where b.conv_id = a.conv_id and turn > 0)")
+def stale_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions without chunks, or with some of another chunker."""
+    c = t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("source_id"), F.lit(1).alias("version"), "turn")
+    chunks = c.filter("turn > 0").withColumn("fingerprint", F.when((F.col("source_id") + F.col("turn")) % 4 == 0, "old").otherwise("now"))
+    return lifecycle.stale_versions(chunks, c.select("source_id", "version").distinct(), "now")
+
+
+@query("select conv_id * 100 + turn as chunk_id, turn as generation_id, case when turn = 2 then 'active' else 'ready' end as state from conversations where turn < 3")
+def generation_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of known generations with their state."""
+    members = t(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("chunk_id"), F.col("turn").alias("generation_id"))
+    generations = spark.createDataFrame([(0, "ready"), (1, "ready"), (2, "active")], "generation_id long, state string")
+    return resolve.of_generation(members, generations).select("chunk_id", "generation_id", "state")
+
+
+@query("select event_id from (select event_id, ['building', 'ready', 'active_'][event_id % 3 + 1] as state, event_id % 5 = 0 as active, 1800000000 - event_id * 3601 as changed from events) where not active and ((state = 'building' and 1800000000 - changed > 86400) or (state = 'ready' and 1800000000 - changed > 604800))")
+def retained_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Builds older than a day and ready generations older than a week go, but for active ones."""
+    i = F.col("event_id")
+    g = t(spark, sf_dir, "events").select("event_id", F.element_at(F.array(F.lit("building"), F.lit("ready"), F.lit("active_")), (i % 3 + 1).cast("int")).alias("state"), (i % 5 == 0).alias("active"), F.timestamp_seconds(1800000000 - i * 3601).alias("changed_at"))
+    return lifecycle.retained(g, F.timestamp_seconds(F.lit(1800000000))).select("event_id")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> str:
+    """Landed pages of two repositories' issues and comments, a page for each conversation (its first turn
+    as an issue, or a pull request) and for its later turns; some not modified, some of a known tag."""
+    c, i = t(spark, sf_dir, "conversations"), F.col("conv_id")
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    url = text("https://h.org/o/r", i % 2, "/issues/", i)
+    user = F.struct(F.col("role").alias("login"))
+    pull = F.when(i % 11 == 0, F.struct(F.lit("x").alias("url")))
+    issue = F.struct(text("I", i).alias("node_id"), i.alias("id"), i.alias("number"), text("t", i).alias("title"), F.col("text").alias("body"), F.lit("open").alias("state"), F.array(F.struct(F.col("role").alias("name"))).alias("labels"), user.alias("user"), F.lit("2024-01-01T00:00:00Z").alias("updated_at"), url.alias("html_url"), pull.alias("pull_request"))
+    comment = F.struct(text("C", i, "-", F.col("turn")).alias("node_id"), (i * 100 + F.col("turn")).alias("id"), F.col("text").alias("body"), user.alias("user"), text("https://h.org/repos/o/r", i % 2, "/issues/", i).alias("issue_url"), F.lit("2024-01-02T00:00:00Z").alias("updated_at"))
+    item, first = F.when(F.col("turn") == 0, F.to_json(issue)).otherwise(F.to_json(comment)), F.col("turn") == 0
+    endpoint = F.concat(F.when(first, "issues:").otherwise("repo-comments:"), text("o/r", i % 2))
+    pages = c.groupBy(endpoint.alias("endpoint"), i, text("o/r", i % 2).alias("repo")).agg(F.array_sort(F.collect_list(item)).alias("items"))  # a conversation's turns
+    rows = pages.select("endpoint", "repo", F.lit("h.org").alias("host"), (i + 1).alias("page"), F.when(i % 7 == 3, 304).otherwise(200).alias("status"), text("e", i).alias("etag"), F.lit(None).cast("string").alias("link"), F.lit(10).alias("remaining"), "items", F.lit("2024-02-01T00:00:00Z").alias("fetched_at"))
+    path = new_folder(spark, "pages")
+    rows.write.json(path, ignoreNullFields=False)
+    return path
+
+
+@query("""with kept as (select * from conversations where conv_id % 7 <> 3 and conv_id <> 5), i as (select * from kept where turn = 0 and conv_id % 11 <> 0)
+    select 'skein://h.org/issue/I' || conv_id as source_id, 'issue' as entity_type, 'o/r' || conv_id % 2 as repo, 't' || conv_id as title, role as author, sha256(text) as body_hash, null as parent from i
+    union all select 'skein://h.org/issue-comment/C' || k.conv_id || '-' || k.turn, 'issue_comment', 'o/r' || k.conv_id % 2, null, k.role, sha256(k.text), 'skein://h.org/issue/I' || k.conv_id from kept k join i on i.conv_id = k.conv_id where k.turn > 0""")
+def landed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed pages to sources: unchanged and not modified pages and pull requests are left out; comments
+    whose issue is not known are deferred."""
+    known = spark.createDataFrame([("issues:o/r1", "e5"), ("repo-comments:o/r1", "e5")], "endpoint string, etag string")
+    pages = records.changed(records.landed(spark, _pages(spark, sf_dir)), known)
+    of = lambda kind, schema: records.items(pages.filter(F.startswith("endpoint", F.lit(kind))), schema)
+    issues = records.issues(of("issues:", records.ISSUE))
+    good, _ = records.comments(of("repo-comments:", records.COMMENT), issues)
+    return records.all_sources(issues, good).select("source_id", "entity_type", "repo", "title", "author", "body_hash", F.col("parent_issue_source_id").alias("parent"))
+
+
+@query("""with i as (select conv_id, 'o/r' || conv_id % 2 as repo from conversations where turn = 0 and conv_id % 11 <> 0 and conv_id % 7 <> 3) select 'C' || k.conv_id || '-' || k.turn as node_id, k.conv_id as parent_issue_number from conversations k left join i using (conv_id) where k.turn > 0 and k.conv_id % 7 <> 3 and i.conv_id is null""")
+def deferred_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = records.changed(records.landed(spark, _pages(spark, sf_dir)), spark.createDataFrame([], "endpoint string, etag string"))
+    of = lambda kind, schema: records.items(pages.filter(F.startswith("endpoint", F.lit(kind))), schema)
+    return records.comments(of("repo-comments:", records.COMMENT), records.issues(of("issues:", records.ISSUE)))[1].select("node_id", "parent_issue_number")
+
+
+@query("""select page_id, 'skein://h/issue/' || page_id || '%2Fa%20%7E'::varchar as source_id, 'issue' as kind, case page_id % 4 when 0 then 'o/n' || page_id when 1 then 'o/n' || page_id when 2 then 'o/n.x' else null end as repo, page_id % 3 = 0 as trusted, case when page_id % 2 = 0 then 'https://x/' || page_id end as next, case when page_id % 5 <> 0 then 'name-' || page_id end as name from pages""".replace("%7E", "~"))
+def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source ids and their kind, repositories of git remotes, origins that may see a token, the page that
+    a header calls the next, names of resources."""
+    i = F.col("page_id")
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    source = X.source_id("skein", F.lit("h"), F.lit("issue"), text(i, "/a ~"))
+    remote = F.when(i % 4 == 0, text("git@h.org:o/n", i, ".git")).when(i % 4 == 1, text("https://h.org/o/n", i)).when(i % 4 == 2, F.lit("ssh://git@h.org/o/n.x.git")).otherwise(F.lit("nothing"))
+    origin = F.when(i % 3 == 0, "https://api.h.org/x").when(i % 3 == 1, "https://api.h.org.evil/x").otherwise("http://api.h.org/x")
+    link = F.when(i % 2 == 0, text('<https://x/', i, '>; rel="next", <https://x/9>; rel="last"')).otherwise(F.lit('<https://x/1>; rel="prev"'))
+    name = F.when(i % 5 == 0, text("a b", i)).otherwise(text("Name-", i))
+    return t(spark, sf_dir, "pages").select(
+        "page_id", source.alias("source_id"), X.source_kind(source).alias("kind"), records.repo_of_remote(remote).alias("repo"), records.trusted_origin(origin, "api.h.org").alias("trusted"), X.next_page(link).alias("next"), X.safe_name(name).alias("name")
+    )
+
+
 def _landing(spark: SparkSession, sf_dir: str, times: int, files: int) -> str:
     """A landing folder with all events, so many times over, in so many files."""
     path, e = new_folder(spark, "landing"), t(spark, sf_dir, "events")

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import tokens
+from skein.operators.grammar import plain
 from skein.operators import chunks, decisions, filters, fusion, grammar, lexical, models, resolve
 from skein.plans import search
 from skein.plans.storage import new_folder, written
-from skein.suite.base import bm25_sql, index_of, lexical_hits, query, t, top_sql, whole
-from skein.suite.retrieval import _BRANCHES, _branches
+from skein.suite.base import bm25_sql, index_of, lexical_hits, query, t, top_sql
+from skein.suite.retrieval import _BRANCHES, EVERY, _branches
 
 
 @query("select item_id, coalesce(case when item_id % 3 = 0 then item_id + 1 end, case when item_id % 2 = 0 then 7 end, 10)::bigint as lim from benchmark")
@@ -93,10 +94,7 @@ def rerank_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     select qid, source_id, rank from r where rank <= 20""")
 def screening_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal weights; ties go to what was seen first, lexical rows before dense ones."""
-    both = fusion.joined(*_branches(spark, sf_dir)).filter("lexical_rank <= 20 or dense_rank <= 20")
-    score = F.round(fusion.rrf(F.col("lexical_rank"), F.col("dense_rank"), 60, 1.0, 1.0), 9)
-    w = Window.partitionBy("qid").orderBy(score.desc(), F.col("lexical_rank").isNull(), F.coalesce("lexical_rank", "dense_rank"), "source_id")
-    return both.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 20").select("qid", "source_id", "rank")
+    return fusion.screened(*_branches(spark, sf_dir))
 
 
 @query("select 0::bigint as backwards, count(*) filter (len(regexp_extract_all(text, '[^ ]+')) > 900) > 0 as several from documents")
@@ -129,23 +127,23 @@ def staged_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("chunk_id", F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("length"))
 
 
-@query("select b.item_id as qid, d.doc_id as source_id, 1::double as score from benchmark b join documents d on contains(d.text, b.text) where len(regexp_extract_all(b.text, '[a-zA-Z]+')) > 0 and strlen(d.text) < 600")
-def rerank_scores(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """A pluggable scorer over pairs: a document that holds the whole query has all of its words. The
-    whole form takes documents of any length; words after the scorer's window then do not count."""
-    docs = t(spark, sf_dir, "documents").filter(F.lit(True) if whole else F.octet_length("text") < 600).select(F.col("doc_id").alias("source_id"), F.col("text").alias("body"))
-    pairs = t(spark, sf_dir, "benchmark").join(docs, F.contains("body", "text")).select(F.col("item_id").alias("qid"), "source_id", F.col("text").alias("query"), "body")
-    return models.scored_pairs(pairs, models.OverlapScorer(), "query", "body", ["qid", "source_id"])
+_TOKENS = "[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]"
 
 
-whole(rerank_scores)
+@query(f"""{bm25_sql()}, top as {top_sql(10)}, p as (select qid, source_id, regexp_extract_all(lower(b.text), '{_TOKENS}')[1:{models.QUERY_TOKENS}] as q, regexp_extract_all(lower(d.text), '{_TOKENS}') as d from top join benchmark b on b.item_id = qid join documents d on d.doc_id = source_id)
+    select qid, source_id, len(list_intersect(list_distinct(q), list_distinct(d[1:greatest({models.DOCUMENT_TOKENS}, {models.PAIR_TOKENS} - len(q))])))::double / greatest(1, len(list_distinct(q))) as score from p""")
+def rerank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pluggable scorer over each query's first ten hits; what lies beyond its window does not count."""
+    text = lambda table, key, name, to: t(spark, sf_dir, table).select(F.col(key).alias(name), F.col("text").alias(to))
+    pairs = lexical_hits(spark, sf_dir, 10).select("qid", "source_id").join(text("benchmark", "item_id", "qid", "query"), "qid").join(text("documents", "doc_id", "source_id", "body"), "source_id")
+    return models.scored_pairs(pairs, models.OverlapScorer(), "query", "body", ["qid", "source_id"])
 
 
 @query()
 def search_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole query lifecycle over conversations: turn 0 is an issue, later turns its comments. Every
-    conversation's whole first turn is asked, and is the title. Routes, filters, BM25 and dense branch, fusion, version check,
-    evidence. No SQL: its parts have theirs."""
+    """The whole query lifecycle over conversations: turn 0 is an issue, later turns its comments. The whole
+    first turns of conversations whose id is divisible by fifty ask all; first turns are titles. Routes,
+    filters, BM25 and dense branch, fusion, version check, evidence. No SQL: its parts have theirs."""
     c = t(spark, sf_dir, "conversations")
     titled = c.join(c.filter("turn = 0").select("conv_id", F.col("text").alias("parent")), "conv_id")
     first = F.col("turn") == 0
@@ -160,10 +158,10 @@ def search_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = lexical.Index.build(sources, search.index_fields(), new_folder(spark, "index"))
     encoder = models.HashingEncoder()
     vectors = written(models.embedded(sources, encoder, "body", ["source_id"]), "vectors")
-    lines = sources.select("source_id", F.posexplode(F.split("body", "\n")).alias("chunk_index", "body"))
-    asked = c.filter("turn = 0").select(F.col("conv_id").alias("qid"), F.col("text").alias("query"))
+    lines = sources.select("source_id", "version", F.posexplode(F.split("body", "\n")).alias("chunk_index", "body"))
+    asked = c.filter(f"turn = 0 and conv_id % {EVERY} = 0").select(F.col("conv_id").alias("qid"), plain(F.col("text")).alias("query"))
     queries = models.embedded(asked, encoder, "query", ["qid", "query"], models.QUERY_PREFIX).withColumnRenamed("vector", "query_vector")
-    corpus = search.Corpus(sources, sources.filter("issue_number % 97 = 5").select("source_id"), index, vectors, lines)
+    corpus = search.Corpus(sources, sources.filter("issue_number % 97 = 5").select("source_id"), index, vectors, lines, dimension=encoder.dimension)
     return search.search(corpus, queries)
 
 

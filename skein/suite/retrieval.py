@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
-from skein.functions.vectors import cosine, truncated
+from skein.functions.vectors import truncated
 from skein.operators import chunks, dense, fusion, lexical, resolve
-from skein.operators.filters import has_all
-from skein.suite.base import ORACLE_SQL, benchmark_terms, bm25_sql, index_of, lexical_hits, query, t, top_sql, whole
+from skein.operators.filters import escaped, has_all
+from skein.suite.base import benchmark_terms, bm25_sql, index_of, lexical_hits, query, t, top_sql
 
 #: Query vectors: those whose id is divisible by this.
 EVERY = 50
@@ -73,19 +73,13 @@ def exact_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.exact(resolve.routed(q, "https://example.org"), issues).filter("source_id is not null").select("qid", "source_id", "repo", "body_hash")
 
 
-@query("""select a.page_id as qid, b.page_id as source_id from (select * from pages where page_id % 7 = 0) a join pages b on a.url = b.url""")
-def exact_url(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """A canonical address goes to its page by an equality join, never to ranking. The whole form looks
-    every page's address up: its first page and how many pages have it, not all pairs."""
+@query("select page_id as qid, min(page_id) over (partition by url) as source_id, count(*) over (partition by url) as n_pages from pages where url is not null")
+def exact_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A canonical address goes to its page by an equality join, never to ranking: every page's address
+    with the first page of that address and how many there are, so that common ones make no pairs."""
     pages = t(spark, sf_dir, "pages")
-    if whole:
-        firsts = pages.groupBy("url").agg(F.min("page_id").alias("source_id"), F.count("*").alias("n_pages"))
-        return pages.select(F.col("page_id").alias("qid"), "url").join(firsts, "url").select("qid", "source_id", "n_pages")
-    q = pages.filter("page_id % 7 = 0").select(F.col("page_id").alias("qid"), "url")
-    return q.join(pages.select(F.col("page_id").alias("source_id"), "url"), "url").select("qid", "source_id")
-
-
-whole(exact_url, "select page_id as qid, min(page_id) over (partition by url) as source_id, count(*) over (partition by url) as n_pages from pages where url is not null")
+    firsts = pages.groupBy("url").agg(F.min("page_id").alias("source_id"), F.count("*").alias("n_pages"))
+    return pages.select(F.col("page_id").alias("qid"), "url").join(firsts, "url").select("qid", "source_id", "n_pages")
 
 
 @query("""select page_id, try_cast(regexp_extract(rtrim(url, '/'), '([^/]*)$', 1) as bigint) as number from pages""")
@@ -133,8 +127,7 @@ def vector_truncate_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def maxpool_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best chunk stands for its group."""
     q, c = _vectors(spark, sf_dir)
-    scored = q.join(c, F.col("qid") != F.col("source_id")).select("qid", "label", "source_id", F.round(cosine(F.col("query_vector"), F.col("vector")), 6).alias("score"))
-    return dense.max_pooled(scored, ["qid", "label"], "score", ["source_id"])
+    return dense.best_in_groups(q, c, "label", exclude_same=True).withColumnRenamed("value", "score")
 
 
 # -- fusion -------------------------------------------------------------------------------------
@@ -145,12 +138,16 @@ def _branches(spark: SparkSession, sf_dir: str, limit: int = 80) -> tuple[DataFr
     return first.select("qid", "source_id", "rank"), short.select("qid", "source_id", "rank")
 
 
-_BRANCHES = f"""with {_PAIRS},
-    lex as (select qid, source_id, row_number() over (partition by qid order by round(list_cosine_similarity(a, b), 6) desc, source_id) as lr from pairs qualify lr <= 80),
-    den as (select qid, source_id, row_number() over (partition by qid order by round(list_distance(a[1:16], b[1:16]), 6), source_id) as dr from pairs qualify dr <= 80),
+def _branches_sql(limit: int) -> str:
+    return f"""with {_PAIRS},
+    lex as (select qid, source_id, row_number() over (partition by qid order by round(list_cosine_similarity(a, b), 6) desc, source_id) as lr from pairs qualify lr <= {limit}),
+    den as (select qid, source_id, row_number() over (partition by qid order by round(list_distance(a[1:16], b[1:16]), 6), source_id) as dr from pairs qualify dr <= {limit}),
     both_ as (select coalesce(l.qid, d.qid) as qid, coalesce(l.source_id, d.source_id) as source_id, lr, dr from lex l full join den d on l.qid = d.qid and l.source_id = d.source_id)"""
 
 
+_BRANCHES = _branches_sql(80)
+
+
 def _fused_sql(lexical_weight: float, dense_weight: float, head: int, limit: int) -> str:
     return f"""{_BRANCHES}, f as (select *, round(coalesce({lexical_weight}::double / (60 + lr), 0::double) + coalesce({dense_weight}::double / (60 + dr), 0::double), 9) as fusion_score from both_),
     r as (select *, row_number() over (partition by qid order by case when lr <= {head} then lr else {head + 1} end, fusion_score desc, least(lr, dr), source_id) as rank from f qualify rank <= {limit})
@@ -173,27 +170,17 @@ def rrf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.fuse(*_branches(spark, sf_dir), limit=20, weights=(1.0, 0.25), protect=0)
 
 
-_CELLS = [(k, w, d) for k in (20, 60, 100) for w in (40, 80) for d in (0.25, 0.5, 0.75, 1.0)]
-#: The reference's grid has a third window.
-_WHOLE_CELLS = [(k, w, d) for k in (20, 60, 100) for w in (40, 80, 100) for d in (0.25, 0.5, 0.75, 1.0)]
+_CELLS = [(k, w, d) for k in (20, 60, 100) for w in (40, 80, 100) for d in (0.25, 0.5, 0.75, 1.0)]
 
 
-def _values(cells: list[tuple[int, int, float]]) -> str:
-    return ", ".join(f"({k}, {w}, {d}::double)" for k, w, d in cells)
-
-
-@query(f"""{_BRANCHES}, cells(k, "window", dense_weight) as (values {_values(_CELLS)}),
+@query(f"""{_branches_sql(100)}, cells(k, "window", dense_weight) as (values {", ".join(f"({k}, {w}, {d}::double)" for k, w, d in _CELLS)}),
     x as (select c.*, qid, source_id, case when lr <= c."window" then lr end as lr, case when dr <= c."window" then dr end as dr from both_ join cells c on lr <= c."window" or dr <= c."window"),
     f as (select *, round(coalesce(1::double / (k + lr), 0::double) + coalesce(dense_weight / (k + dr), 0::double), 9) as s from x),
     r as (select *, row_number() over (partition by k, "window", dense_weight, qid order by s desc, least(lr, dr), source_id) as rank from f qualify rank <= 10)
     select k::bigint as k, "window"::bigint as "window", dense_weight, qid, source_id, s as fusion_score, rank from r""")
-def rrf_grid(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    cells = spark.createDataFrame(_WHOLE_CELLS if whole else _CELLS, "k long, window long, dense_weight double")
-    branches = _branches(spark, sf_dir, 100 if whole else 80)
-    return fusion.grid(*branches, cells).filter("rank <= 10").select("k", "window", "dense_weight", "qid", "source_id", "fusion_score", "rank")
-
-
-whole(rrf_grid, ORACLE_SQL["rrf_grid"].replace(_values(_CELLS), _values(_WHOLE_CELLS)).replace("lr <= 80)", "lr <= 100)").replace("dr <= 80)", "dr <= 100)"))
+def rrf_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = spark.createDataFrame(_CELLS, "k long, window long, dense_weight double")
+    return fusion.grid(*_branches(spark, sf_dir, 100), cells).filter("rank <= 10").select("k", "window", "dense_weight", "qid", "source_id", "fusion_score", "rank")
 
 
 @query("select item_id, greatest(4 * (item_id % 120 + 1), 80, item_id % 120 + 1)::bigint as candidates from benchmark")
@@ -222,15 +209,20 @@ def final_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- evidence, chunks, text ---------------------------------------------------------------------
-@query("""with c as (select doc_id, unnest(string_split(text, chr(10))) as body, generate_subscripts(string_split(text, chr(10)), 1) - 1 as chunk_index from documents),
-    q as (select item_id, doc_id, b.text as query from benchmark b join documents d on d.doc_id = b.item_id),
-    m as (select item_id as qid, c.doc_id as source_id, chunk_index::bigint as chunk_index, len(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda x: x <> '' and contains(lower(body), x)))::bigint as matched from q join c on c.doc_id = q.doc_id)
-    select qid, source_id, chunk_index, matched from m qualify row_number() over (partition by qid, source_id order by matched desc, chunk_index) = 1""")
+@query("""with c as (select doc_id, unnest(string_split(text, chr(10))) as part, generate_subscripts(string_split(text, chr(10)), 1) - 1 as chunk_index from documents where doc_id % 7 <> 0),
+    q as (select item_id as qid, doc_id as source_id, b.text as query, d.text as body from benchmark b join documents d on d.doc_id = b.item_id),
+    m as (select qid, source_id, chunk_index::bigint as chunk_index, part, len(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda x: x <> '' and contains(lower(part), x)))::bigint as matched from q join c on c.doc_id = q.source_id),
+    b as (select * from m where matched > 0 qualify row_number() over (partition by qid, source_id order by matched desc, chunk_index) = 1),
+    s as (select q.qid, q.source_id, chunk_index, matched, coalesce(nullif(part, ''), body) as said from q left join b using (qid, source_id)),
+    h as (select *, list_transform(range(1, 182), lambda n: substr(said, 1, n)) as heads from s)
+    select qid, source_id, chunk_index, matched, case when strlen(said) <= 180 then said else substr(said, 1, len(list_filter(heads, lambda x: strlen(x) <= 180))) || '...' end as snippet from h""")
 def evidence_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = t(spark, sf_dir, "documents")
-    lines = docs.select(F.col("doc_id").alias("source_id"), F.posexplode(F.split("text", "\n")).alias("chunk_index", "body"))
-    hits = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"), F.col("item_id").alias("source_id")).join(docs.select(F.col("doc_id").alias("source_id")), "source_id", "left_semi")
-    return resolve.evidence(hits, lines).select("qid", "source_id", F.col("chunk_index").cast("long").alias("chunk_index"), "matched")
+    """The line with the most of a query's terms; every seventh document's lines are of an old version, so
+    its snippet comes from the body."""
+    docs = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.col("text").alias("body"), F.lit(2).alias("version"))
+    lines = docs.select("source_id", F.when(F.col("source_id") % 7 == 0, 1).otherwise(2).alias("version"), F.posexplode(F.split("body", "\n")).alias("chunk_index", "body"))
+    hits = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"), F.col("item_id").alias("source_id")).join(docs, "source_id")
+    return resolve.evidence(hits, lines).select("qid", "source_id", F.col("chunk_index").cast("long").alias("chunk_index"), "matched", "snippet")
 
 
 @query("""select doc_id, case when strlen(text) <= 180 then text else substr(text, 1, 180) || '...' end as snippet from documents where strlen(text) = length(text)""")
@@ -283,18 +275,34 @@ def labels_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "documents").filter(has_all(labels, F.array(F.lit("lang-en"), F.lit("src-even")))).select("doc_id")
 
 
-@query("""select doc_id, regexp_matches(text, '(?i)(/home/|/users/|c:\\\\users\\\\)|authorization\\s*:|\\bbearer\\s+\\S{8,}|\\bgh[pousr]_[A-Za-z0-9]{16,}|\\bgithub_pat_\\w+|\\bsk-[A-Za-z0-9]{16,}') as redact from documents""")
+_SHAPES = ("", " /home/x", " Authorization : x", " ghp_" + "a" * 20, " C:" + 2 * "\\" + "Users" + 2 * "\\" + "x", " github_pat_short", " /users/x", " github_pat_" + "a_" * 10)
+
+
+@query(f"""with d as (select doc_id, text || [{", ".join(repr(x).replace(chr(92) * 2, chr(92)) for x in _SHAPES)}][doc_id % {len(_SHAPES)} + 1] as x from documents) select doc_id, regexp_matches(x, '/Users/|/home/|[A-Za-z]:\\\\\\\\Users\\\\\\\\') or regexp_matches(x, '(?i)authorization\\s*:') or regexp_matches(x, 'gh[pousr]_[A-Za-z0-9]{{20,}}|github_pat_[A-Za-z0-9_]{{20,}}') as redact from d""")
 def redaction_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "documents").select("doc_id", X.needs_redaction(F.col("text")).alias("redact"))
+    shape = F.element_at(F.array(*map(F.lit, _SHAPES)), (F.col("doc_id") % len(_SHAPES) + 1).cast("int"))
+    return t(spark, sf_dir, "documents").select("doc_id", X.needs_redaction(F.concat("text", shape)).alias("redact"))
+
+
+@query("with v as (select distinct substr(text, 5, 24) as value from benchmark where item_id % 7 = 0), p as (select item_id, case when item_id % 2 = 0 then text else left(text, 15) end as payload from benchmark) select distinct item_id as payload_id from p, v where length(value) >= 16 and contains(payload, value)")
+def escaped_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads that hold raw values."""
+    i, text = F.col("item_id"), F.col("text")
+    b = t(spark, sf_dir, "benchmark")
+    return escaped(b.select(i.alias("payload_id"), F.when(i % 2 == 0, text).otherwise(F.left(text, F.lit(15))).alias("payload")), b.filter(i % 7 == 0).select(F.substring(text, 5, 24).alias("value")))
+
+
+_FROM, _TO = "aeiouthr", "漢字かなカ배포류"
 
 
-@query("""with r as (select unnest(['배포오류가 났다', '인증토큰 abc', 'plain', 'ひらがな漢字']) as text) select text, g as gram from (select text, unnest(list_concat(list_concat(list_transform(range(1, greatest(length(x), 1)), lambda i: substr(x, i, 2)), list_transform(range(1, greatest(length(x) - 1, 1)), lambda i: substr(x, i, 3))), [])) as g from (select text, unnest(regexp_extract_all(text, '[\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}\\x{AC00}-\\x{D7AF}]+')) as x from r))""")
+@query(f"""with r as (select item_id, translate(text, '{_FROM}', '{_TO}') as text from benchmark), x as (select item_id, unnest(regexp_extract_all(text, '[\\x{{3040}}-\\x{{30FF}}\\x{{3400}}-\\x{{9FFF}}\\x{{AC00}}-\\x{{D7AF}}]+')) as x from r)
+    select item_id, gram, count(*) as n from (select item_id, unnest(list_concat(list_transform(range(1, greatest(length(x), 1)), lambda i: substr(x, i, 2)), list_transform(range(1, greatest(length(x) - 1, 1)), lambda i: substr(x, i, 3)))) as gram from x) group by all""")
 def cjk_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("배포오류가 났다",), ("인증토큰 abc",), ("plain",), ("ひらがな漢字",)], "text string")
-    return rows.select("text", F.explode(X.cjk_ngrams(F.col("text"))).alias("gram"))
+    rows = t(spark, sf_dir, "benchmark").select("item_id", F.translate("text", _FROM, _TO).alias("text"))
+    return rows.select("item_id", F.explode(X.cjk_ngrams(F.col("text"))).alias("gram")).groupBy("item_id", "gram").agg(F.count("*").alias("n"))
 
 
 @query()
 def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markdown-aware chunks of all documents; no SQL: tested against fixed shapes and invariants."""
+    """Markdown-aware chunks of all documents; no SQL: tested against plain loops and literal chunks."""
     return chunks.chunked(t(spark, sf_dir, "documents"), ["doc_id"], "text")

@@ -168,7 +168,7 @@ def test_search_end_to_end(spark, tmp_path):
     dead = spark.createDataFrame([("s4",)], "source_id string")
     index = lexical.Index.build(sources, search.index_fields(), f"file://{tmp_path}/g")
     vec = spark.createDataFrame([("s1", [1.0, 0.0]), ("s2", [0.0, 1.0]), ("s3", [0.9, 0.1])], "source_id string, vector array<double>")
-    lines = sources.select("source_id", F.lit(0).alias("chunk_index"), "body")
+    lines = sources.select("source_id", "version", F.lit(0).alias("chunk_index"), "body")
     corpus = search.Corpus(sources, dead, index, vec, lines)
     q = spark.createDataFrame([(1, "login", [1.0, 0.0]), (2, "인증토큰", None), (3, "#2", None), (4, "--type", None)], "qid long, query string, query_vector array<double>")
     got = search.search(corpus, q).collect()
