@@ -16,13 +16,18 @@ from skein.llm.ngrams import slices
 from skein.plans import storage
 from skein.plans.storage import dropped, new_folder, temporary
 
-__all__ = ["dropped", "labelled_sample", "let", "new_folder", "parts", "remainder", "rows_that", "sampled", "share", "small_batches", "table", "temporary", "worker_threads", "written"]
+__all__ = ["column", "dropped", "labelled_sample", "let", "new_folder", "parts", "remainder", "rows_that", "sampled", "share", "small_batches", "table", "temporary", "worker_threads", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; null ids count as the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
@@ -90,11 +95,14 @@ def rows_that(docs: DataFrame, judge, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text ``judge`` accepts, all columns as they are; no shuffle.
     ``judge``: called on a worker with a list of whole texts (null: ''), gives a boolean for each."""
 
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names with dots do not go to workers
+    text = f"c{docs.columns.index(text_col)}"
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, texts in parts(batches, text_col):
+        for b, texts in parts(batches, text):
             yield b.filter(pa.array(np.asarray(judge(texts), bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 # -- samples ------------------------------------------------------------------------------------

@@ -80,8 +80,10 @@ class Model:
 
     def __init__(self, langs: list[str]):
         self.langs = sorted(langs)
-        self.families = sorted({family(x) for x in langs})
-        self.own = {f: [x for x in self.langs if family(x) == f] for f in self.families}
+        self.own: dict[str, list[str]] = {}
+        for x in self.langs:
+            self.own.setdefault(family(x), []).append(x)
+        self.families = sorted(self.own)
         self.judged = self.families if len(self.families) > 2 else self.families[: len(self.families) - 1]
         self.pairs = [p for f in self.families for p in combinations(self.own[f], 2)]
         machines = len(self.judged) + len(self.pairs)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import dropped, parts, share, written
+from skein.llm.common import column, dropped, parts, share, written
 from skein.llm.components import connected_components
 
 WORDS = 5
@@ -332,4 +332,4 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_
     hint = F.broadcast if small else (lambda t: t)
     stay = docs.join(hint(gone.select(id_col)), id_col, "left_anti")
     again = docs.join(hint(gone.filter("skein_again").select(id_col)), id_col, "left_semi").dropDuplicates([id_col])
-    return stay.select(*docs.columns).unionByName(again.select(*docs.columns))
+    return stay.select(*map(column, docs.columns)).unionByName(again.select(*map(column, docs.columns)))
