@@ -334,6 +334,43 @@ def test_vector_links(spark, monkeypatch):
             assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (degree[i], part[i], part[i] == i)
     assert got[None]["component_id"] is None
     assert embeddings.link_vectors(df.limit(0)).count() == 0
+    assert {r["n_links"] for r in embeddings.link_vectors(df.filter("vec_id between 202 and 206")).collect()} == {0}
+
+
+@pytest.mark.parametrize("n", range(1, 12))
+def test_each_two_blocks_meet_once(n):
+    met = Counter(frozenset((i, (i + k) % n)) for i in range(n) for k in embeddings.partners(i, n))
+    assert len(met) == n * (n + 1) // 2
+    assert set(met.values()) == {1}
+
+
+def test_heads_rule_out_only_what_cannot_link():
+    rng = np.random.default_rng(7)
+    ruled = 0
+    for _ in range(300):
+        a, b = (embeddings._unit(rng.normal(size=5) + rng.normal(size=(6, 5)) * rng.choice([0.02, 0.1, 0.5])) for _ in range(2))
+        heads = []
+        for x in (a, b):
+            c = x.mean(0) / np.linalg.norm(x.mean(0))
+            heads.append({"centre": c, "widest": np.array(np.arccos(min(1.0, (x @ c).min())))})
+        if embeddings.apart(*heads, 0.9):
+            ruled += 1
+            assert (a @ b.T).max() < 0.9
+    assert ruled > 100
+
+
+def test_links_of_clustered_vectors(spark, monkeypatch):
+    """Many pivots, small blocks, a hot cluster: against all pairs."""
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=(6, 8))
+    v = np.concatenate([centre[0] + rng.normal(size=(150, 8)) * 0.15, *(centre[k] + rng.normal(size=(20, 8)) * 0.3 for k in range(1, 6))])
+    unit = embeddings._unit(v)
+    links = [(a, b) for a, b in combinations(range(len(v)), 2) if unit[a] @ unit[b] >= 0.9]
+    part, degree = closure(range(len(v)), links), Counter(n for p in links for n in p)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.link_vectors(df).collect()}
+    assert got == {i: (degree[i], part[i]) for i in range(len(v))}
 
 
 def shingle_set(x):
