@@ -108,6 +108,8 @@ def rows_that(docs: DataFrame, judge, text_col: str = "text") -> DataFrame:
 # -- samples ------------------------------------------------------------------------------------
 #: Characters of a class's sampled texts, at most (but for the last one, which is taken whole).
 CLASS_CHARS = 8_000_000
+#: Classes whose sizes may be broadcast (a name and a number each).
+MOST_CLASSES = 100_000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, seed: str, most_chars: int = CLASS_CHARS) -> tuple[list[str], list[int]]:
@@ -120,9 +122,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
 
 
 def share_of_class(rows: DataFrame, per_class: int, seed: str) -> DataFrame:
-    """Of ``rows`` (doc_id, skein_class, ...) about ``per_class`` of each class, by a hash of the id."""
-    sizes = rows.groupBy("skein_class").agg(F.count("*").alias("skein_size"))
-    return rows.join(sizes, "skein_class").filter(share(F.col("doc_id"), seed) * F.col("skein_size") < per_class).select(*rows.columns)
+    """Of ``rows`` (doc_id, skein_class, ...) about ``per_class`` of each class, by a hash of the id. The
+    classes' sizes, a row each, are broadcast if a count says that there are few, so rows do not move."""
+    sizes = written(rows.groupBy("skein_class").agg(F.count("*").alias("skein_size")), "class-sizes")
+    known = rows.join(F.broadcast(sizes) if sizes.count() <= MOST_CLASSES else sizes, "skein_class")
+    return known.filter(share(F.col("doc_id"), seed) * F.col("skein_size") < per_class).select(*rows.columns)
 
 
 def sampled(chosen: DataFrame, seed: str, most_chars: int) -> tuple[list[str], list[str]]:
