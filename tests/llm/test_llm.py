@@ -286,6 +286,21 @@ def test_redaction_of_many_finds_and_odd_characters(spark):
     assert got == {1: masked(many), 2: masked(odd)}
 
 
+@pytest.mark.parametrize("n", [1, 43, secrets.BLOCK, 1500])
+def test_all_kinds_of_finds_in_one_text(spark, n):
+    """Base finds and the runs that touch none of them, against plain loops, over several blocks of a scan."""
+    rng = np.random.default_rng(n)
+    made = lambda i: (f"pass {i}", f"Api_Key='K{i:07d}x'", f"{i:032x}", f"AKIA{i:016d}", f"Gh/{i:04d}=KLMNOPQRSTUVWXYZ", f"token:{i:030x}ghZ", f"XY-secret={i:06d}-{'Wq' * 9}", f"zz{i:030x}G", "é😀\n")
+    x = " ".join(str(rng.choice(made(i))) for i in range(n))
+    base = base_spans(x)
+    runs = [(m.start(), 3, m.end(), "owned") for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", x) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+    free = [r for r in runs if not any(b[0] < r[2] and r[0] < b[2] for b in base)]
+    row = secrets.scan_documents(spark.createDataFrame([(1, x, "s")], "doc_id long, text string, source string")).first()
+    assert row["spans"] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(base + free))
+    assert row["n_owned"] == len(free)
+    assert n < 1000 or min(len(base), len(runs), len(free)) > secrets.BLOCK
+
+
 def test_owner_counts(spark):
     rows = spark.createDataFrame([("a", 1, "o1", "r1"), ("a", 1, "o1", "r1"), ("b", 1, "o1", "r1"), ("b", 2, "o1", "r2"), ("c", 1, "o1", "r1"), ("c", 2, "o2", "r1"), ("d", 1, "o1", "r1"), ("d", 1, "o2", "r2")], "hash string, around long, owner string, repo string")
     assert {tuple(r) for r in secrets.owner_counts(rows).collect()} == {("a", 1, 1), ("b", 2, 1), ("c", 2, 2), ("d", 1, 1)}
