@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bpe, embeddings, langid, minhash, packing, quality, rules, secrets, toxicity, warc
+from skein.llm import bpe, embeddings, langid, minhash, packing, quality, repair, rules, secrets, toxicity, trie, warc
 from skein.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -55,11 +55,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("quality_probability", F.round("quality_probability", 6))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_warc, op3_bpe, op4_secret_scan, op5_packing, op6_embedding_links, op7_minhash, op8_quality_classifier, op9_language_id, op10_quality_rules)
-}
-
+    for f in (
+        op1_toxicity, op2_warc, op3_bpe, op4_secret_scan, op5_packing, op6_embedding_links, op7_minhash, op8_quality_classifier, op9_language_id, op10_quality_rules, op12_conversation_trie,
+        op13_conversation_repair,
+    )
+}
 
 
 def _secret_sql() -> str:
@@ -118,6 +128,63 @@ def _rules_sql() -> str:
         select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and probability >= 0.5 as kept, round(probability, 6) as quality_probability from q"""
 
 
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of a text of ASCII characters, bit by bit."""
+    steps = f"list_concat([4294967295], flatten(list_transform(string_split({text}, ''), lambda z: [ascii(z), -1, -1, -1, -1, -1, -1, -1, -1])))"
+    return f"xor(list_reduce({steps}, lambda x, y: case when y >= 0 then xor(x, y) else xor(x >> 1, 3988292384 * (x & 1)) end), 4294967295)"
+
+
+def _trie_sql() -> str:
+    """Prefixes as joined digests; every node with each of its ancestors."""
+    return f"""with t as (select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as x, turn from conversations where conv_id is not null),
+        o as (select *, left(sha256(length(role) || ':' || role || x), 32) as said, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) as words from t),
+        p as (select *, row_number() over (partition by c order by turn nulls first, said) as pos from o),
+        own as (select c, count(*) as own, ({_crc32("c::varchar")}) % 4 as h, c - c % 20 as base from p group by c),
+        convs as (select x.c, x.h, x.base, least(x.h, coalesce(y.own, 0)) as got from own x left join own y on y.c = x.base),
+        r as (select c, pos - h + got as pos, said, words from p join convs using (c) where pos > h union all select v.c, pos, said, words from convs v join p on p.c = v.base where pos <= h),
+        s as (select convs.c, coalesce(list(said order by pos) filter (said is not null), []) as says, coalesce(list(words order by pos) filter (said is not null), []) as counts from convs left join r using (c) group by convs.c),
+        m as (select c, d, says, len(says) = d as ends, case when d = 0 then 0 else counts[d] end as words, array_to_string(says[1:d], ',') as here, array_to_string(says[1:d - 1], ',') as above from (select *, unnest(range(0, len(says) + 1)) as d from s)),
+        n as (select d, here, any_value(above) as above, any_value(says[1:d]) as says, min(c) as conv_id, count(*) as n, max(words) as words, sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (ends), '')) as ends_sha256 from m group by d, here),
+        k as (select n.*, (select count(*) from n b where b.d = n.d + 1 and b.above = n.here) as children from n),
+        a as (select d as of_d, array_to_string(says[1:d], ',') as of_here, leaf, saved from (select unnest(range(0, len(says) + 1)) as d, says, (children = 0)::bigint as leaf, (n - 1) * words as saved from k)),
+        sums as (select of_d, of_here, sum(leaf)::bigint as n_leaves, sum(saved)::bigint as saved_tokens from a group by all)
+        select k.conv_id, k.d as depth, up.conv_id as parent_conv_id, k.n as n_convs, k.children as n_children, n_leaves, saved_tokens, k.ends_sha256
+        from k join sums on of_d = k.d and of_here = k.here left join k up on up.d = k.d - 1 and up.here = k.above"""
+
+
+def _repair_sql() -> str:
+    """Least costs with their audits as texts, six digits before the letters, from the last turn to the first."""
+    role, text = "coalesce(role, ' ')", "coalesce(text, ' ')"
+    plus = lambda cost, letter, v: f"(lpad((left({v}, 6)::int + {cost})::varchar, 6, '0') || '{letter}' || substr({v}, 7))"
+    wanted, reads = {0: 2, 1: 2, 2: 3, 3: 2}, {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (3, "u"): 2, (2, "a"): 3}
+
+    def edits(s: int) -> str:
+        keep = [f"case when stays and ini = '{c}' then {plus('late', 'K', f'v{t}')} end" for (at, c), t in reads.items() if at == s]
+        return f"least({', '.join([plus(repair.DELETE, 'D', f'v{s}'), *keep, f'case when stays then {plus(f'late + {repair.REROLE}', 'R', f'v{wanted[s]}')} end'])})"
+
+    first = lambda v, n: plus(repair.INSERT, "I", v) if n == 1 else plus(repair.INSERT, "I", f"({plus(repair.INSERT, 'I', v)})")
+    closed = [f"least(b0, {first('b2', 1)}, {first('b3', 2)}) as v0", f"least(b1, {first('b2', 1)}, {first('b3', 2)}) as v1", f"least(b2, {first('b3', 1)}) as v2", f"least(b3, {first('b2', 1)}) as v3"]
+    return f"""with recursive d as (select conv_id as c, turn, {role} as role, {text} as text, ({_crc32("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")}) % 20 as code from conversations),
+        w as (select c, turn, case code when 4 then 'user' else role end as role, case code when 1 then '' when 2 then translate(text, '.!?', '') else text end as text, unnest(range(case code when 0 then 0 when 3 then 2 else 1 end)) as copy from d),
+        k as (select *, md5(length(role) || ':' || role || text) as key from w),
+        o as (select *, row_number() over (partition by c order by turn nulls first, key) as i, case when left(role, 1) in ('s', 'u', 'a') then left(role, 1) else '' end as ini from k),
+        f as (select *, lag(ini) over (partition by c order by i) as prior, case when not regexp_matches(text, '[^\\x20\\x09-\\x0D]') then 'blank' when row_number() over (partition by c, role, text order by i) > 1 then 'duplicate' when not regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') then 'truncated' else '' end as fault from o),
+        g as (select c, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+            count(*) filter (prior is not null and prior || ini not in ('su', 'ua', 'au')) as illegal from f group by c),
+        dp as (select c, n + 1 as i, '000000' as v0, '000010II' as v1, '000005I' as v2, '000000' as v3 from g
+            union all select c, i, {", ".join(closed)} from (select x.c, x.i, {", ".join(f"{edits(s)} as b{s}" for s in range(4))} from
+                (select f.c, f.i, v0, v1, v2, v3, ini, fault not in ('blank', 'duplicate') as stays, case fault when 'truncated' then {repair.TRUNCATED} else 0 end as late from dp join f on f.c is not distinct from dp.c and f.i = dp.i - 1) x)),
+        best as (select c, left(v0, 6)::bigint as cost, substr(v0, 7) as audit from dp where i = 1),
+        letters as (select c, j, audit[j] as letter from (select c, audit, unnest(range(1, length(audit) + 1)) as j from best)),
+        counted as (select *, count(*) filter (letter <> 'I') over (partition by c order by j) as i, count(*) filter (letter <> 'D') over (partition by c order by j) as put from letters),
+        turned as (select l.c, j, letter, put, f.role, f.text, f.ini from counted l left join f on l.letter <> 'I' and f.c is not distinct from l.c and f.i = l.i where letter <> 'D'),
+        opened as (select c, bool_or(put = 1 and letter = 'K' and ini = 's')::int as system from turned group by c),
+        said as (select t.c, j, case when letter = 'K' then role when (put - system) % 2 = 1 then 'user' else 'assistant' end || ':' || case when letter = 'I' then '' else text end as line from turned t join opened p on p.c is not distinct from t.c),
+        hashed as (select c, string_agg(line, chr(10) order by j) as whole from said group by c)
+        select a.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(cost, 0) as cost, coalesce(audit, '') as audit, sha256(coalesce(whole, '')) as repaired_sha256
+        from (select distinct conv_id from conversations) a left join g on g.c is not distinct from a.conv_id left join best on best.c is not distinct from a.conv_id left join hashed h on h.c is not distinct from a.conv_id"""
+
+
 #: Components by reachability over ``links`` (a, b), both ways; nodes are in ``nodes`` (id).
 _REACH = "reach(id, other) as (select id, id from nodes union select r.id, l.b from reach r join links l on l.a = r.other), component as (select id, min(other) as component_id from reach group by id)"
 
@@ -140,4 +207,6 @@ ORACLE_SQL: dict[str, str] = {
         links as (select a, b from both_ where 100 * i >= 75 * (na + nb - i)), nodes as (select doc_id as id from documents), {_REACH}
         select doc_id, len(shingles)::bigint as n_shingles, component_id, doc_id = component_id as kept from s join component on id = doc_id""",
     "op10_quality_rules": _rules_sql(),
+    "op12_conversation_trie": _trie_sql(),
+    "op13_conversation_repair": _repair_sql(),
 }
