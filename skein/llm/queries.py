@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bpe, embeddings, langid, minhash, packing, quality, repair, rules, secrets, toxicity, trie, warc
+from skein.llm import bpe, embeddings, html, langid, minhash, packing, quality, repair, rules, secrets, toxicity, trie, warc
 from skein.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -55,6 +55,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("quality_probability", F.round("quality_probability", 6))
 
 
+def op11_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -66,7 +70,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_toxicity, op2_warc, op3_bpe, op4_secret_scan, op5_packing, op6_embedding_links, op7_minhash, op8_quality_classifier, op9_language_id, op10_quality_rules, op12_conversation_trie,
+        op1_toxicity, op2_warc, op3_bpe, op4_secret_scan, op5_packing, op6_embedding_links, op7_minhash, op8_quality_classifier, op9_language_id, op10_quality_rules, op11_html_main_text, op12_conversation_trie,
         op13_conversation_repair,
     )
 }
