@@ -84,19 +84,17 @@ def _secret_sql() -> str:
         q = pattern.replace("'", "''")
         value = f"regexp_extract(m[i], '{q}', 2)" if kind == "assign" else "m[i]"
         good = {"assign": f"length({value}) >= {secrets.LEAST_VALUE}", "owned": "regexp_matches(m[i], '[0-9]') and regexp_matches(m[i], '[A-Za-z]')"}.get(kind, "true")
-        return f"""select rid, owner, repo, {rank} as rank, '{kind}' as kind, (list_sum(list_transform(p[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0))::bigint as start, length(m[i]) as size, {value} as value,
-            right(p[i], {secrets.AROUND}) as before, left(p[i + 1], {secrets.AROUND}) as after
+        return f"""select rid, owner, repo, {rank} as rank, '{kind}' as kind, (list_sum(list_transform(p[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0))::bigint as start, length(m[i]) as size, {value} as value
             from (select rid, owner, repo, m, p, unnest(range(1, len(m) + 1)) as i from (select rid, owner, repo, regexp_extract_all(x, '{q}') as m, regexp_split_to_array(x, '{q}') as p from d)) where {good}"""
 
     every = " union all ".join(finds(r, k, p) for r, (k, p) in enumerate(kinds))
     return f"""with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as x, coalesce(source, '') as owner, coalesce(doc_id::varchar, '') as repo from documents),
         f as ({every}), c as (select * from f where rank < 3 or not exists (select 1 from f b where b.rid = f.rid and b.rank < 3 and b.start < f.start + f.size and f.start < b.start + b.size)),
-        firsts as (select value, owner, repo from c qualify row_number() over (partition by value, before, after order by owner, repo) = 1),
-        wide as (select value from firsts group by value having count(distinct owner) >= {secrets.WIDE_OWNERS} or count(distinct (owner, repo)) >= {secrets.WIDE_REPOS}),
-        j as (select *, value in (select value from wide) as is_wide, kind || ':' || start || ':' || (start + size) as said from c),
+        v as (select value, count(distinct owner) as owners, count(distinct (owner, repo)) as repos from c group by value),
+        j as (select c.*, owners, repos, owners >= {secrets.WIDE_OWNERS} or repos >= {secrets.WIDE_REPOS} as is_wide, kind || ':' || start || ':' || (start + size) as said from c join v using (value)),
         g as (select rid, count(*) filter (rank = 0) as n_assign, count(*) filter (rank = 1) as n_access, count(*) filter (rank = 2) as n_hex, coalesce(string_agg(said, ',' order by start, rank) filter (rank < 3), '') as base,
-            coalesce(string_agg(said, ',' order by start, rank) filter (rank < 3 or not is_wide), '') as spans, count(*) filter (rank = 3 and not is_wide) as n_owned, count(*) filter (is_wide) as n_wide from j group by rid)
-        select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_owned, 0) as n_owned, coalesce(n_wide, 0) as n_wide from d left join g using (rid)"""
+            coalesce(string_agg(said, ',' order by start, rank) filter (rank < 3 or not is_wide), '') as spans, count(*) filter (rank = 3 and not is_wide) as n_owned, count(*) filter (not is_wide) as n_live, count(*) filter (is_wide) as n_wide, max(owners) as n_owners, max(repos) as n_repos from j group by rid)
+        select doc_id, {", ".join(f"coalesce({c}, 0) as {c}" for c in ("n_assign", "n_access", "n_hex", "n_owned", "n_live", "n_wide", "n_owners", "n_repos"))}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join g using (rid)"""
 
 
 def _rules_sql() -> str:

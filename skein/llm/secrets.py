@@ -1,14 +1,13 @@
 """Secrets in whole texts, and whose they are, in DataFrame functions only.
 
 Three base patterns find assignments, access keys and long hexadecimal strings. Beside them every
-long run of key-like characters that holds letters and digits is a candidate. The values' hashes are
-counted over the whole corpus by distinct repositories and owners: a value that several owners, or
-very many repositories, have is a widely copied example, one that hardly anyone else has looks like a
-live credential of its owner. Such candidates are reported too, as kind ``owned``; base finds always are.
-
-A copied passage says nothing about its value: of finds with the same value between the same
-AROUND characters only the one of the smallest owner and repository counts. Counts are taken by value
-and surroundings first, then by repository, by owner and by value, each with partial sums before its
+long run of key-like characters that holds letters and digits is a candidate. The hashes of all values,
+base finds' too, are counted over the whole corpus by distinct repositories and owners: a value that
+several owners, or very many repositories, have is a widely copied example, whether its passage was copied
+with it or not; one that hardly anyone else has looks like a live credential of its owner. Every find is
+classed so. Live-looking candidates are reported beside the base finds, which always are, as kind ``owned``.
+
+Counts are taken by repository first, then by owner, then by value, each with partial sums before its
 shuffle, so no task ever gets all rows of a common value; only hashes are shuffled, texts are not.
 
 ``documents`` names no owners: its ``source`` stands for the owner and the document for the repository.
@@ -32,13 +31,12 @@ LEAST_VALUE = 6
 #: Candidates of the method: runs of at least so many key characters with letters and digits.
 OWNED = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "owned")
-#: Owners, or repositories of whomever, from which on a value counts as widely copied; characters on
-#: either side that make surroundings.
-WIDE_OWNERS, WIDE_REPOS, AROUND = 3, 50, 24
+#: Owners, or repositories of whomever, from which on a value counts as widely copied.
+WIDE_OWNERS, WIDE_REPOS = 3, 50
 #: Steps of a block of a scan.
 BLOCK = 128
 
-_SPAN = "array<struct<start:int,rank:int,stop:int,value:string,around:bigint>>"
+_SPAN = "array<struct<start:int,rank:int,stop:int,value:string>>"
 
 
 def _scan(n: Column, value, join, emit, kind: str) -> Column:
@@ -64,8 +62,7 @@ def _finds(text: Column, pattern: str, rank: int, value=lambda m: m, good=lambda
 
         def spans(at: Column, i: Column) -> Column:
             begin = at + F.length(between(i))
-            around = F.xxhash64(F.right(between(i), F.lit(AROUND)), F.left(between(i + 1), F.lit(AROUND)))
-            span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), (begin + F.length(match(i))).alias("stop"), value(match(i)).alias("value"), around.alias("around"))
+            span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), (begin + F.length(match(i))).alias("stop"), value(match(i)).alias("value"))
             return F.when(good(match(i)), F.array(span)).otherwise(F.array().cast(_SPAN))
 
         return _scan(F.size(x["m"]), lambda i: F.length(between(i)) + F.length(match(i)), lambda a, b: a + b, spans, _SPAN)
@@ -116,35 +113,42 @@ def _said(spans: Column) -> Column:
 
 
 def owner_counts(candidates: DataFrame) -> DataFrame:
-    """(hash, around, owner, repo) rows -> (hash, n_repos, n_owners): over the whole corpus. No step keeps
+    """(hash, owner, repo) rows -> (hash, n_repos, n_owners): over the whole corpus. No step keeps
     a set of owners in memory."""
-    firsts = candidates.groupBy("hash", "around").agg(F.min(F.struct("owner", "repo")).alias("first")).select("hash", "first.owner", "first.repo")
-    by_owner = firsts.groupBy("hash", "owner", "repo").agg(F.lit(1).alias("n")).groupBy("hash", "owner").agg(F.sum("n").alias("n"))
-    return by_owner.groupBy("hash").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
+    repos = candidates.groupBy("hash", "owner", "repo").agg(F.lit(1).alias("n"))
+    return repos.groupBy("hash", "owner").agg(F.sum("n").alias("n")).groupBy("hash").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
 def _decided(some: DataFrame) -> DataFrame:
-    """skein_row, skein_spans (the finds to report) and skein_wide (how many are widely copied) of the
-    rows ``some`` (skein_row, skein_repo, skein_owner, skein_finds) that have finds."""
+    """Of the rows ``some`` (skein_row, skein_repo, skein_owner, skein_finds) that have finds: skein_row,
+    skein_spans (the finds to report), skein_live and skein_wide (how many finds look live, and are widely copied),
+    skein_owners and skein_repos (the most that any of its values has)."""
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     each = some.select("skein_row", key("skein_repo").alias("repo"), key("skein_owner").alias("owner"), F.explode("skein_finds").alias("find"))
-    each = each.withColumns({"hash": F.substring(F.sha2("find.value", 256), 1, 32), "around": F.col("find.around")})
-    wide = owner_counts(each).filter((F.col("n_owners") >= WIDE_OWNERS) | (F.col("n_repos") >= WIDE_REPOS)).select("hash", F.lit(True).alias("wide"))
-    reported = F.array_sort(F.collect_list(F.when(F.col("wide").isNull() | (F.col("find.rank") < 3), F.col("find"))))
-    return each.join(wide, "hash", "left").groupBy("skein_row").agg(reported.alias("skein_spans"), F.count("wide").alias("skein_wide"))
+    each = each.withColumn("hash", F.substring(F.sha2("find.value", 256), 1, 32))
+    wide = (F.col("n_owners") >= WIDE_OWNERS) | (F.col("n_repos") >= WIDE_REPOS)
+    reported = F.array_sort(F.collect_list(F.when(~wide | (F.col("find.rank") < 3), F.col("find"))))
+    return each.join(owner_counts(each), "hash").groupBy("skein_row").agg(
+        reported.alias("skein_spans"), F.count_if(~wide).alias("skein_live"), F.count_if(wide).alias("skein_wide"), F.max("n_owners").alias("skein_owners"), F.max("n_repos").alias("skein_repos")
+    )
 
 
 def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
-    """A row per document: doc_id, n_assign, n_access, n_hex (long), base_sha256, spans, n_owned,
-    n_wide (long; finds of the method, finds that are widely copied). Only named columns are read."""
+    """A row per document: doc_id, n_assign, n_access, n_hex (long), base_sha256, spans, n_owned (long; finds of
+    the method), n_live, n_wide (of all finds, those that look live, and those that are widely copied), n_owners,
+    n_repos (the most that any value of the document has; 0 without finds). Only named columns are read."""
     named = {"skein_row": F.monotonically_increasing_id(), "doc_id": F.col(id_col), "skein_repo": F.col(repo_col), "skein_owner": F.col(owner_col), "skein_finds": _marked(F.col(text_col))}
     seen = written(docs.select(*(c.alias(k) for k, c in named.items())), "secrets")
-    none = seen.filter(F.size("skein_finds") == 0).select("doc_id", F.col("skein_finds").alias("skein_spans"), F.lit(0).cast("long").alias("skein_wide"))
+    counts = ("skein_live", "skein_wide", "skein_owners", "skein_repos")
+    none = seen.filter(F.size("skein_finds") == 0).select("doc_id", F.col("skein_finds").alias("skein_spans"), *(F.lit(0).cast("long").alias(c) for c in counts))
     found = seen.filter(F.size("skein_finds") > 0)
     some = found.select("skein_row", "doc_id").join(_decided(found), "skein_row").select(*none.columns)
     n = lambda r: F.size(F.filter("skein_spans", lambda s: s["rank"] == r)).cast("long")
     base = F.filter("skein_spans", lambda s: s["rank"] < 3)
-    return none.unionByName(some).select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(_said(base), 256).alias("base_sha256"), _said(F.col("skein_spans")).alias("spans"), n(3).alias("n_owned"), F.col("skein_wide").alias("n_wide"))
+    return none.unionByName(some).select(
+        "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(_said(base), 256).alias("base_sha256"), _said(F.col("skein_spans")).alias("spans"), n(3).alias("n_owned"),
+        *(F.col(c).alias(c.replace("skein_", "n_")) for c in counts),
+    )
 
 
 def _masked(text: Column, spans: Column, mask: str) -> Column:

@@ -239,10 +239,44 @@ def test_secret_spans(leaky):
 
 
 def test_secret_owners(leaky):
-    """What one or two owners have is theirs; a passage that is copied counts for one owner only."""
-    owned = {r["doc_id"] for r in secrets.scan_documents(leaky).collect() if r["n_owned"]}
-    assert {5, 6, *range(60, 64), 70, 71, *range(200, 209)} == owned
-    assert {r["n_wide"] for r in secrets.scan_documents(leaky).filter("doc_id between 80 and 82 or doc_id between 100 and 199").collect()} == {1}
+    """What one or two owners have is theirs, what three have or very many repositories is widely copied."""
+    rows = secrets.scan_documents(leaky).collect()
+    assert {5, 6, *range(60, 64), 70, 71} == {r["doc_id"] for r in rows if r["n_owned"]}
+    by = {r["doc_id"]: (r["n_live"], r["n_wide"], r["n_owners"], r["n_repos"]) for r in rows}
+    assert {by[i] for i in range(60, 64)} == {(1, 0, 2, 5)} and by[70] == by[71] == (1, 0, 2, 2)
+    assert {by[i] for i in range(80, 83)} == {(0, 1, 3, 3)} and {by[i] for i in range(100, 100 + secrets.WIDE_REPOS)} == {(0, 1, 1, secrets.WIDE_REPOS)}
+    assert {by[i] for i in range(200, 209)} == {(0, 1, 9, 9)}  # a passage copied as it stands
+    assert by[3] == (2, 0, 1, 1) and by[8] == (0, 0, 0, 0)  # base finds are classed too
+
+
+def test_one_key_verbatim_under_many_owners_is_wide(spark):
+    rows = [(i, "set the password = 'hunter2hunter2' and the key AbCdEf0123456789GhIjKl there", "en", f"s{i // 2}", None) for i in range(200)]
+    got = secrets.scan_documents(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r["n_owned"], r["n_live"], r["n_wide"], r["n_owners"], r["n_repos"], r["n_assign"]) for r in got} == {(0, 0, 2, 100, 200, 1)}
+
+
+def test_planted_keys_and_examples(spark):
+    """Keys of one owner each, in up to three documents, and examples that four to thirty owners have, in texts of their own
+    and in copied ones: all of the former are reported, none of the latter."""
+    rng = np.random.default_rng(4)
+    made = lambda: "".join(rng.choice(list("ABCDEFGHJKMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz"), 18)) + f"{rng.integers(1000, 9999)}"
+    rows, live, wide = [], set(), set()
+    for k in range(60):
+        key, wide_too = made(), k % 2
+        for j in range(rng.integers(4, 31) if wide_too else rng.integers(1, 4)):
+            (wide if wide_too else live).add(len(rows))
+            rows.append((len(rows), f"{'a copied passage' if k % 3 else f'words of {len(rows)}'} with {key} in it", "en", f"s{j if wide_too else k}", None))
+    got = secrets.scan_documents(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r["doc_id"] for r in got if r["n_owned"] == r["n_live"] == 1} == live
+    assert {r["doc_id"] for r in got if r["n_wide"] == 1 and not r["n_owned"]} == wide
+
+
+def test_secrets_without_owners(spark):
+    """Null owners are one owner, so only very many repositories make a value common; masking goes on."""
+    rows = [(i, f"word {i} has AbCdEf0123456789GhIjKl here", "en", None, None) for i in range(4)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {(r["n_owned"], r["n_owners"], r["n_repos"]) for r in secrets.scan_documents(df).collect()} == {(1, 1, 4)}
+    assert {r["text"] for r in secrets.redact_documents(df).collect()} == {f"word {i} has [SECRET] here" for i in range(4)}
 
 
 def test_secret_redaction(leaky):
@@ -302,8 +336,8 @@ def test_all_kinds_of_finds_in_one_text(spark, n):
 
 
 def test_owner_counts(spark):
-    rows = spark.createDataFrame([("a", 1, "o1", "r1"), ("a", 1, "o1", "r1"), ("b", 1, "o1", "r1"), ("b", 2, "o1", "r2"), ("c", 1, "o1", "r1"), ("c", 2, "o2", "r1"), ("d", 1, "o1", "r1"), ("d", 1, "o2", "r2")], "hash string, around long, owner string, repo string")
-    assert {tuple(r) for r in secrets.owner_counts(rows).collect()} == {("a", 1, 1), ("b", 2, 1), ("c", 2, 2), ("d", 1, 1)}
+    rows = spark.createDataFrame([("a", "o1", "r1"), ("a", "o1", "r1"), ("b", "o1", "r1"), ("b", "o1", "r2"), ("c", "o1", "r1"), ("c", "o2", "r1"), ("d", "o1", "r1"), ("d", "o2", "r2")], "hash string, owner string, repo string")
+    assert {tuple(r) for r in secrets.owner_counts(rows).collect()} == {("a", 1, 1), ("b", 2, 1), ("c", 2, 2), ("d", 2, 2)}
 
 
 # -- components, embeddings, near-duplicates ----------------------------------------------------
