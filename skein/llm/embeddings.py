@@ -1,6 +1,6 @@
 """Near-duplicate vectors by cosine, exactly, from int8 tile products.
 
-Vectors are scaled to length one and quantised to int8 with a scale of their own. With e_x the length
+Vectors are scaled to length one (pairs that are recomputed are not) and quantised to int8 with a scale of their own. With e_x the length
 of x's quantisation error, the true cosine of x and y differs from the quantised product by at most
 e_x + (1 + e_x) e_y, so most pairs are settled, above or below the threshold, by integer products
 alone; only those in between are recomputed in double precision.
@@ -62,11 +62,18 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _even(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, so that the largest component is about one: no rounding, no overflow in sums."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
 class _Side:
-    """A block's vectors: full, quantised, with error bounds; ``where``: their places among both blocks'."""
+    """A block's vectors: raw (but for powers of two), of length one, and quantised, with error bounds; ``where``:
+    their places among both blocks'."""
 
-    def __init__(self, full: np.ndarray, copies: np.ndarray, first: int):
-        self.where, self.copies, self.full = np.arange(first, first + len(full)), copies, full
+    def __init__(self, raw: np.ndarray, copies: np.ndarray, first: int):
+        self.where, self.copies, self.raw, self.full = np.arange(first, first + len(raw)), copies, raw, _unit(raw)
+        self.square = (raw * raw).sum(1)
         self.scale = np.abs(self.full).max(1) / 127
         q = np.rint(self.full / self.scale[:, None])
         self.error = np.sqrt(((self.full - q * self.scale[:, None]) ** 2).sum(1))
@@ -99,7 +106,8 @@ def _linked(a: _Side, b: _Side, same: bool, threshold: float) -> Iterator[tuple[
         sure, open_ = near - own >= threshold, np.abs(near - threshold) < own
         for k in range(0, len(ask := np.flatnonzero(open_ & ~sure)), AT_ONCE):
             part = ask[k : k + AT_ONCE]
-            sure[part] = (a.full[rows][x[part]] * b.full[y[part]]).sum(1) >= threshold
+            u, v = x[part] + i, y[part]
+            sure[part] = (a.raw[u] * b.raw[v]).sum(1) / np.sqrt(a.square[u] * b.square[v]) >= threshold
         yield x[sure] + i, y[sure]
 
 
@@ -127,7 +135,8 @@ def _writer(folder: str):
 
     def put(group: pa.Table) -> tuple[str, int]:
         name = "-".join(str(group.column(k)[0].as_py()) for k in ("length", "near", "part"))
-        full = _unit(np.frombuffer(b"".join(group.column("raw").to_pylist())).reshape(group.num_rows, -1))
+        raw_ = _even(np.frombuffer(b"".join(group.column("raw").to_pylist())).reshape(group.num_rows, -1))
+        full = _unit(raw_)
         centre = full.mean(0)
         size = np.sqrt(centre @ centre)
         widest = np.pi  # no centre: nothing is ruled out
@@ -135,7 +144,7 @@ def _writer(folder: str):
             centre = centre / size
             widest = float(np.arccos(np.clip((full @ centre).min(), -1, 1)))
         out = Folder(folder)
-        for kind, arrays in (("block", {"key": np.frombuffer(b"".join(group.column("key").to_pylist()), np.uint8).reshape(-1, 16), "full": full, "copies": group.column("copies").to_numpy()}), ("head", {"centre": centre, "widest": np.array(widest)})):
+        for kind, arrays in (("block", {"key": np.frombuffer(b"".join(group.column("key").to_pylist()), np.uint8).reshape(-1, 16), "raw": raw_, "copies": group.column("copies").to_numpy()}), ("head", {"centre": centre, "widest": np.array(widest)})):
             raw = io.BytesIO()
             np.savez(raw, **arrays)
             with out.write(f"{name}.{kind}") as f:
@@ -197,8 +206,8 @@ def _compared(folder: str, lists: list[list[str]], threshold: float, stretch: in
 
 def _links(one: dict[str, np.ndarray], other: dict[str, np.ndarray] | None, threshold: float) -> pa.RecordBatch | None:
     """Of one block, or of one with another: how many links each vector has, and its tree in a forest."""
-    a = _Side(one["full"], one["copies"], 0)
-    b = a if other is None else _Side(other["full"], other["copies"], len(a.full))
+    a = _Side(one["raw"], one["copies"], 0)
+    b = a if other is None else _Side(other["raw"], other["copies"], len(a.raw))
     keys = [x.tobytes() for x in (one["key"] if other is None else np.concatenate((one["key"], other["key"])))]
     count, parent = np.zeros(len(keys), np.int64), np.arange(len(keys))
     for x, y in _linked(a, b, other is None, threshold):

@@ -50,16 +50,13 @@ MOST_BROADCAST = 1_000_000
 #: Set elements hashed at once for a sketch: a block of this times REGISTERS 64-bit numbers.
 BLOCK = 256
 
-#: Bytes of text for which tables of powers are kept in a worker.
-KEPT_POWERS = 1 << 20
+#: Words, of at most so many bytes, whose hashes a worker keeps.
+KEPT_WORDS, KEPT_BYTES = 1 << 18, 64
 
 _u = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _rng.integers(0, 2**64, 256, dtype=_u)
 _SALT, _FACTOR = _rng.integers(0, 2**64, (2, REGISTERS), dtype=_u)
 _FACTOR |= _u(1)
-_STEP = 0x9E3779B97F4A7C15 | 1
-_powers = [np.ones(1, _u), np.ones(1, _u)]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -68,35 +65,33 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _u(33))
 
 
-def _power(n: int) -> list[np.ndarray]:
-    """Powers of the step and of its inverse modulo 2^64, n at least; long tables are not kept."""
-    if len(_powers[0]) >= n:
-        return _powers
-    made = []
-    for step in (_STEP, pow(_STEP, -1, 2**64)):
-        full = np.full(max(n, 1 << 16), step, _u)
-        full[0] = 1
-        made.append(np.cumprod(full, dtype=_u))
-    if n <= KEPT_POWERS:
-        _powers[:] = made
-    return made
+class _Words(dict):
+    """Words' hashes: 64 bits of BLAKE2b, so that no text can be written whose words collide."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= KEPT_BYTES:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = h
+        return h
+
+
+_words = _Words()
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """The set of a text: sorted distinct 64-bit shingle hashes. A shingle's hash is that of its bytes
-    with single spaces, from sums over the whole text, so the work is linear in the text."""
+    """The set of a text: sorted distinct 64-bit shingle hashes, each mixed from its words' hashes in order."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, _u)
-    flat = np.frombuffer(b" ".join(words), np.uint8)
-    power, inverse = _power(len(flat) + 1)
-    total = np.zeros(len(flat) + 1, _u)
-    np.cumsum(_BYTE[flat] * power[: len(flat)], dtype=_u, out=total[1:])
-    gaps = np.flatnonzero(flat == 32)
+    each = np.fromiter(map(_words.__getitem__, words), _u, len(words))
     k = min(WORDS, len(words))
-    start = np.concatenate(([0], gaps + 1))[: len(words) - k + 1]
-    stop = np.concatenate((gaps, [len(flat)]))[k - 1 :]
-    return np.unique(_mixed((total[stop] - total[start]) * inverse[start] + (stop - start).astype(_u)))
+    n = len(words) - k + 1
+    h = np.full(n, k, _u)
+    for i in range(k):
+        h = _mixed(h + each[i : i + n])
+    return np.unique(h)
 
 
 def sketch(elements: np.ndarray) -> np.ndarray:

@@ -192,10 +192,10 @@ _REACH = "reach(id, other) as (select id, id from nodes union select r.id, l.b f
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": """with p as (select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as hex from pages),
-        f as (select *, min(page_id) over (partition by payload) as first from p)
+        f as (select *, min(page_id) over (partition by payload) as first, row_number() over (partition by payload order by page_id) = 1 as response from p)
         select page_id, strlen(payload)::bigint as payload_bytes,
             array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((((strpos('0123456789abcdef', substr(hex, (5 * k // 4)::bigint + 1, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(hex, (5 * k // 4)::bigint + 2, 1)) - 1) // (2 ** (3 - 5 * k % 4))::bigint) % 32)::bigint + 1, 1)), '') as payload_digest,
-            case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from f""",
+            case when response then 'response' else 'revisit' end as record_type, case when not response then first end as refers_to from f""",
     "op4_secret_scan": _secret_sql(),
     "op6_embedding_links": f"""with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings where embedding is not null),
         u as (select vec_id, e from v where len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),

@@ -14,8 +14,10 @@ few blocks.
 Files are written under a task's own name and then moved, and partitions are sorted before, so a
 repeated task leaves the same bytes. Folders may be any that pyarrow's file systems open.
 
-Results: a null payload is empty. A null URL has an empty key. A null id is written as ''. Rows that
-repeat id, URL and payload are equal records. No pages give an archive without records.
+Results: a null payload is empty. A null URL has an empty key. A null id is written as '', an empty one as a
+backslash (see ``_named``), and both come back as they were. Of rows that repeat id and payload one, with the least
+URL, is the response if that id is the smallest; the others revisit it, by the same id. No pages give an archive
+without records.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from uuid import uuid4
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.common import new_folder, written
@@ -140,12 +142,29 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, date: st
     """Write all pages into ``folder``; returns the captures, a written table with FIELDS."""
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("sha1", F.unhex(F.sha1("payload")))
-    repeated = rows.filter(F.length("payload") >= least_bytes).groupBy("sha1").agg(F.min("page").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
-    repeated = written(repeated.select("sha1", "first"), "repeated")
+    each = rows.filter(F.length("payload") >= least_bytes).groupBy("sha1", "page").agg(F.count("*").alias("n"))
+    firsts = each.groupBy("sha1").agg(F.min("page").alias("first"), F.min_by("n", "page").alias("again"), F.sum("n").alias("n"))
+    repeated = written(firsts.filter("n > 1 and first is not null").select("sha1", "first", "again"), "repeated")
     known = rows.join(F.broadcast(repeated) if repeated.count() <= MOST_BROADCAST else repeated, "sha1", "left")
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    ready = known.select(text("page").alias("id"), "url", "payload", "sha1", F.when(~F.col("page").eqNullSafe(F.col("first")), F.col("first").cast("string")).alias("refers_to"))
-    return written(ready.sortWithinPartitions("id", "url", "sha1").mapInArrow(_writer(folder, date), FIELDS), "captures")
+    own = F.col("page").eqNullSafe(F.col("first"))
+    ready = known.select(_named("page").alias("id"), "url", "payload", "sha1", F.when(F.col("first").isNotNull() & ~own, _named("first")).alias("refers_to"), (own & (F.col("again") > 1)).alias("again"))
+    if repeated.filter("again > 1").head(1):  # rows that repeat an id and its payload: one of them is the response
+        twice = ready.filter("again").groupBy("id", "sha1", "url").agg(F.count("*").alias("n"), F.first("payload").alias("payload"))
+        one = twice.groupBy("sha1").agg(F.min(F.struct("url")).alias("one"))
+        dealt = twice.join(one, "sha1").select("id", "url", "payload", "sha1", F.explode(F.transform(F.sequence(F.lit(1), "n"), lambda k: F.col("one.url").eqNullSafe(F.col("url")) & (k == 1))).alias("response"))
+        ready = ready.filter("not coalesce(again, false)").select("id", "url", "payload", "sha1", "refers_to").unionByName(dealt.select("id", "url", "payload", "sha1", F.when(~F.col("response"), F.col("id")).alias("refers_to")))
+    return written(ready.drop("again").sortWithinPartitions("id", "url", "sha1").mapInArrow(_writer(folder, date), FIELDS), "captures")
+
+
+def _named(c: str) -> Column:
+    """An id as text: null is empty; what is empty, or of backslashes alone, has one more in front."""
+    x = F.col(c).cast("string")
+    return F.when(x.isNull(), "").when(x.rlike(r"\A\\*\z"), F.concat(F.lit("\\"), x)).otherwise(x)
+
+
+def _unnamed(c: str) -> Column:
+    x = F.col(c)
+    return F.when(x == "", None).when(x.rlike(r"\A\\+\z"), F.substring(x, F.lit(2), F.length(x))).otherwise(x)
 
 
 def _writer(folder: str, date: str):
@@ -176,14 +195,14 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 # -- index --------------------------------------------------------------------------------------
-_ORDER = ("url_key", "id", "digest")
+_ORDER = ("url_key", "id", "digest", "type")
 
 
 def write_index(captures: DataFrame, folder: str) -> list[tuple]:
     """Write the captures' index into ``folder``. Returns its top level, sorted: for each index file
     its first entry and its name; there is one per partition."""
     ranged = captures.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER, "file", "offset")
-    top = ranged.mapInArrow(_indexer(folder), "url_key string, id string, digest string, file string")
+    top = ranged.mapInArrow(_indexer(folder), "url_key string, id string, digest string, type string, file string")
     return sorted(tuple(r) for r in written(top, "index-top").collect())
 
 
@@ -195,13 +214,13 @@ def _indexer(folder: str):
 
             def close() -> None:
                 at, size = out.write(zlib.compress("\n".join(lines).encode()))
-                directory.append(f"{first[0]} {quote(first[1], safe='')} {first[2]} {at} {size}")
+                directory.append(f"{first[0]} {quote(first[1], safe='')} {first[2]} {first[3]} {at} {size}")
                 lines.clear()
 
             for b in batches:
-                for key, id_, sha, kind, file, at, size in zip(*(b.column(k).to_pylist() for k in (*_ORDER, "type", "file", "offset", "length")), strict=True):
+                for key, id_, sha, kind, file, at, size in zip(*(b.column(k).to_pylist() for k in (*_ORDER, "file", "offset", "length")), strict=True):
                     if not lines:
-                        first = (key, id_, sha)
+                        first = (key, id_, sha, kind)
                     lines.append(f"{key} {quote(id_, safe='')} {sha} {kind} {file} {at} {size}")
                     if len(lines) == BLOCK_LINES:
                         close()
@@ -210,8 +229,8 @@ def _indexer(folder: str):
         if directory:
             with Folder(folder).write(f"{name}.directory") as out:
                 out.write(zlib.compress("\n".join(directory).encode()))
-            key, id_, sha = directory[0].split(" ")[:3]
-            yield pa.RecordBatch.from_pydict({"url_key": [key], "id": [unquote(id_)], "digest": [sha], "file": [name]})
+            key, id_, sha, kind = directory[0].split(" ")[:4]
+            yield pa.RecordBatch.from_pydict({"url_key": [key], "id": [unquote(id_)], "digest": [sha], "type": [kind], "file": [name]})
 
     return run
 
@@ -234,24 +253,24 @@ class Reader:
     def _block(self, name: str, at: int, size: int) -> list[tuple]:
         return self._entries(self.file(f"{name}.blocks").read_at(size, at))
 
-    def find(self, key: tuple[str, str, str]) -> tuple | None:
-        """The index entry of (url_key, id, digest)."""
+    def find(self, key: tuple[str, str, str, str]) -> tuple | None:
+        """The index entry of (url_key, id, digest, type)."""
         k = bisect_right(self.top, (*key, "\U0010ffff")) - 1
         if k < 0:
             return None
-        name = self.top[k][3]
+        name = self.top[k][4]
         blocks = self.directory(name)
-        entry = blocks[max(0, bisect_right(blocks, key, key=lambda e: e[:3]) - 1)]
-        lines = self.block(name, int(entry[3]), int(entry[4]))
-        line = lines[bisect_right(lines, key, key=lambda e: e[:3]) - 1]
-        return line if line[:3] == key else None
+        entry = blocks[max(0, bisect_right(blocks, key, key=lambda e: e[:4]) - 1)]
+        lines = self.block(name, int(entry[4]), int(entry[5]))
+        line = lines[bisect_right(lines, key, key=lambda e: e[:4]) - 1]
+        return line if line[:4] == key else None
 
     def record(self, entry: tuple) -> tuple[dict[str, str], bytes]:
         return parse(self.file(entry[4]).read_at(int(entry[6]), int(entry[5])))
 
 
 def read_captures(lookups: DataFrame, folder: str, top: list[tuple]) -> DataFrame:
-    """Read the records of ``lookups`` (url_key, id, digest) back through the index. Returns id,
+    """Read the records of ``lookups`` (url_key, id, digest, type) back through the index. Returns id,
     payload_bytes, payload_digest (of the full payload; for revisits as their record says), record_type,
     refers_to (as text). A lookup without a capture gives nulls."""
     ranged = lookups.select(*_ORDER).repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER)
@@ -289,5 +308,5 @@ def round_trip(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     top = write_index(captures, folder)
     kind = pages.schema[id_col].dataType
     read = read_captures(captures, folder, top)
-    id_ = lambda c: F.when(F.col(c) != "", F.col(c)).cast(kind)
+    id_ = lambda c: _unnamed(c).cast(kind)
     return read.select(id_("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", id_("refers_to").alias("refers_to"))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import common, langid, linear, minhash, ngrams, quality, toxicity, warc
+from skein.llm import common, embeddings, langid, linear, minhash, ngrams, quality, toxicity, warc
 from skein.plans import storage
 
 MULTIPLY = [0, 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0x2545F491]
@@ -267,13 +267,31 @@ def test_majority_of_a_bucket_goes_to_few_tiles(spark, monkeypatch):
     assert {r["bucket"] for r in tiles} == {1}
 
 
-@pytest.mark.parametrize("path", ["/root/testdata/sf0.1", "/root/testdata/check_h"])
-def test_recall_against_all_links(spark, path):
-    """Components of a whole table against those of every pair that shares a shingle; of check_h the texts
-    of up to 500 characters, which hold its large groups."""
-    docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text")
-    if path.endswith("check_h"):
-        docs = docs.filter("length(text) <= 500")
+def hot_texts():
+    """Short texts: one group of 1,500 near copies of one text, some beyond the threshold, one of 400 exact copies, thirty small
+    groups, and 1,200 others."""
+    rng = np.random.default_rng(11)
+    vocabulary = ["".join(rng.choice(list("aeioulnrst"), rng.integers(2, 8))) for _ in range(3000)]
+    text = lambda n=50: list(rng.choice(vocabulary, n))
+
+    def changed(words, most):
+        words = list(words)
+        for _ in range(rng.integers(0, most + 1)):
+            words[rng.integers(0, len(words))] = str(rng.choice(vocabulary))
+        return words
+
+    common, copied = text(), text(30)
+    made = [changed(common, 3) for _ in range(1500)] + [copied] * 400 + [changed(g, 2) for g in (text() for _ in range(30)) for _ in range(12)] + [text(rng.integers(1, 60)) for _ in range(1200)]
+    return [(int(i), " ".join(w)) for i, w in zip(rng.permutation(len(made)), made, strict=True)]
+
+
+@pytest.mark.parametrize("which", ["sf0.1", "hot group"])
+def test_recall_against_all_links(spark, which):
+    """Components of a whole table against those of every pair that shares a shingle."""
+    if which == "hot group":
+        docs = spark.createDataFrame(hot_texts(), "doc_id long, text string").repartition(4)
+    else:
+        docs = spark.read.parquet(f"/root/testdata/{which}/documents.parquet").select("doc_id", "text")
     rows = docs.toPandas()
     sets = {i: minhash.shingles(t) for i, t in zip(rows["doc_id"], rows["text"], strict=True)}
     first = {}
@@ -308,6 +326,41 @@ def test_recall_against_all_links(spark, path):
     assert {r["doc_id"]: r["component_id"] for r in minhash.link_documents(docs)[0].collect()} == want
 
 
+def test_words_made_to_collide_stay_apart(spark):
+    """The Thue-Morse word and its complement have equal sums modulo 2^64 in any base."""
+    bits = [bin(i).count("1") & 1 for i in range(4096)]
+    a, b = ("".join("ab"[x ^ k] for x in bits) for k in (0, 1))
+    assert len(np.intersect1d(minhash.shingles(a), minhash.shingles(b))) == 0
+    shown, links = minhash.link_documents(spark.createDataFrame([(1, a), (2, b), (3, f"{a} x y z v"), (4, f"{b} x y z v")], "doc_id long, text string"))
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in shown.collect()} == {(i, i, True) for i in (1, 2, 3, 4)}
+    assert links.count() == 0
+
+
+def test_kept_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(minhash, "KEPT_WORDS", 3)
+    text = " ".join(f"w{i}" for i in range(20)) + " " + "x" * 100
+    want, minhash._words = minhash.shingles(text), minhash._Words()
+    assert np.array_equal(minhash.shingles(text), want) and len(minhash._words) <= 3
+
+
+def test_near_duplicates_beyond_the_broadcast(spark, monkeypatch):
+    rows = [(i, " ".join(f"{i % 9}w{k}" for k in range(20)), "x") for i in range(40)] + [(3, "other words", "y"), (None, "a b", "z"), (None, "a b", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    want = sorted(map(tuple, minhash.drop_near_duplicates(docs).collect()), key=str)
+    monkeypatch.setattr(minhash, "MOST_BROADCAST", 0)
+    assert sorted(map(tuple, minhash.drop_near_duplicates(docs).collect()), key=str) == want and len(want) == 11
+
+
+# -- vectors ------------------------------------------------------------------------------------
+def test_a_pair_at_the_threshold_is_linked(spark):
+    """A cosine of 0.9 in double precision, from vectors of any size; one that is a little less is none."""
+    y = (1 - 0.81) ** 0.5
+    for size in (1.0, 1e-150, 1e150, 3e-7):
+        rows = [(1, [size, 0.0]), (2, [0.9, y]), (3, [0.0, size * 2]), (4, [0.9 * (1 - 1e-14), y])]
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+        assert got == {1: (1, 1), 2: (2, 1), 3: (0, 3), 4: (1, 1)}
+
+
 # -- archives -----------------------------------------------------------------------------------
 def test_revisits_name_a_response_with_their_payload(spark, tmp_path, monkeypatch):
     """Each revisit's response, read through the index, has the digest and length that the revisit states;
@@ -318,7 +371,7 @@ def test_revisits_name_a_response_with_their_payload(spark, tmp_path, monkeypatc
         folder = f"file://{tmp_path}/{k}"
         captures = warc.write_archives(pages, folder)
         reader = warc.Reader(folder, warc.write_index(captures, folder))
-        by = {r["id"]: (r["url_key"], r["id"], r["digest"]) for r in captures.collect()}
+        by = {r["id"]: (r["url_key"], r["id"], r["digest"], r["type"]) for r in captures.collect()}
         revisits = 0
         for key in by.values():
             fields, block = reader.record(reader.find(key))
@@ -332,6 +385,17 @@ def test_revisits_name_a_response_with_their_payload(spark, tmp_path, monkeypatc
         assert revisits == 53
 
 
+def test_ids_that_are_empty_null_or_repeated(spark, tmp_path):
+    odd = [None, "", "\\", "\\\\", "a\\", " "]
+    pages = [(i, f"http://h.org/{k}", f"body {k}") for k, i in enumerate(odd)] + [("", "http://h.org/z", "same"), ("b", None, "same"), (None, None, "same")]
+    pages += [("r", "http://r.org/2", "twice"), ("r", "http://r.org/1", "twice"), ("r", "http://r.org/1", "twice"), ("s", "http://r.org/1", "twice"), ("r", None, "other"), ("r", None, "other")]
+    df = spark.createDataFrame(pages, "page_id string, url string, html string").repartition(3)
+    got = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(df).collect())
+    want = Counter((i, 6, "response", None) for i in odd) + Counter([("", 4, "response", None), ("b", 4, "revisit", ""), (None, 4, "revisit", "")])
+    want += Counter([("r", 5, "response", None), ("r", 5, "revisit", "r"), ("r", 5, "revisit", "r"), ("s", 5, "revisit", "r"), ("r", 5, "response", None), ("r", 5, "revisit", "r")])
+    assert got == want
+
+
 # -- pipeline -----------------------------------------------------------------------------------
 CLASHES = ("score", "digest", "n", "node", "kept", "skein_row", "skein_finds", "skein_spans", "skein_doc", "skein_text", "odd.name", "component_id", "words")
 
