@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skein.functions.text import cjk_ngrams, expanded_query
 from skein.operators import dense, fusion, grammar, lexical, resolve
 from skein.operators.filters import Filters, allowed, predicate
+from skein.plans.storage import written
 
 #: Fields of an indexed source, and those a query goes over by default.
 FIELDS = {"title": "title", "body": "body", "labels": "labels", "repo": "repo", "issue_number": "issue_number", "parent_title": "parent_issue_title"}
@@ -66,7 +67,7 @@ def _fits(corpus: Corpus) -> Column:
 
 def search(corpus: Corpus, queries: DataFrame, f: Filters | None = None, limit: int = 10, origin: str = "https://example.org", rerank_scores: DataFrame | None = None, fingerprint: str | None = None) -> DataFrame:
     """queries (qid, query, query_vector nullable): qid, rank, source_id, route, kind, scores, version.
-    Ranked queries know required, forbidden and field terms; those that cannot be parsed have no rows
+    Ranked queries know the operators of ``grammar``; those that cannot be parsed have no rows
     (``query_errors``). Filters go before scoring on both branches; limits are cut before rows that fail
     the check against the authoritative table are dropped, and ranks are then closed up. Whatever keeps
     a query's vector from being used costs it the dense branch only (``warnings``)."""
@@ -79,7 +80,7 @@ def search(corpus: Corpus, queries: DataFrame, f: Filters | None = None, limit:
     may = allowed(live, f)
     hybrid = corpus.chunks is not None and corpus.dense_error(fingerprint) is None
     window = max(4 * limit, fusion.WINDOW, limit) if hybrid else limit
-    parsed = grammar.clauses(ranked.select("qid", expanded_query(F.col("query")).alias("query")), F.col("query"), SEARCHED)
+    parsed = written(grammar.nodes(ranked.select("qid", expanded_query(F.col("query")).alias("query")), F.col("query"), SEARCHED), "parsed")
     lex = lexical.ranked(grammar.scores(corpus.index, parsed, allowed=may, fields=SEARCHED), window)
     if hybrid:
         near = dense.nearest(ranked.filter(F.col("query_vector").isNotNull() & _fits(corpus)).select("qid", "query_vector"), corpus.chunks, fusion.WINDOW, allowed=may)

@@ -181,4 +181,28 @@ def bm25_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
     forbidden = F.when(~F.get(w, 3).isin(*(F.get(w, i) for i in range(3))), F.concat(F.lit("-"), F.get(w, 3)))
     asked = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.concat_ws(" ", F.concat(F.lit("+body:"), F.get(w, 0)), F.get(w, 1), F.concat(F.lit("title:"), F.get(w, 2)), forbidden).alias("query"))
     index = index_of(spark, sf_dir)
-    return lexical.ranked(grammar.scores(index, grammar.clauses(asked, F.col("query"), ["title", "body"])), 10)
+    return lexical.ranked(grammar.scores(index, written(grammar.nodes(asked, F.col("query"), ["title", "body"]), "parsed")), 10)
+
+
+_TREES = """qs as (select item_id as qid, [x for x in regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+') if x <> '' and strlen(x) < 40] as w from benchmark),
+    toks as (select 'title' as field, doc_id, [x for x in regexp_split_to_array(lower(split_part(coalesce(text, ''), chr(10), 1)), '[^\\p{L}\\p{N}]+') if x <> '' and strlen(x) < 40] as t from documents
+        union all select 'body', doc_id, [x for x in regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+') if x <> '' and strlen(x) < 40] from documents),
+    places as (select field, doc_id, len(t) as length, unnest(t) as term, unnest(range(1, len(t) + 1)) as i from toks),
+    one as (select p.field, p.doc_id, p.term, any_value(p.length) as length, count(*) as tf from places p where p.term in (select unnest(w) from qs) group by p.field, p.doc_id, p.term),
+    two as (select qs.qid, a.field, a.doc_id, any_value(a.length) as length, count(*) as tf from qs join places a on a.term = w[1] join places b on b.term = w[2] and b.field = a.field and b.doc_id = a.doc_id and b.i = a.i + 1 group by all),
+    factor as (select f.field, term, ln(1 + (s.n - f.df + 0.5::double) / (f.df + 0.5::double)) as idf, s.average from freq f join stats s on s.field = f.field),
+    sat as (select 'phrase' as leaf, qid, doc_id, sum((x.idf + y.idf) * 2 * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * length / x.average))) as v
+            from two join qs using (qid) join factor x on x.field = two.field and x.term = w[1] join factor y on y.field = two.field and y.term = w[2] group by qid, doc_id
+        union all select 'l' || k, qid, doc_id, sum(idf * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * length / average)))
+            from (select qid, k, w[k] as term from qs, range(3, 6) r(k)) q join one using (term) join factor using (field, term) where k <> 5 or one.field = 'body' group by k, qid, doc_id),
+    wide as (select qid, doc_id, max(v) filter (leaf = 'phrase') as p, max(v) filter (leaf = 'l3') as c, max(v) filter (leaf = 'l4') as d, max(v) filter (leaf = 'l5') as e from sat group by qid, doc_id),
+    top as (select qid, doc_id as source_id, coalesce(p, 0) + coalesce(case when d is null then c end, 0) + coalesce(e, 0) as score from wide where p is not null or (c is not null and d is null))"""
+
+
+@query(f"{bm25_sql(fields=('title', 'body'))}, {_TREES} select * from {top_sql(10, 'top')}")
+def bm25_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``+("a b"^2 OR (c AND NOT d)) body:e`` of each text's first five words: phrases in either field, nested groups."""
+    w = tokens(F.col("text"))
+    text = F.concat(F.lit('+("'), F.get(w, 0), F.lit(" "), F.get(w, 1), F.lit('"^2 OR ('), F.get(w, 2), F.lit(" AND NOT "), F.get(w, 3), F.lit(")) body:"), F.get(w, 4))
+    asked = t(spark, sf_dir, "benchmark").filter(F.size(w) >= 5).select(F.col("item_id").alias("qid"), text.alias("query"))
+    return lexical.ranked(grammar.scores(index_of(spark, sf_dir), written(grammar.nodes(asked, F.col("query"), ["title", "body"]), "parsed"), fields=["title", "body"]), 10)

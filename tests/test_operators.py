@@ -192,9 +192,50 @@ def test_invalid_queries(spark, query, bad):
     assert one(spark, query_error(F.lit(query), ["title", "body"]))[0] == ("validation.invalid_query" if bad else None)
 
 
-def test_query_clauses(spark):
-    from skein.operators.grammar import clauses
-
-    q = spark.createDataFrame([(1, "+Foo -bar title:baz other:qux x x"), (2, "+")], "qid long, query string")
-    got = {(r["occur"], r["field"], r["term"], r["qtf"]) for r in clauses(q, F.col("query"), ["title"]).collect()}
-    assert got == {("must", None, "foo", 1), ("not", None, "bar", 1), ("should", "title", "baz", 1), ("should", None, "other", 1), ("should", None, "qux", 1), ("should", None, "x", 2)}
+def test_query_nodes(spark):
+    from skein.operators.grammar import nodes
+
+    q = spark.createDataFrame([(1, "+Foo -bar title:baz other:qux x^2 !!"), (2, "+"), (3, 'a AND title:(b OR "c d"^3)^2 NOT e'), (4, "..."), (5, None)], "qid long, query string")
+    got = {(r["qid"], r["node"], r["parent"], r["occur"], r["field"], tuple(r["terms"] or ()), r["phrase"], r["boost"], r["required"]) for r in nodes(q, F.col("query"), ["title"]).collect()}
+    assert got == {
+        (1, 0, -1, "should", None, (), None, 1, 1), (1, 1, 0, "must", None, ("foo",), False, 1, 0), (1, 2, 0, "not", None, ("bar",), False, 1, 0), (1, 3, 0, "should", "title", ("baz",), False, 1, 0),
+        (1, 4, 0, "should", None, ("other", "qux"), False, 1, 0), (1, 5, 0, "should", None, ("x",), False, 2, 0),
+        (3, 0, -1, "should", None, (), None, 1, 0), (3, 1, 0, "should", None, (), None, 1, 2), (3, 2, 1, "must", None, ("a",), False, 1, 0), (3, 3, 1, "must", None, (), None, 2, 0),
+        (3, 4, 3, "should", "title", ("b",), False, 2, 0), (3, 5, 3, "should", "title", ("c", "d"), True, 6, 0), (3, 6, 0, "not", None, ("e",), False, 1, 0),
+    }
+
+
+@pytest.mark.parametrize("query", ["(a", "a)", "()", "a AND", "OR a", "a AND OR b", "NOT", '"a', 'title:"a', "(a OR b))", "title: a", "+(", "-", "(" * 60 + "a" + ")" * 60])
+def test_unbalanced_queries(spark, query):
+    from skein.operators.grammar import nodes, query_error
+
+    assert one(spark, query_error(F.lit(query), ["title"]))[0] == "validation.invalid_query"
+    assert nodes(spark.createDataFrame([(1, query)], "qid long, query string"), F.col("query"), ["title"]).count() == 0
+
+
+#: Titles and bodies, and queries with the sources that meet them.
+TEXTS = {1: ("red fox", "the quick red fox runs"), 2: ("fox red", "a red and a fox"), 3: ("", "red red fox, red fox"), 4: ("blue", "the sea is blue"), 5: ("red", "blue fox")}
+TREES = {
+    '"red fox"': {1, 3}, 'title:"red fox"': {1}, '"fox red"': {2, 3}, '"red red fox red"': {3}, '"red blue"': set(), "(red OR sea) AND blue": {4, 5}, "red AND fox AND NOT blue": {1, 2, 3}, "-red": set(), "+fox -title:red": {3},
+    'blue OR "quick red"': {1, 4, 5}, "+(quick sea) the": {1, 4}, "NOT (red OR sea)": set(), "fox NOT (blue OR runs)": {2, 3}, "body:(red AND fox)": {1, 2, 3}, "+red-fox": {1, 2, 3, 5}, "-(red AND blue) fox": {1, 2, 3}, "((red))": {1, 2, 3, 5}, "zzz OR sea": {4},
+}
+
+
+def test_trees_are_met(spark, tmp_path):
+    from skein.operators import grammar, lexical
+
+    sources = spark.createDataFrame([(k, *v) for k, v in TEXTS.items()], "source_id long, title string, body string")
+    index = lexical.Index.build(sources, {"title": F.col("title"), "body": F.col("body")}, f"file://{tmp_path}/i")
+    asked = spark.createDataFrame(list(enumerate(TREES)), "qid long, query string")
+    found = grammar.scores(index, grammar.nodes(asked, F.col("query"), ["title", "body"])).collect()
+    assert {q: {r["source_id"] for r in found if r["qid"] == k} for k, q in enumerate(TREES)} == TREES
+    assert len(found) == sum(map(len, TREES.values()))
+    few = grammar.scores(index, grammar.nodes(asked, F.col("query"), ["title", "body"]), allowed=sources.filter("source_id < 3").select("source_id"))
+    assert {r["source_id"] for r in few.collect()} == {1, 2}
+    assert grammar.scores(index, grammar.nodes(asked.limit(0), F.col("query"), ["title", "body"])).count() == 0
+    # a phrase's score: the sum of its terms' rarity, and how often it stands
+    idf = {r["term"]: r["factor"] for r in lexical.weights(index, asked.sparkSession.createDataFrame([("red",), ("fox",)], "term string"), fields=["body"]).collect()}
+    mean = sum(len(b.replace(",", "").split()) for _, b in TEXTS.values()) / 5
+    want = (idf["red"] + idf["fox"]) * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 5 / mean))
+    got = next(r["score"] for r in found if r["source_id"] == 3 and r["qid"] == 0)
+    assert abs(got - want) < 1e-9
