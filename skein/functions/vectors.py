@@ -38,3 +38,13 @@ def checked(a: Column, dimension: int) -> Column:
 def comparable(a: Column, b: Column, least: float = 0.99999) -> Column:
     """Whether two encodings of a text agree."""
     return cosine(a, b) >= least
+
+
+def pooled(states: Column, mask: Column, kind: str) -> Column:
+    """Token states (an array of vectors) to one vector: that of the first token inside the mask (cls), of the last
+    one (last), or the mean of all (mean)."""
+    inside = F.transform(F.filter(F.arrays_zip(states.alias("s"), mask.alias("m")), lambda x: x["m"]), lambda x: x["s"])
+    if kind != "mean":
+        return F.element_at(inside, 1 if kind == "cls" else -1)
+    zero = F.transform(F.element_at(inside, 1), lambda _: F.lit(0.0))
+    return F.aggregate(inside, zero, lambda s, v: F.zip_with(s, v, lambda a, b: a + b), lambda s: F.transform(s, lambda a: a / F.size(inside)))

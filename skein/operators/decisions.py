@@ -28,9 +28,9 @@ def oldest_active(recorded: Column, found: Column) -> Column:
     return F.least(recorded, found)
 
 
-def purge_totals(outcomes: DataFrame) -> DataFrame:
-    """One row: what the purges of a run removed."""
-    return outcomes.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("purged_sources", "purged_issues", "purged_comments")))
+def purge_totals(outcomes: DataFrame, *by: str) -> DataFrame:
+    """What the purges of a run removed: one row, or one for each value of ``by``."""
+    return outcomes.groupBy(*by).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("purged_sources", "purged_issues", "purged_comments")))
 
 
 def oldest_sync(repos: DataFrame) -> DataFrame:

@@ -62,15 +62,19 @@ def scope_error(allowlist: Column, repo: Column) -> Column:
     return F.when(repo.isNotNull() & ~F.array_contains(allowlist, repo), "scope.not_allowed")
 
 
-#: Characters from which on a raw value must not stand in what is published.
-RAW = 16
+#: Characters from which on a raw value must not stand in what is published; those of a stretch of a payload.
+RAW, STRETCH = 16, 512
 
 
 def escaped(payloads: DataFrame, values: DataFrame) -> DataFrame:
     """payloads (payload_id, payload) that hold a raw value (value) of RAW characters or more: payload_id.
-    Payloads are cut at every character, so that an equality join on the values' beginnings finds where
-    to look; no pair is compared that does not share one."""
-    heads = values.filter(F.length("value") >= RAW).select("value", F.left("value", F.lit(RAW)).alias("head")).distinct()
-    places = F.sequence(F.lit(1), F.length("payload") - RAW + 1)
-    cut = payloads.filter(F.length("payload") >= RAW).select("payload_id", "payload", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring("payload", i, F.lit(RAW))))).alias("head"))
-    return cut.join(heads, "head").filter(F.contains("payload", "value")).select("payload_id").distinct()
+    Payloads are cut at every character, stretch by stretch, and the pieces' hashes meet those of the values' beginnings;
+    only where they agree the payload itself is looked at. No pair is compared that shares no beginning."""
+    hashed = lambda x: F.xxhash64(x)
+    heads = values.filter(F.length("value") >= RAW).select("value", hashed(F.left("value", F.lit(RAW))).alias("head")).distinct()
+    long = payloads.filter(F.length("payload") >= RAW)
+    pieces = F.transform(F.sequence(F.lit(1), F.length("payload") - RAW + 1, F.lit(STRETCH)), lambda at: F.substring("payload", at, F.lit(STRETCH + RAW - 1)))
+    cut = lambda piece: F.transform(F.sequence(F.lit(1), F.length(piece) - RAW + 1), lambda i: hashed(F.substring(piece, i, F.lit(RAW))))
+    windows = long.select("payload_id", F.explode(pieces).alias("piece")).select("payload_id", F.explode(F.array_distinct(cut(F.col("piece")))).alias("head"))
+    hits = windows.join(heads.select("head").distinct(), "head", "left_semi").distinct()
+    return hits.join(long, "payload_id").join(heads, "head").filter(F.contains("payload", "value")).select("payload_id").distinct()

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.text import LONGEST_TOKEN, normalised_query, tokens
-from skein.operators.lexical import Index, few, term_score, weights
+from skein.operators.lexical import Index, few, held, looked_up, term_score
 
 _WORD = re.compile(r"([+-]?)(?:([A-Za-z_]+):)?(.*?)(?:\^([0-9]+(?:\.[0-9]+)?))?", re.S)
 _OPENS = re.compile(r'([+-]?)(?:([A-Za-z_]+):)?(?=["(])')
@@ -223,17 +223,17 @@ def nodes(queries: DataFrame, text: Column, fields: list[str], qid: str = "qid")
 def scores(index: Index, parsed: DataFrame, profile: str = "production_v1", allowed: DataFrame | None = None, fields: list[str] | None = None) -> DataFrame:
     """(qid, source_id, score) of the sources that meet a query's tree. ``parsed``: see ``nodes``; ``allowed``
     (source_id) restricts what is scored; ``fields`` are those that a term without one is looked for in."""
+    parsed, small = held(parsed)
     leaves = parsed.filter("said is not null")
-    asked = few(leaves.select("qid", "node", "parent", "depth", "occur", F.col("field").alias("asked"), "phrase", "boost", F.size("terms").alias("n"), F.posexplode("terms").alias("i", "term")))
     shape = parsed.agg(F.max("depth"), F.max(F.coalesce("phrase", F.lit(False)))).first()
     if shape[0] is None:
         return parsed.select("qid", F.lit(None).cast(index.postings.schema["source_id"].dataType).alias("source_id"), F.lit(None).cast("double").alias("score")).limit(0)
-    weight = few(weights(index, asked, profile, fields))
-    kept = ("term", "field", "source_id", "tf", "length", "average", "factor", *(["positions"] if shape[1] else []))
-    own = index.postings.join(weight, ["field", "term"]).select(*kept)
+    each = leaves.select("qid", "node", "parent", "depth", "occur", F.col("field").alias("asked"), "phrase", "boost", F.size("terms").alias("n"), F.posexplode("terms").alias("i", "term"))
+    asked, own, _ = looked_up(index, each, profile, fields)
+    own = own.select("term", "field", "source_id", "tf", "length", "average", "factor", *(["positions"] if shape[1] else []))
     if allowed is not None:
         own = own.join(allowed.select("source_id").distinct(), "source_id", "left_semi")
-    hit = own.repartition("source_id").join(asked, "term").filter(F.col("asked").isNull() | (F.col("asked") == F.col("field")))
+    hit = own.join(asked, "term").filter(F.col("asked").isNull() | (F.col("asked") == F.col("field")))
     node = ("source_id", "qid", "node", "parent", "depth", "occur")
     one = F.col("factor") * term_score(F.col("tf"), F.col("length"), F.col("average")) * F.col("boost")
     # a word of several tokens is met when all are, if it is required, else when one is
@@ -244,7 +244,8 @@ def scores(index: Index, parsed: DataFrame, profile: str = "production_v1", allo
         each = hit.filter("phrase").groupBy(*node, "field", "n", "boost", "length", "average").agg(F.sum("factor").alias("factor"), F.collect_list(shifted).alias("places"))  # an array per term of the phrase
         whole = each.filter(F.size("places") == F.col("n")).withColumn("tf", F.size(F.reduce("places", F.get("places", 0), F.array_intersect)))
         found = words.unionByName(whole.filter("tf > 0").groupBy(*node).agg(F.sum(one).alias("w")))
-    groups = few(parsed.filter("said is null").select("qid", F.col("node").alias("group"), F.col("parent").alias("above"), F.col("occur").alias("as"), "required"))
+    groups = parsed.filter("said is null").select("qid", F.col("node").alias("group"), F.col("parent").alias("above"), F.col("occur").alias("as"), "required")
+    groups = F.broadcast(groups) if small else few(groups)  # FEW_TERMS rows at most
     for depth in range(shape[0], 0, -1):
         here = found.filter(F.col("depth") == depth)
         is_ = lambda x: F.count_if(F.col("occur") == x)

@@ -11,8 +11,9 @@ from skein.functions.text import tokens
 
 #: Fixed values of the score; boosts by ranking profile.
 K1, B = 1.2, 0.75
-#: Rows of a table of terms that may be broadcast.
-MOST_BROADCAST = 200_000
+#: Rows of a table of terms that may be broadcast. Up to so many rows of query terms are fetched at once, and looked up
+#: by name; so many of their postings are summed where they are, without being dealt by source first.
+MOST_BROADCAST, FEW_TERMS, FEW_POSTINGS = 200_000, 500, 500_000
 PROFILES = {"production_v1": {}, "metadata_boost_v1": {"title": 2.0, "parent_title": 2.0, "cjk_ngrams": 0.25}}
 
 
@@ -76,22 +77,40 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
 
 
+def held(df: DataFrame, most: int = FEW_TERMS) -> tuple[DataFrame, bool]:
+    """``df`` as a table of its own rows, if it has ``most`` at most (and whether it has)."""
+    rows = df.limit(most + 1).toArrow()
+    return (df.sparkSession.createDataFrame(rows, df.schema), True) if rows.num_rows <= most else (df, False)
+
+
+def named(table: DataFrame, terms: DataFrame) -> DataFrame:
+    """The rows of ``table`` whose term is one of the held ``terms``, by names that reach the files' statistics."""
+    return table.filter(F.col("term").isin(sorted({r["term"] for r in terms.select("term").toLocalIterator()})))
+
+
 def weights(index: Index, terms: DataFrame, profile: str = "production_v1", fields: list[str] | None = None) -> DataFrame:
-    """(field, term, average, factor) of the asked ``terms`` (term): what a posting's score is made of.
+    """(field, term, average, factor, df) of the asked ``terms`` (term): what a posting's score is made of.
     The frequencies are the index's own; postings are not counted."""
     boost = F.lit(1.0)
     for field, value in PROFILES[profile].items():
         boost = F.when(F.col("field") == field, value).otherwise(boost)
     known = index.terms if fields is None else index.terms.filter(F.col("field").isin(fields))
-    asked = known.join(few(terms.select("term").distinct()), "term", "left_semi")
-    return asked.join(F.broadcast(index.stats), "field").select("field", "term", "average", (boost * idf(F.col("sources"), F.col("df"))).alias("factor"))  # stats: a row per field
+    asked = known.join(few(terms.select("term").distinct()), "term", "left_semi") if terms is not None else known
+    return asked.join(F.broadcast(index.stats), "field").select("field", "term", "average", (boost * idf(F.col("sources"), F.col("df"))).alias("factor"), "df")  # stats: a row per field
 
 
-def weighed(index: Index, terms: DataFrame, profile: str = "production_v1", fields: list[str] | None = None) -> DataFrame:
-    """(term, field, source_id, w): the asked terms' postings with what each adds to a score; no shuffle
-    where the terms are few."""
-    own = index.postings.join(few(weights(index, terms, profile, fields)), ["field", "term"])
-    return own.select("term", "field", "source_id", (F.col("factor") * term_score(F.col("tf"), F.col("length"), F.col("average"))).alias("w"))
+def looked_up(index: Index, terms: DataFrame, profile: str = "production_v1", fields: list[str] | None = None) -> tuple[DataFrame, DataFrame, bool]:
+    """(terms, postings, dealt): the asked terms, held if they are few, and their postings with average and factor.
+    Few terms cost two small jobs, of which the second fetches their frequencies; postings are then read by name. More
+    than a few postings are dealt by source, once: what is grouped by source after that stays where it is."""
+    terms, small = held(terms)
+    if small:
+        weight, _ = held(weights(Index(index.postings, index.lengths, index.stats, named(index.terms, terms)), None, profile, fields), FEW_TERMS * 16)
+        dealt = (weight.agg(F.sum("df")).first()[0] or 0) > FEW_POSTINGS
+        own = named(index.postings, terms).join(F.broadcast(weight.drop("df")), ["field", "term"])  # FEW_TERMS terms of each field at most
+        return F.broadcast(terms), own.repartition("source_id") if dealt else own, dealt
+    own = index.postings.join(few(weights(index, terms, profile, fields).drop("df")), ["field", "term"])
+    return few(terms), own.repartition("source_id"), True
 
 
 def scores(index: Index, terms: DataFrame, profile: str = "production_v1", allowed: DataFrame | None = None, fields: list[str] | None = None) -> DataFrame:
@@ -99,13 +118,14 @@ def scores(index: Index, terms: DataFrame, profile: str = "production_v1", allow
     source_id alone) restricts what is scored. The query's terms meet the postings first, so only their
     postings are shuffled, once, by source: what a query collects from a source's postings is then summed
     where they are, and the many (query, source) hits do not move."""
-    weight = weighed(index, terms, profile, fields)
+    terms, own, _ = looked_up(index, terms, profile, fields)
     if allowed is not None and "qid" not in allowed.columns:
-        weight = weight.join(allowed.select("source_id").distinct(), "source_id", "left_semi")
-    hit = weight.repartition("source_id").join(few(terms), "term")
+        own = own.join(allowed.select("source_id").distinct(), "source_id", "left_semi")
+    hit = own.join(terms, "term")
     if allowed is not None and "qid" in allowed.columns:
         hit = hit.join(allowed, ["qid", "source_id"], "left_semi")
-    return hit.groupBy("qid", "source_id").agg(F.sum(F.col("w") * F.col("qtf")).alias("score"))
+    w = F.col("factor") * term_score(F.col("tf"), F.col("length"), F.col("average"))
+    return hit.groupBy("qid", "source_id").agg(F.sum(w * F.col("qtf")).alias("score"))
 
 
 def ranked(scored: DataFrame, limit: int | None = None, order: str = "score", descending: bool = True, digits: int = 6) -> DataFrame:

@@ -11,7 +11,7 @@ from typing import Protocol
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of one model call; texts of more than LONG tokens go alone.
@@ -57,6 +57,11 @@ class OverlapScorer:
         return [len(words(q) & words(d)) / max(1, len(words(q))) for q, d in pairs]
 
 
+def query_input(text: Column) -> Column:
+    """What an encoder gets of a query's text."""
+    return F.concat(F.lit(QUERY_PREFIX), F.coalesce(text, F.lit("")))
+
+
 def pooled(states: np.ndarray, mask: np.ndarray, kind: str) -> np.ndarray:
     """Token states (tokens, dimension) to one vector: cls, mean, or last."""
     inside = np.flatnonzero(mask)

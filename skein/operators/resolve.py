@@ -81,14 +81,17 @@ def of_generation(members: DataFrame, generations: DataFrame) -> DataFrame:
 
 
 def aliases(transfers: DataFrame, hops: int = 8) -> DataFrame:
-    """(source, target) moves followed to their end, ``hops`` at most: source, final, hops, looped."""
-    at = transfers.select("source", F.col("target").alias("final"), F.lit(1).alias("hops"), F.array("source", "target").alias("path"), F.lit(False).alias("looped"))
-    step = transfers.select(F.col("source").alias("final"), F.col("target").alias("next"))
-    for _ in range(hops - 1):
-        at = at.join(step, "final", "left").select(
-            "source", F.when(F.col("looped"), F.col("final")).otherwise(F.coalesce("next", "final")).alias("final"),
-            (F.col("hops") + (F.col("next").isNotNull() & ~F.col("looped")).cast("int")).alias("hops"),
-            F.when(F.col("next").isNotNull() & ~F.col("looped"), F.concat("path", F.array("next"))).otherwise(F.col("path")).alias("path"),
-            (F.col("looped") | F.coalesce(F.array_contains("path", F.col("next")), F.lit(False))).alias("looped"),
-        )
-    return at.drop("path")
+    """(source, target) moves, one of a source, followed to their end, ``hops`` at most: source, final, hops, looped. A
+    walk that comes back to where it was ends there and is looped. Walks double their length with each join, so eight hops
+    take three."""
+    walk, steps = transfers.select("source", F.array("target").alias("walk")), 1
+    while steps < hops:
+        on = walk.select(F.col("source").alias("last"), F.col("walk").alias("more"))
+        end = F.when(F.size("walk") == steps, F.element_at("walk", -1))  # a shorter walk has ended
+        walk = walk.withColumn("last", end).join(on, "last", "left").select("source", F.when(F.col("more").isNull(), F.col("walk")).otherwise(F.concat("walk", "more")).alias("walk"))
+        steps *= 2
+    walk = walk.select("source", F.concat(F.array("source"), F.slice("walk", 1, hops)).alias("walk"))
+    back = F.filter(F.sequence(F.lit(1), F.size("walk") - 1), lambda i: F.array_contains(F.slice("walk", F.lit(1), i), F.get("walk", i)))
+    known = walk.withColumn("back", F.get(back, 0))
+    at = F.coalesce("back", F.size("walk") - 1)
+    return known.select("source", F.get("walk", at).alias("final"), at.alias("hops"), F.col("back").isNotNull().alias("looped"))

@@ -134,6 +134,18 @@ def profile_for(profiles: list[Profile], host: str, repo: str | None = None) ->
     return fit[0]
 
 
+def matched_profiles(requests: DataFrame, profiles: DataFrame, key: str) -> DataFrame:
+    """``requests`` (key, host, repo nullable) with ``profile``, the only one of the table of ``profiles`` (name, host,
+    repos) that fits, and ``error`` where none does or several do. Without a repository any of the host's fits."""
+    listed = profiles.select(F.lower("host").alias("h"), "name", F.explode("repos").alias("r"))
+    asked = requests.select(key, F.lower("host").alias("h"), F.col("repo").alias("r"))
+    named = asked.filter("r is not null").join(listed.groupBy("h", "r").agg(F.count_distinct("name").alias("n"), F.min("name").alias("name")), ["h", "r"], "left")
+    whole = profiles.groupBy(F.lower("host").alias("h")).agg(F.count_distinct("name").alias("n"), F.min("name").alias("name"))
+    both = named.select(key, "n", "name").unionByName(asked.filter("r is null").join(whole, "h", "left").select(key, "n", "name"))
+    found = both.select(F.col(key).alias("skein_key"), F.when(F.col("n") == 1, F.col("name")).alias("profile"), F.when(F.coalesce("n", F.lit(0)) == 0, "profile.not_found").when(F.col("n") > 1, "profile.ambiguous").alias("error"))
+    return requests.join(found, requests[key] == found["skein_key"]).drop("skein_key")
+
+
 def repo_of_remote(url: Column) -> Column:
     """owner/name of a git remote in any of its spellings; null for others."""
     found = F.regexp_extract(url, r"^(?:https?://[^/]+/|ssh://(?:[^@/]+@)?[^/]+/|[^@\s]+@[^:\s]+:)([\w.-]+/[\w.-]+?)(?:\.git)?/?$", 1)

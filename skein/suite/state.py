@@ -265,7 +265,7 @@ def reach_and_purges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far back each repository reaches, and what its purges removed."""
     i = F.col("doc_id")
     d = t(spark, sf_dir, "documents").select("source", i, (i % 3).alias("purged_sources"), (i % 2).alias("purged_issues"), F.when(i % 4 == 0, 1).alias("purged_comments"))
-    found = d.groupBy("source").agg(F.min(i).alias("first"), F.min(F.when(i % 7 != 0, i)).alias("found"), F.sum("purged_sources").alias("purged_sources"), F.sum("purged_issues").alias("purged_issues"), F.coalesce(F.sum("purged_comments"), F.lit(0)).alias("purged_comments"))
+    found = d.groupBy("source").agg(F.min(i).alias("first"), F.min(F.when(i % 7 != 0, i)).alias("found")).join(D.purge_totals(d, "source"), "source")
     return found.select("source", D.oldest_active(F.when(F.col("first") % 3 != 0, F.lit(5).cast("long")), F.col("found")).alias("oldest"), "purged_sources", "purged_issues", "purged_comments")
 
 

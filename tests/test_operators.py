@@ -239,3 +239,35 @@ def test_trees_are_met(spark, tmp_path):
     want = (idf["red"] + idf["fox"]) * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 5 / mean))
     got = next(r["score"] for r in found if r["source_id"] == 3 and r["qid"] == 0)
     assert abs(got - want) < 1e-9
+
+
+@pytest.mark.parametrize("hops", [1, 3, 8])
+def test_aliases_against_plain_loops(spark, hops):
+    """Chains of all lengths, a star, cycles of all lengths with tails, and moves to itself."""
+    from skein.operators.resolve import aliases
+
+    moves = {f"c{i}": f"c{i + 1}" for i in range(20)} | {f"s{i}": "c3" for i in range(5)} | {"self": "self", "to": "self"}
+    for n in (2, 3, 7, 8, 9):
+        moves |= {f"r{n}.{i}": f"r{n}.{(i + 1) % n}" for i in range(n)} | {f"t{n}.{i}": f"t{n}.{i + 1}" if i < 3 else f"r{n}.1" for i in range(4)}
+
+    def plain(source):
+        path = [source]
+        while len(path) <= hops and path[-1] in moves:
+            path.append(moves[path[-1]])
+            if path[-1] in path[:-1]:
+                return source, path[-1], len(path) - 1, True
+        return source, path[-1], len(path) - 1, False
+
+    got = {tuple(r) for r in aliases(spark.createDataFrame(list(moves.items()), "source string, target string"), hops).collect()}
+    assert got == set(map(plain, moves))
+
+
+def test_raw_values_are_found_wherever_they_stand(spark):
+    """At every place around the stretches' ends, among other characters, in long payloads."""
+    from skein.operators.filters import RAW, STRETCH, escaped
+
+    value = "Geheimnis-übér-alles"
+    places = [0, 1, *range(STRETCH - 25, STRETCH + 5), 2 * STRETCH - 3, 9000]
+    rows = [(k, "é" * n + value + "x" * (k % 40)) for k, n in enumerate(places)] + [(900, "é" * 5000), (901, value[:-1]), (902, value[: RAW - 1]), (903, "x" * 200_000 + value)]
+    found = escaped(spark.createDataFrame(rows, "payload_id long, payload string"), spark.createDataFrame([(value,), (value[:10],)], "value string"))
+    assert {r[0] for r in found.collect()} == {*range(len(places)), 903}

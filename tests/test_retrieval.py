@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from skein.operators import dense, evaluate, fusion, grammar, lexical, lifecycle, models, resolve
 from skein.operators.filters import escaped
 from skein.plans import search
+from skein.plans import publish
 from skein.plans.publish import Generations, Publication, Publications
 from skein.sources import pages
 from skein.streaming import ingest
@@ -168,6 +169,32 @@ def test_corruption_of_the_same_size_is_seen(spark, tmp_path):
     assert not g.intact(ready.generation)
 
 
+def test_a_damaged_stretch_is_named(spark, tmp_path, monkeypatch):
+    """Files of many leaves and levels; a change of one byte, a file that went, one that came, one that grew."""
+    monkeypatch.setattr(publish, "LEAF", 100)
+    monkeypatch.setattr(publish, "FANOUT", 3)
+    g = Generations(spark, f"file://{tmp_path}")
+    m = g.reserve("2024-01-01T00:00:00Z")
+    folder = tmp_path / f"generation={m.generation}.tmp"
+    (folder / "deep").mkdir()
+    for name, size in (("a", 2550), ("b", 0), ("c", 100), ("deep/d", 901)):
+        (folder / name).write_bytes(bytes(i % 251 for i in range(size)))
+    ready = g.seal(m, "2024-01-01T00:01:00Z")
+    assert g.intact(ready.generation) and g.damaged(ready.generation).count() == 0
+    whole = tmp_path / f"generation={ready.generation}"
+    raw = bytearray((whole / "a").read_bytes())
+    raw[1234] ^= 1
+    (whole / "a").write_bytes(raw)
+    assert {tuple(r) for r in g.damaged(ready.generation).collect()} == {("a", 1200, 100)} and not g.intact(ready.generation)
+    raw[1234] ^= 1
+    (whole / "a").write_bytes(raw)
+    assert g.intact(ready.generation)
+    (whole / "b").unlink()
+    (whole / "new").write_bytes(b"x")
+    (whole / "deep/d").write_bytes((whole / "deep/d").read_bytes() + b"y")
+    assert {tuple(r) for r in g.damaged(ready.generation).collect()} == {("b", 0, 0), ("new", 0, 1), ("deep/d", 900, 1), ("deep/d", 900, 2)}
+
+
 def test_a_reader_sees_one_publication(spark, tmp_path):
     p = Publications(spark, f"file://{tmp_path}")
     p.activate(Publication("p1", 1, None, None), None)
