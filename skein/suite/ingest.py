@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable, Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
 from skein.functions.times import overlap_since as overlap
 from skein.operators import lifecycle, resolve
-from skein.plans.storage import new_folder
-from skein.sources import records
+from skein.plans.storage import new_folder, written
+from skein.sources import pages, records
 from skein.streaming import ingest
-from skein.suite.base import query, t
+from skein.suite.base import ORACLE_SQL, query, t
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,6 +223,37 @@ def landed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.all_sources(issues, good).select("source_id", "entity_type", "repo", "title", "author", "body_hash", F.col("parent_issue_source_id").alias("parent"))
 
 
+def _page_files(spark: SparkSession, sf_dir: str) -> str:
+    """The same pages, each a file of its own as a client lands them: written by tasks."""
+    path = new_folder(spark, "page-files")
+
+    def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = fs.FileSystem.from_uri(path)
+        for b in batches:
+            for page in b.to_pylist():
+                folder = f"{root}/{quote(page['endpoint'], safe='')}"
+                files.create_dir(folder, recursive=True)
+                with files.open_output_stream(f"{folder}/{page['page']:08d}.json") as f:
+                    f.write(json.dumps(page).encode())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    written(records.landed(spark, _pages(spark, sf_dir)).mapInArrow(put, "n long"), "landed")
+    return path
+
+
+@query(ORACLE_SQL["landed_sources"])
+def streamed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream of page files in two bounded runs, whose rows and cursors become visible together."""
+    path, landing, state = _page_files(spark, sf_dir), new_folder(spark, "landing"), new_folder(spark, "state")
+    pages.landed(spark, path, landing, state, endpoints="issues:")
+    known = spark.createDataFrame([("issues:o/r1", "e5"), ("repo-comments:o/r1", "e5")], "endpoint string, etag string")
+    fresh = records.changed(pages.landed(spark, path, landing, f"{state}-2"), known)
+    of = lambda kind, schema: records.items(fresh.filter(F.startswith("endpoint", F.lit(kind))), schema)
+    issues = records.issues(of("issues:", records.ISSUE))
+    good, _ = records.comments(of("repo-comments:", records.COMMENT), issues)
+    return records.all_sources(issues, good).select("source_id", "entity_type", "repo", "title", "author", "body_hash", F.col("parent_issue_source_id").alias("parent"))
+
+
 @query("""with i as (select conv_id, 'o/r' || conv_id % 2 as repo from conversations where turn = 0 and conv_id % 11 <> 0 and conv_id % 7 <> 3) select 'C' || k.conv_id || '-' || k.turn as node_id, k.conv_id as parent_issue_number from conversations k left join i using (conv_id) where k.turn > 0 and k.conv_id % 7 <> 3 and i.conv_id is null""")
 def deferred_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = records.changed(records.landed(spark, _pages(spark, sf_dir)), spark.createDataFrame([], "endpoint string, etag string"))
