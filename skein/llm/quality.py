@@ -1,9 +1,9 @@
 """Text quality by naive Bayes support vectors.
 
-Features are indicators: which byte n-grams (hashed) a whole text has, and how common words of three
-shapes are in it: upper-case words, words equal to the one before, symbol endings, each by the order of
-magnitude of their share. (N-grams alone cannot tell a text that repeats one sound word from a short
-sound one; the README has the figures with and without.) Indicators are scaled by the classes' smoothed
+Features are indicators of n-grams, all hashed into one table: which byte n-grams a whole text has, which words and
+pairs of words, and which n-grams over its words' shapes. A shape says how a word is written (upper case, capitalised,
+small, or none of them), whether it ends in a symbol, and whether it repeats the word before it, so that stretches of
+shouting, of symbols and of repetition are n-grams like others. Indicators are scaled by the classes' smoothed
 log-count ratio, and a linear hinge-loss model is fitted to the scaled ones by dual coordinate descent;
 its weights are drawn towards the naive Bayes solution. The fit uses a bounded sample (``per_class``
 documents of a class, and so many characters). Scoring is one pass.
@@ -15,7 +15,7 @@ labels of one id the greatest counts. Repeated rows score alike.
 
 from __future__ import annotations
 
-import math
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,9 +27,9 @@ from skein.llm.linear import Rows, calibrated, hinge, joined_rows, probability
 from skein.llm.toxicity import _scored
 
 BITS, LENGTHS = 17, (1, 2, 3, 4)
-#: Buckets of the word-level indicators follow the n-grams'.
-KINDS, LEVELS = 3, 8
-SIZE = (1 << BITS) + KINDS * LEVELS
+SIZE = 1 << BITS
+#: Lengths of n-grams of words and of their shapes.
+WORDS, SHAPES = (1, 2), (1, 2, 3, 4)
 PER_CLASS, THRESHOLD = 1500, 0.3
 #: Smoothing of counts; weight of the model's own weights against their mean magnitude; cost.
 ALPHA, MIX, COST = 1.0, 0.75, 1.0
@@ -37,6 +37,23 @@ ALPHA, MIX, COST = 1.0, 0.75, 1.0
 LEAN = 0.3
 
 
+_MIX, _SPREAD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
+
+
+def shape(word: str) -> int:
+    """How a word is written: by its case, and 8 more if it ends in a symbol."""
+    return (4 if word.isupper() else 3 if word[0].isupper() else 2 if word[0].islower() else 1) + 8 * (not word[-1].isalnum())
+
+
+def _runs(codes: np.ndarray, n: int, salt: int) -> np.ndarray:
+    """The bucket of each n-gram of codes."""
+    h = np.full(max(len(codes) - n + 1, 0), salt + n, np.uint64)
+    for k in range(n if len(h) else 0):
+        h = (h ^ codes[k : len(codes) - n + 1 + k]) * _MIX
+        h ^= h >> np.uint64(32)
+    return ((h * _SPREAD) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 def indicators(texts: list[str]) -> Rows:
     """The sorted distinct features of each text."""
     flat, starts = ngrams.joined(texts, lower=False, words=False)
@@ -45,10 +62,13 @@ def indicators(texts: list[str]) -> Rows:
     for i, t in enumerate(texts):
         for n, h in hashes:
             mark[h[starts[i] : max(starts[i], starts[i + 1] - n + 1)]] = True
-        if words := t.split():
-            shares = (sum(map(str.isupper, words)), sum(map(str.__eq__, words, words[1:])), sum(not w[-1].isalnum() for w in words))
-            for k, x in enumerate(shares):
-                mark[(1 << BITS) + k * LEVELS + min(LEVELS - 1, int(-2 * math.log2(max(x / len(words), 0.06))))] = True
+        words = t.split()
+        each = np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in words), np.uint64, len(words))
+        shapes = np.fromiter(map(shape, words), np.uint64, len(words))
+        shapes[1:] += np.uint64(16) * (each[1:] == each[:-1]).astype(np.uint64)
+        for codes, lengths, salt in ((each, WORDS, 0), (shapes, SHAPES, 100)):
+            for n in lengths:
+                mark[_runs(codes, n, salt)] = True
         index = np.flatnonzero(mark)
         mark[index] = False
         found.append(index.astype(np.int32))

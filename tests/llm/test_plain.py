@@ -2,6 +2,7 @@
 
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -72,9 +73,18 @@ def plain_indicators(text):
     raw = text.encode()
     s = b" " + raw + b" " if raw else b""
     found = {bucket(s[i : i + n], quality.BITS) for n in quality.LENGTHS for i in range(len(s) - n + 1)}
-    if words := text.split():
-        shares = (sum(w.isupper() for w in words), sum(a == b for a, b in zip(words, words[1:], strict=False)), sum(not w[-1].isalnum() for w in words))
-        found |= {(1 << quality.BITS) + 8 * k + min(7, int(-2 * math.log2(max(x / len(words), 0.06)))) for k, x in enumerate(shares)}
+    words, shapes = text.split(), []
+    for i, w in enumerate(words):
+        case = 4 if w.isupper() else 3 if w[0].isupper() else 2 if w[0].islower() else 1
+        shapes.append(case + (0 if w[-1].isalnum() else 8) + (16 if i and words[i - 1] == w else 0))
+    for codes, lengths, salt in (([zlib.crc32(w.encode()) for w in words], (1, 2), 0), (shapes, (1, 2, 3, 4), 100)):
+        for n in lengths:
+            for i in range(len(codes) - n + 1):
+                h = salt + n
+                for c in codes[i : i + n]:
+                    h = (h ^ c) * 0xD6E8FEB86659FD93 % 2**64
+                    h ^= h >> 32
+                found.add((h * 0x9E3779B97F4A7C15 % 2**64) >> (64 - quality.BITS))
     return found
 
 
