@@ -9,6 +9,7 @@ from skein.functions import text as X
 from skein.functions import times, vectors
 from skein.operators import decisions, filters, fusion, models
 from skein.plans import search
+from skein.plans.contracts import ENVELOPE, QUERY, schema_error
 from skein.plans.publish import Generations
 from skein.plans.storage import new_folder
 from skein.sources import records
@@ -174,3 +175,24 @@ def activated_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = models.staged(c, c.filter("chunk_id % 2 = 0"), models.HashingEncoder())
     rest = models.staged(c, c.filter("chunk_id % 2 = 1"), models.HashingEncoder())
     return models.activated(c, first.unionByName(rest)).select("chunk_id", F.size("vector").cast("long").alias("dimension"))
+
+
+@query("select qid, null::varchar as error from (select distinct item_id as qid from benchmark)")
+def envelope_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every envelope is as its schema says."""
+    made = search.envelope(lexical_hits(spark, sf_dir, 10).select("qid", "source_id", "rank"))
+    return made.select("qid", schema_error(F.col("json"), ENVELOPE).alias("error"))
+
+
+@query("""select event_id, case when event_id % 13 = 0 then '$: json' when event_id % 11 = 0 then '$: type' when event_id % 7 = 0 then '$.query: required' when event_id % 5 = 0 then '$.odd: additionalProperties' when event_id % 8 = 4 then '$.repo: dependentRequired'
+    when event_id % 9 = 3 then '$.query: minLength' when user_id % 120 = 0 then '$.limit: minimum' when user_id % 120 > 100 then '$.limit: maximum' when event_type not in ('click', 'view') then '$.state: enum' when event_id % 17 = 2 then '$.label: anyOf' end as error from events""")
+def query_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A closed decode of what callers ask with, one in many broken in a way of its own: the path of the first fault."""
+    e, i = t(spark, sf_dir, "events"), F.col("event_id")
+    state = F.when(F.col("event_type") == "click", "open").when(F.col("event_type") == "view", "all").otherwise(F.col("event_type"))
+    label = F.when(i % 17 == 2, F.array(F.lit("a"), F.lit("a"))).when(i % 2 == 0, F.array(F.lit("a"), F.lit("b")))
+    asked = F.struct(
+        F.when(i % 7 != 0, F.when(i % 9 == 3, "").otherwise(F.col("event_type"))).alias("query"), (F.col("user_id") % 120).alias("limit"), state.alias("state"), label.alias("label"), F.when(i % 5 == 0, 1).alias("odd"), F.when(i % 8 == 4, 2).alias("issue"),
+    )
+    text = F.when(i % 13 == 0, "{").when(i % 11 == 0, "[]").otherwise(F.to_json(asked))
+    return e.select("event_id", schema_error(text, QUERY).alias("error"))
