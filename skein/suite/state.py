@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skein.functions import times
 from skein.operators import decisions as D
 from skein.plans.storage import new_folder
-from skein.streaming import ingest
+from skein.streaming import ingest, waiting
 from skein.suite.base import query, t
 
 
@@ -124,18 +124,32 @@ def budget_gate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, path = F.col("event_id"), new_folder(spark, "requests")
     rows = _e(spark, sf_dir).select(F.concat(F.lit("h"), "user_id").alias("host"), i.alias("seq"), F.when(i % 3 == 0, "report").otherwise("request").alias("kind"), F.when((i % 3 == 0) & (i % 21 != 0), i % 9).alias("remaining"))
     rows.write.parquet(path)
-    key = "spark.sql.streaming.stateStore.providerClass"
+    return _streamed(spark, ingest.gated(spark.readStream.schema(rows.schema).parquet(path)))
+
+
+def _streamed(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """All that a stateful stream gives for the files that are there."""
+    key, out = "spark.sql.streaming.stateStore.providerClass", new_folder(spark, "streamed")
     before = spark.conf.get(key, None)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        out = new_folder(spark, "gated")
-        stream = ingest.gated(spark.readStream.schema(rows.schema).parquet(path))
         stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
+@query("select 'o/r' || k.conv_id % 2 as repo, k.conv_id as number, 'C' || k.conv_id || '-' || k.turn as node_id, 'I' || k.conv_id as parent, 'resolved' as state from conversations k where k.turn > 0 and exists (select 1 from conversations p where p.conv_id = k.conv_id and p.turn = 0 and p.conv_id % 11 <> 0)")
+def waiting_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments of a stream wait for their issue, which may come later; every eleventh one never comes."""
+    c, i, path = t(spark, sf_dir, "conversations"), F.col("conv_id"), new_folder(spark, "thread-rows")
+    node = F.when(F.col("turn") == 0, F.concat(F.lit("I"), i)).otherwise(F.concat(F.lit("C"), i, F.lit("-"), "turn"))
+    rows = c.filter((F.col("turn") > 0) | (i % 11 != 0)).select(F.concat(F.lit("o/r"), i % 2).alias("repo"), i.alias("number"), F.when(F.col("turn") == 0, "issue").otherwise("comment").alias("kind"), node.alias("node_id"), F.lit("2024-02-01").cast("timestamp").alias("at"), F.col("turn").alias("t"))
+    rows.orderBy(F.col("t").desc()).drop("t").write.option("maxRecordsPerFile", 500).parquet(path)
+    stream = spark.readStream.schema(rows.drop("t").schema).option("maxFilesPerTrigger", 4).parquet(path)
+    return _streamed(spark, waiting.with_parents(stream))
+
+
 @query("select event_id, case when event_id % 13 = 0 then 'bootstrap_required' when event_id % 100 <= 20 and event_id % 7 <> 0 then 'fresh' when event_id % 1000 > 500 then 'cooldown' when event_id % 3 = 0 then 'sync_busy' else 'eligible' end as state from events")
 def plan_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
