@@ -51,7 +51,7 @@ MOST_BROADCAST = 1_000_000
 BLOCK = 256
 
 #: Words, of at most so many bytes, whose hashes a worker keeps.
-KEPT_WORDS, KEPT_BYTES = 1 << 18, 64
+KEPT_WORDS, KEPT_BYTES = 1 << 16, 64
 
 _u = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240607))
