@@ -85,7 +85,7 @@ def held(df: DataFrame, most: int = FEW_TERMS) -> tuple[DataFrame, bool]:
 
 def named(table: DataFrame, terms: DataFrame) -> DataFrame:
     """The rows of ``table`` whose term is one of the held ``terms``, by names that reach the files' statistics."""
-    return table.filter(F.col("term").isin(sorted({r["term"] for r in terms.select("term").toLocalIterator()})))
+    return table.filter(F.col("term").isin(sorted({r["term"] for r in terms.select("term").collect()})))
 
 
 def weights(index: Index, terms: DataFrame, profile: str = "production_v1", fields: list[str] | None = None) -> DataFrame:
