@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as X
 from skein.functions.vectors import truncated
-from skein.operators import chunks, dense, fusion, lexical, resolve
+from skein.operators import chunks, dense, fusion, lexical, resolve, segments
 from skein.operators.filters import escaped, has_all
+from skein.plans.storage import new_folder
 from skein.suite.base import benchmark_terms, bm25_sql, index_of, lexical_hits, query, t, top_sql
 
 #: Query vectors: those whose id is divisible by this.
@@ -56,6 +57,24 @@ def field_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_of(spark, sf_dir).stats.select("field", "sources", F.round("average", 6).alias("average"))
 
 
+_LIVE = "with live as (select * from documents where doc_id % 11 <> 3), " + bm25_sql(fields=("title", "body"))[5:].replace("from documents", "from live")
+
+
+@query(f"{_LIVE} select * from {top_sql(10)}")
+def bm25_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index grown by batches: three bring all documents, every seventh as a draft; then the drafts' right texts take
+    their place while every eleventh document is removed. Full tiers merge; the search sees what a fresh build holds."""
+    docs = t(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    drafts = docs.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("draft\n"), "text")).otherwise(F.col("text")))
+    gone = docs.filter(F.col("doc_id") % 11 == 3).select(F.col("doc_id").alias("source_id"))
+    held = segments.Segments(spark, new_folder(spark, "segments"))
+    fields = {"title": F.substring_index("text", "\n", 1), "body": F.col("text")}
+    for k in range(3):
+        held.apply(drafts.filter(F.col("doc_id") % 3 == k), fields, key="doc_id")
+    held.apply(docs.filter((F.col("doc_id") % 7 == 0) & (F.col("doc_id") % 11 != 3)), fields, gone, "doc_id")
+    return lexical.ranked(lexical.scores(held.index(), benchmark_terms(spark, sf_dir), fields=["title", "body"]), 10)
+
+
 # -- exact routes -------------------------------------------------------------------------------
 @query("""with q as (select page_id, url as query from pages union all select -item_id - 1, '#' || item_id from benchmark)
     select page_id as qid, case when regexp_matches(query, '^#?[+-]?[0-9]+$') then 'exact' else 'ranked' end as route,
