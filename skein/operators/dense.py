@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from copy import copy
 from functools import reduce
 
 import numpy as np
@@ -38,6 +39,12 @@ class Scorer:
         self.queries = self.prepared(queries)
         self.squares = (self.queries * self.queries).sum(1)
 
+    def of(self, queries: np.ndarray) -> Scorer:
+        """The scorer of some of its queries, by number."""
+        part = copy(self)
+        part.queries, part.squares = self.queries[queries], self.squares[queries]
+        return part
+
     def prepared(self, v: np.ndarray) -> np.ndarray:
         if self.metric != "cosine":
             return v
@@ -74,10 +81,13 @@ class Best:
         self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, vectors: np.ndarray, live: np.ndarray | None = None) -> None:
+        """Sources' vectors; where it is known that they can only be near to some queries, ``live`` numbers those."""
         v = self.scorer.prepared(vectors)
-        near, slack = self.scorer.near(v)
-        rows, queries = np.nonzero(near <= self.scorer.bound(self.worst)[None, :] + slack[:, None])
+        near, slack = (self.scorer if live is None else self.scorer.of(live)).near(v)
+        worst = self.scorer.bound(self.worst if live is None else self.worst[live])
+        rows, queries = np.nonzero(near <= worst[None, :] + slack[:, None])
+        queries = queries if live is None else live[queries]
         value = self.scorer.value(v, rows, queries)
         good = value <= self.worst[queries]
         if self.exclude_same:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as X
 from skein.functions.vectors import truncated
-from skein.operators import chunks, dense, fusion, lexical, resolve, segments
+from skein.operators import chunks, clusters, dense, fusion, lexical, resolve, segments
 from skein.operators.filters import escaped, has_all
 from skein.plans.storage import new_folder
 from skein.suite.base import benchmark_terms, bm25_sql, index_of, lexical_hits, query, t, top_sql
@@ -122,6 +122,14 @@ def knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.nearest(q, c, 80, exclude_same=True)
 
 
+@query(f"""with {_PAIRS} select qid, source_id, round(list_distance(a, b), 6) as value, row_number() over (partition by qid order by round(list_distance(a, b), 6), source_id) as rank from pairs qualify rank <= 10""")
+def knn_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest over a layout by centres, of which blocks beyond reach are not read."""
+    q, c = _vectors(spark, sf_dir)
+    layout = clusters.Layout.build(c, new_folder(spark, "layout"), block=1024)
+    return clusters.nearest(q, layout, 10, exclude_same=True)
+
+
 @query(f"""with {_PAIRS} select qid, source_id, round(list_cosine_similarity(a, b), 6) as value, row_number() over (partition by qid order by round(list_cosine_similarity(a, b), 6) desc, source_id) as rank from pairs qualify rank <= 20""")
 def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c = _vectors(spark, sf_dir)
