@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as X
 from skein.functions.vectors import truncated
-from skein.operators import chunks, clusters, dense, fusion, lexical, resolve, segments
+from skein.operators import chunks, clusters, dense, fusion, lexical, pruned, resolve, segments
 from skein.operators.filters import escaped, has_all
 from skein.plans.storage import new_folder
 from skein.suite.base import benchmark_terms, bm25_sql, index_of, lexical_hits, query, t, top_sql
@@ -21,6 +21,13 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_hits(spark, sf_dir, 10)
 
 
+@query(f"{bm25_sql()} select * from {top_sql(10)}")
+def bm25_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from blocks of postings with bounds: spans of sources that cannot reach the top ten are not summed."""
+    blocks = pruned.Blocks.build(index_of(spark, sf_dir), new_folder(spark, "blocks"), span=256)
+    return pruned.search(blocks, t(spark, sf_dir, "benchmark"), F.col("text"), 10, qid="item_id", fields=["body"])
+
+
 @query(f"""{bm25_sql("d.source = 'src0'")} select * from {top_sql(10)}""")
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A repository filter applies before the top ten; statistics stay those of the whole index."""
