@@ -18,7 +18,7 @@ SHARE, DIGIT = 1e-9, 1e-6
 
 @dataclass
 class Blocks:
-    """A generation's postings by spans of neighbouring sources: a row for each field, term and span with the
+    """A generation's postings by spans of sources of like length: a row for each field, term and span with the
     greatest weight of a posting there (``top``), their number, and the postings as a list of SPAN or so at most. A
     term that most sources have spreads over all spans. ``index`` has the statistics."""
 
@@ -27,11 +27,11 @@ class Blocks:
 
     @staticmethod
     def build(index: Index, path: str, span: int = SPAN) -> Blocks:
-        """Spans are ranges of source ids, made once for a generation; lists are read only where their block is asked for."""
+        """Spans are ranges of sources by length, as weights fall with it, and id; they are made once for a generation."""
         spark = index.postings.sparkSession
-        ids = written(index.lengths.select("source_id").distinct(), "ids")
+        ids = written(index.lengths.groupBy("source_id").agg(F.sum("length").alias("size")), "ids")
         spans = max(1, -(-ids.count() // span))
-        dealt = written(ids.repartitionByRange(spans, "source_id").select("source_id", F.spark_partition_id().alias("span")), "spans")
+        dealt = written(ids.repartitionByRange(spans, "size", "source_id").select("source_id", F.spark_partition_id().alias("span")), "spans")
         weighed = index.postings.join(F.broadcast(index.stats.select("field", "average")), "field").withColumn("weight", term_score(F.col("tf"), F.col("length"), F.col("average")))  # stats: a row per field
         rows = weighed.join(few(dealt), "source_id").groupBy("field", "term", "span").agg(F.max("weight").alias("top"), F.count("*").alias("size"), F.collect_list(F.struct("source_id", "weight")).alias("postings"))
         rows.repartitionByRange("term", "field", "span").sortWithinPartitions("term", "field", "span").write.parquet(f"{path}/blocks")
