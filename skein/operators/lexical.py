@@ -21,7 +21,8 @@ def postings(sources: DataFrame, fields: dict[str, Column], key: str = "source_i
     """(field, source_id, term, tf, length, positions, from 0): one pass; a source's fields are exploded together.
     A search without phrases does not read the positions."""
     parts = F.array(*(F.struct(F.lit(n).alias("field"), tokens(c).alias("terms")) for n, c in fields.items()))
-    each = sources.select(F.col(key).alias("source_id"), F.explode(parts).alias("part"))
+    dealt = sources.select(F.col(key).alias("source_id"), parts.alias("parts")).repartition("source_id")  # a source moves once, as lists of words, not as a row for each
+    each = dealt.select("source_id", F.explode("parts").alias("part"))
     terms = each.select("part.field", "source_id", F.size("part.terms").cast("long").alias("length"), F.posexplode("part.terms").alias("place", "term"))
     return terms.groupBy("field", "source_id", "term", "length").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("place")).alias("positions"))
 
