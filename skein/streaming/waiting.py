@@ -8,13 +8,13 @@ to fit into memory, and a comment is let go once, also when a run breaks off and
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 RESOLVED = "repo string, number long, node_id string, parent string, state string"
-#: Waiting comments that are let go at once.
+#: Rows of an issue that are held at once.
 PIECE = 1000
 
 
@@ -28,42 +28,43 @@ class Waiting(StatefulProcessor):
         self.comments = handle.getListState("comments", "node_id string, since long")
 
     @staticmethod
-    def _out(key, nodes: list[str], parent: str | None, state: str) -> pd.DataFrame:
-        return pd.DataFrame({"repo": key[0], "number": key[1], "node_id": nodes, "parent": parent, "state": state})
+    def _out(key, nodes: Iterable[str], parent: str | None, state: str) -> Iterator[Row]:
+        return (Row(repo=key[0], number=key[1], node_id=n, parent=parent, state=state) for n in nodes)
 
-    def _let_go(self, key, parent: str | None, state: str) -> Iterator[pd.DataFrame]:
-        nodes = []
+    def _let_go(self, key, parent: str | None, state: str) -> Iterator[Row]:
+        """All that waits, if anything does. (Every look at a state is a call to the JVM, so none is made twice.)"""
+        waited = False
         for node, _ in self.comments.get():
-            nodes.append(node)
-            if len(nodes) == PIECE:
-                yield self._out(key, nodes, parent, state)
-                nodes = []
-        if nodes:
-            yield self._out(key, nodes, parent, state)
-        self.comments.clear()
-
-    def handleInputRows(self, key, rows: Iterable[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        parent = self.issue.get()[0] if self.issue.exists() else None
-        for frame in rows:
-            issues = frame[frame["kind"] == "issue"]
-            if parent is None and len(issues):
-                parent = issues["node_id"].min()
+            waited = True
+            yield from self._out(key, (node,), parent, state)
+        if waited:
+            self.comments.clear()
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+
+    def _wait(self, piece: list[Row]) -> None:
+        at = int(max(r["at"] for r in piece if r["at"] is not None).timestamp() * 1000)
+        if not self.comments.exists():
+            self.handle.registerTimer(at + self.patience)
+        self.comments.appendList([(r["node_id"], at) for r in piece])
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        known = self.issue.get()
+        parent = known[0] if known else None
+        rows = iter(rows)
+        while piece := list(islice(rows, PIECE)):
+            comments = [r for r in piece if r["kind"] == "comment"]
+            if parent is None and (issues := [r["node_id"] for r in piece if r["kind"] == "issue"]):
+                parent = min(issues)
                 self.issue.update((parent,))
-                if self.comments.exists():
-                    yield from self._let_go(key, parent, "resolved")
-                for timer in self.handle.listTimers():
-                    self.handle.deleteTimer(timer)
-            nodes = frame.loc[frame["kind"] == "comment", "node_id"].tolist()
-            if nodes and parent is not None:
-                yield self._out(key, nodes, parent, "resolved")
-            elif nodes:
-                at = int(frame["at"].max().timestamp() * 1000)
-                if not self.comments.exists():
-                    self.handle.registerTimer(at + self.patience)
-                self.comments.appendList([(n, at) for n in nodes])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if not self.issue.exists() and self.comments.exists():
+                yield from self._let_go(key, parent, "resolved")
+            if parent is not None:
+                yield from self._out(key, (r["node_id"] for r in comments), parent, "resolved")
+            elif comments:
+                self._wait(comments)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        if not self.issue.exists():
             yield from self._let_go(key, None, "expired")
 
     def close(self) -> None:
@@ -75,4 +76,4 @@ def with_parents(rows: DataFrame, patience_ms: int = 7 * 86_400_000, delay: str
     comment that goes on, with its issue's node_id, or that is given up, with none: see RESOLVED. Rows that come more than
     ``delay`` after later ones are late and left out."""
     timed = rows.withWatermark("at", delay)
-    return timed.groupBy("repo", "number").transformWithStateInPandas(Waiting(patience_ms), RESOLVED, "append", "eventTime")
+    return timed.groupBy("repo", "number").transformWithState(Waiting(patience_ms), RESOLVED, "append", "eventTime")

@@ -127,6 +127,11 @@ def budget_gate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, ingest.gated(spark.readStream.schema(rows.schema).parquet(path)))
 
 
+#: Micro-batches of a stream made of a table: each costs a task for every partition of the state, however few its rows, so
+#: that their number must not grow with the table. Rows of one of its files, about.
+BATCHES, FILE_ROWS = 4, 100_000
+
+
 def _streamed(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """All that a stateful stream gives for the files that are there."""
     key, out = "spark.sql.streaming.stateStore.providerClass", new_folder(spark, "streamed")
@@ -145,8 +150,9 @@ def waiting_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, i, path = t(spark, sf_dir, "conversations"), F.col("conv_id"), new_folder(spark, "thread-rows")
     node = F.when(F.col("turn") == 0, F.concat(F.lit("I"), i)).otherwise(F.concat(F.lit("C"), i, F.lit("-"), "turn"))
     rows = c.filter((F.col("turn") > 0) | (i % 11 != 0)).select(F.concat(F.lit("o/r"), i % 2).alias("repo"), i.alias("number"), F.when(F.col("turn") == 0, "issue").otherwise("comment").alias("kind"), node.alias("node_id"), F.lit("2024-02-01").cast("timestamp").alias("at"), F.col("turn").alias("t"))
-    rows.orderBy(F.col("t").desc()).drop("t").write.option("maxRecordsPerFile", 500).parquet(path)
-    stream = spark.readStream.schema(rows.drop("t").schema).option("maxFilesPerTrigger", 4).parquet(path)
+    files = BATCHES * -(-max(1, rows.count()) // (BATCHES * FILE_ROWS))
+    rows.repartitionByRange(files, F.col("t").desc(), "node_id").drop("t").write.parquet(path)
+    stream = spark.readStream.schema(rows.drop("t").schema).option("maxFilesPerTrigger", files // BATCHES).parquet(path)
     return _streamed(spark, waiting.with_parents(stream))
 
 

@@ -1,11 +1,13 @@
 """Comments and issues in any order of arrival, over several runs."""
 
+import os
 import random
 from datetime import datetime, timezone
 
 import pytest
 
 from skein.streaming import waiting
+from skein.suite import state
 
 SCHEMA = "repo string, number long, kind string, node_id string, at timestamp"
 DAY = 86_400
@@ -43,3 +45,13 @@ def test_patience_ends(spark, tmp_path, rocks):
     assert run(spark, tmp_path, [("a/b", 1, "issue", "I1"), ("a/b", 1, "comment", "x"), ("a/b", 2, "comment", "y")]) == [(1, "x", "I1", "resolved")]
     assert run(spark, tmp_path, [("a/b", 3, "issue", "I3"), ("a/b", 3, "comment", "z")], 5) == [(1, "x", "I1", "resolved"), (3, "z", "I3", "resolved")]
     assert run(spark, tmp_path, [("a/b", 4, "issue", "I4")], 9) == [(1, "x", "I1", "resolved"), (2, "y", None, "expired"), (3, "z", "I3", "resolved")]
+
+
+def test_batches_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """A batch costs a task for each partition of the state, so 12,000 rows take no more of them than a few."""
+    made = []
+    monkeypatch.setattr(state, "new_folder", lambda spark, label: made.append(f"{tmp_path}/{label}") or made[-1])
+    spark.range(12_000).selectExpr("id % 12 as conv_id", "id div 12 as turn", "'user' as role", "'x' as text").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = state.waiting_comments(spark, str(tmp_path))
+    assert got.count() == got.distinct().count() == 10 * 999  # issues 0 and 11 never come
+    assert len([x for x in os.listdir(f"{made[-1]}/state/commits") if x.isdigit()]) <= state.BATCHES + 1
