@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import decisions, evaluate, fusion
 from skein.suite.base import query, t
-from skein.suite.retrieval import _BRANCHES, EVERY, _branches
+from skein.suite.retrieval import _BRANCHES, EVERY, _branches, _first
 
 _GOLD = f"""gold as (select q.vec_id as qid, c.vec_id as source_id, 1 + c.vec_id % 3 as grade from embeddings q join embeddings c on q.label = c.label and q.vec_id <> c.vec_id where q.vec_id % {EVERY} = 0)"""
 _METRICS = f"""{_BRANCHES}, {_GOLD},
@@ -35,7 +35,7 @@ def _gold(spark: SparkSession, sf_dir: str, *rankings: DataFrame, depth: int = 1
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranking = _branches(spark, sf_dir)[0]
+    ranking = _first(spark, sf_dir)
     gold, relevant = _gold(spark, sf_dir, ranking)
     return evaluate.query_metrics(ranking, gold, relevant=relevant)
 
@@ -80,21 +80,21 @@ def rescue_harm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_BRANCHES}, {_GOLD} select round(avg(case when h.qid is not null then 1::double else 0::double end), 6) as exact_top1 from (select distinct qid from gold) q left join (select distinct l.qid from lex l join gold g using (qid, source_id) where lr = 1) h on h.qid = q.qid")
 def exact_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranking = _branches(spark, sf_dir)[0]
+    ranking = _first(spark, sf_dir)
     return evaluate.exact_top1(ranking, _gold(spark, sf_dir, ranking)[0]).select(F.round("exact_top1", 6).alias("exact_top1"))
 
 
 @query(f"{_BRANCHES}, {_GOLD} select round(avg(hit), 6) as hit_5 from (select g.qid, max(case when lr <= 5 then 1::double else 0::double end) as hit from gold g left join lex using (qid, source_id) where grade > 1 group by g.qid)")
 def gold_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries that have some of their better gold among the first five."""
-    ranking = _branches(spark, sf_dir)[0]
+    ranking = _first(spark, sf_dir)
     return evaluate.gold_hit(ranking, _gold(spark, sf_dir, ranking)[0].withColumn("grade", F.col("grade") - 1)).select(F.round("hit_5", 6).alias("hit_5"))
 
 
 @query(f"{_BRANCHES} select q.vec_id as qid, count(l.source_id) as results, count(l.source_id) = 0 as empty from (select vec_id from embeddings where vec_id % {EVERY} = 0 and label % 4 = 3) q left join lex l on l.qid = q.vec_id and l.lr <= 10 group by q.vec_id")
 def negative_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = t(spark, sf_dir, "embeddings").filter((F.col("vec_id") % EVERY == 0) & (F.col("label") % 4 == 3)).select(F.col("vec_id").alias("qid"))
-    hits = _branches(spark, sf_dir)[0].filter("rank <= 10")
+    hits = _first(spark, sf_dir).filter("rank <= 10")
     return q.join(hits, "qid", "left").groupBy("qid").agg(F.count("source_id").alias("results")).withColumn("empty", F.col("results") == 0)
 
 
@@ -106,20 +106,20 @@ def percentile_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_BRANCHES} select count(*) as violations, count(distinct l.qid) as queries from lex l join embeddings q on q.vec_id = l.qid join embeddings c on c.vec_id = l.source_id where lr <= 10 and c.label % 2 <> q.label % 2")
 def filter_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = t(spark, sf_dir, "embeddings")
-    hits = _branches(spark, sf_dir)[0].filter("rank <= 10")
+    hits = _first(spark, sf_dir).filter("rank <= 10")
     both = hits.join(e.select(F.col("vec_id").alias("qid"), F.col("label").alias("ql")), "qid").join(e.select(F.col("vec_id").alias("source_id"), F.col("label").alias("cl")), "source_id")
     return both.filter("cl % 2 != ql % 2").agg(F.count("*").alias("violations"), F.count_distinct("qid").alias("queries"))
 
 
 @query(f"{_BRANCHES} select qid, count(*) - count(distinct c.label) as repeated from lex join embeddings c on c.vec_id = source_id where lr <= 10 group by qid")
 def dup_crowding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _branches(spark, sf_dir)[0].join(t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("source_id"), "label"), "source_id")
+    hits = _first(spark, sf_dir).join(t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("source_id"), "label"), "source_id")
     return evaluate.duplicate_crowding(hits, F.col("label"))
 
 
 @query(f"{_BRANCHES} select min(n) as least, count(*) filter (n < 80) as short from (select qid, count(*) as n from lex group by qid)")
 def branch_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = _branches(spark, sf_dir)[0].groupBy("qid").agg(F.count("*").alias("n"))
+    sizes = _first(spark, sf_dir).groupBy("qid").agg(F.count("*").alias("n"))
     return sizes.agg(F.min("n").alias("least"), F.count_if(F.col("n") < fusion.WINDOW).alias("short"))
 
 
