@@ -5,6 +5,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
+from skein import suite
 from skein.operators import dense
 
 
@@ -41,3 +42,29 @@ def test_memory_is_bounded():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 200e6
+
+
+@pytest.mark.parametrize("name", ["knn_cosine"])
+def test_full_block_of_what_a_query_asks(spark, small, monkeypatch, name):
+    """A task whose block of queries is full. Before, its first strip held 512 x 4,096 pairs of 64 components several times:
+    2,250 MB by tracemalloc (640 MB of 16 components)."""
+    asked, nearest = [], dense.nearest
+
+    def told_of(queries, chunks, limit=80, metric="l2", allowed=None, exclude_same=False, dimension=None):
+        asked.append((limit, metric, exclude_same, dimension))
+        return nearest(queries, chunks, limit, metric, allowed, exclude_same, dimension)
+
+    monkeypatch.setattr(dense, "nearest", told_of)
+    suite.QUERIES[name](spark, small)
+    assert asked
+    v = np.random.default_rng(2).normal(0, 1, (dense.QUERY_BLOCK, 64))
+    for limit, metric, exclude_same, dimension in asked:
+        tracemalloc.start()
+        best = dense.Best(np.arange(len(v)), dense.Scorer(v[:, :dimension], metric), limit, exclude_same)
+        for i in range(0, 4 * dense.STRIP, dense.STRIP):
+            best.add(np.arange(i, i + dense.STRIP), v[i : i + dense.STRIP, :dimension])
+        found = best.rows()[0]
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert (np.bincount(found, minlength=len(v)) == limit).all()
+        assert most < 200e6
