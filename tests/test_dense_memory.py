@@ -44,7 +44,7 @@ def test_memory_is_bounded():
     assert most < 200e6
 
 
-@pytest.mark.parametrize("name", ["knn_cosine", "knn_filtered", "lexical_guard", "rrf_grid", "gold_hit", "exact_top1", "rescue_harm", "knn_l2"])
+@pytest.mark.parametrize("name", ["knn_cosine", "knn_filtered", "lexical_guard", "rrf_grid", "gold_hit", "rrf_equal", "exact_top1", "rescue_harm", "knn_l2"])
 def test_full_block_of_what_a_query_asks(spark, small, monkeypatch, name):
     """A task whose block of queries is full. Before, its first strip held 512 x 4,096 pairs of 64 components several times:
     2,250 MB by tracemalloc (640 MB of 16 components)."""
